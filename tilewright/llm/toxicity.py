@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 #: Documented bound: labelled rows (in expectation) that the lexicon and the curve are learned from.
 SAMPLE = 20000
 THRESHOLD = 0.3
-STEMS = (4, 5, 6)
-LEAST_ODDS = math.log(8)
+STEMS = (3, 4, 5, 6, 7, 8)
+LEAST_ODDS = math.log(20)
 
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
