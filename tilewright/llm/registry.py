@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, packing, topk, toxicity
+from . import jaccard, langid, packing, pii, topk, toxicity
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -60,5 +64,5 @@ WITH e AS (
 SELECT * FROM k WHERE rank <= 5
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op3_language_id, op4_exact_top_k, op6_jaccard_join, op8_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op3_language_id, op4_exact_top_k, op5_pii, op6_jaccard_join, op8_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op4_exact_top_k": OP4_SQL}
