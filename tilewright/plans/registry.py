@@ -1,4 +1,21 @@
-"""All queries of the library and their SQL."""
+"""All queries of the library, each over whole tables, and SQL for another engine where SQL can express them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tilewright.sources.derived import run_sql, with_tables
+
+from . import composed, shared
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _shared(sql: str) -> Query:
+    return lambda spark, sf_dir: run_sql(spark, sf_dir, shared.spark_text(sql))
+
+
+QUERIES: dict[str, Query] = {**{k: _shared(sql) for k, sql in shared.SHARED.items()}, **composed.QUERIES}
+ORACLE_SQL: dict[str, str] = {**{k: with_tables(shared.duckdb_text(sql)) for k, sql in shared.SHARED.items()}, **{k: with_tables(sql) for k, sql in composed.ORACLE_SQL.items()}}
