@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, packing, pii, topk, toxicity
+from . import flac, jaccard, langid, packing, pii, topk, toxicity, urls
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"), RULES)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit_language_model(docs.where(~held_out("doc_id")))
@@ -51,6 +58,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_digest(flac.encode_column(table(spark, sf_dir, "documents")))
+
+
 OP4_SQL = """
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -64,5 +75,5 @@ WITH e AS (
 SELECT * FROM k WHERE rank <= 5
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op3_language_id, op4_exact_top_k, op5_pii, op6_jaccard_join, op8_toxicity)}
-ORACLE_SQL: dict[str, str] = {"op4_exact_top_k": OP4_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_language_id, op4_exact_top_k, op5_pii, op6_jaccard_join, op8_toxicity, op10_media)}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": urls.oracle_sql(RULES), "op4_exact_top_k": OP4_SQL}
