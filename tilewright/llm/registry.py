@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, jaccard, langid, packing, pii, topk, toxicity, urls
+from . import flac, jaccard, langid, packing, pieces, pii, secrets, topk, toxicity, urls
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,12 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.encode_column(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -58,6 +64,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    per = found.groupBy("doc_id").agg(F.count("*").alias("candidates"), F.count_if("is_secret").alias("found"))
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return docs.join(per, "doc_id", "left").select("doc_id", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("found", F.lit(0)).alias("secrets"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_digest(flac.encode_column(table(spark, sf_dir, "documents")))
 
@@ -75,5 +88,5 @@ WITH e AS (
 SELECT * FROM k WHERE rank <= 5
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_language_id, op4_exact_top_k, op5_pii, op6_jaccard_join, op8_toxicity, op10_media)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_language_id, op4_exact_top_k, op5_pii, op6_jaccard_join, op7_pieces, op8_toxicity, op9_secrets, op10_media)}
 ORACLE_SQL: dict[str, str] = {"op2_url_filter": urls.oracle_sql(RULES), "op4_exact_top_k": OP4_SQL}
