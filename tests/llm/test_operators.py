@@ -1,0 +1,190 @@
+"""Training-data operators against brute force, round trips and held-out accuracy; nulls, empty tables, repeats, clashing names."""
+
+import hashlib
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tilewright.llm import flac, jaccard, langid, packing, pieces, pii, registry, secrets, topk, toxicity, urls
+from tilewright.llm.common import held_out
+
+DATA = "/root/testdata/sf0.001"
+TEXTS = "doc_id long, text string, score string, label string"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], TEXTS)
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    words = docs(spark, [(1, "hello world " * 900), (2, None), (2, ""), (None, "x"), (3, "hello world " * 900), (4, "good <|endoftext|> day's  end\n\n ")])
+    rows = packing.pack_documents(words, registry.vocabulary()).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    for i, text in ((1, "hello world " * 900), (4, "good <|endoftext|> day's  end\n\n ")):
+        assert sum(r.length for r in rows if r.doc_id == i) == len(t.encode(text, add_special_tokens=False).ids) + 1
+    assert packing.pack_documents(words.limit(0), registry.vocabulary()).count() == 0
+
+
+def test_packing_needs_few_sequences():
+    rng = random.Random(5)
+    counts = defaultdict(int)
+    for _ in range(5000):
+        counts[rng.randrange(1, 1025)] += 1
+    places = packing.rounds(counts, 1024)
+    assert sum(hi - lo for _, lo, hi, _, _ in places) == 5000
+    assert sum(hi - lo for _, lo, hi, _, o in places if o == 0) <= sum(s * n for s, n in counts.items()) / 1024 * 1.01 + 1
+
+
+def test_urls(spark):
+    rows = [(1, "http://a.COM/en/1"), (2, None), (3, "no scheme"), (4, "https://x.example.com/en/77?q#f"), (5, "http://example.net/de/81"), (6, "http://b.net/de/1"), (6, "http://b.net/de/1"), (7, "http://b.org")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    out = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(pages, registry.RULES).collect()}
+    assert out == {(1, "a.com", "/en/1", "com/en/", "block"), (2, "", "", None, "allow"), (3, "", "", None, "allow"), (4, "x.example.com", "/en/77", "example.com/en/7", "allow"), (5, "example.net", "/de/81", "example.net/de/8", "block"), (6, "b.net", "/de/1", "net/de/", "allow"), (7, "b.org", "", None, "allow")}
+    assert urls.judge_urls(pages, registry.RULES).count() == 8
+    assert urls.judge_urls(pages.limit(0), registry.RULES).count() == 0
+
+
+def test_language(spark):
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.fit_language_model(table.where(~held_out("doc_id")))
+    out = langid.identify_languages(table.where(held_out("doc_id")), model).select("lang", "lang_pred").collect()
+    assert sum(r.lang == r.lang_pred for r in out) >= 0.95 * len(out)
+    odd = langid.identify_languages(docs(spark, [(1, None), (2, "12 !!"), (None, "the and")]), model).collect()
+    assert [r.lang_pred for r in odd][:2] == ["und", "und"] and odd[2].label == "clash"
+    assert langid.identify_languages(table.limit(0), langid.fit_language_model(table.limit(0))).count() == 0
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(300, 8)).round(1)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(900, None), (901, [float("nan")] * 8), (902, [None] + [1.0] * 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.exact_top_k(df, df.where("vec_id % 50 = 0"), 5, block=64, chunk=4).collect()}
+    q = np.floor(256 * m.astype(np.float32).astype(np.float64)).astype(int)
+    for i in range(0, 300, 50):
+        best = sorted(((-int(q[i] @ q[j]), j) for j in range(300) if j != i))[:5]
+        assert [got[i, k + 1] for k in range(5)] == [(j, -s) for s, j in best]
+    assert len(got) == 30
+
+
+def _spans(t):
+    out, digits = [], lambda v: re.sub("[^0-9]", "", v)
+
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    out += [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 12 <= len(digits(m.group())) <= 19 and luhn(digits(m.group()))]
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m.group())) <= 15]
+    return ",".join(f"{pii.KINDS[k]}:{a}:{e}" for a, k, e in sorted(out))
+
+
+def test_personal_data(spark):
+    rows = [(1, None), (2, ""), (3, "a@b.com_x@y.com é 4111 1111 1111 1111 +1 (980) 555-6268x 1.2.3.4.5.6.7.8 256.1.1.1 001.002.03.255"), (4, "9" * 30000), (5, "a" * 20000 + "@b.c"), (9, "q@r.st secretword zz"), (10, "other q@r.st secretword"), (None, "🙂 me@x.org")]
+    out = pii.digest(pii.find_personal_data(docs(spark, rows))).collect()
+    want = {i: hashlib.sha256(_spans(t or "").encode()).hexdigest() for i, t in rows}
+    assert {r.doc_id: r.base_sha256 for r in out} == want
+    assert {r.doc_id for r in out if r.n_term} == {9, 10}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs(spark, rows)).collect()}
+    assert clean[1] is None and "@" not in clean[9] and "secretword" not in clean[9]
+
+
+def _components(rows, percent=90, k=3):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_jaccard(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(400)}" for _ in range(200)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            w[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(i, " ".join(f"Q{rng.randrange(3)}" for _ in range(rng.randrange(0, 5)))) for i in range(100, 130)] + [(200, None), (201, "")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, rows), short=8, block=16).collect()}
+    assert got == _components(rows)
+    assert jaccard.jaccard_components(docs(spark, rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["", "hello world ▁x  é 🙂\n tab\t", "abcthequickbrown" * 40])
+def test_pieces(text):
+    import public_tokenizers
+
+    v = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    whole, chunked = pieces.encode_whole(v, pieces.marked(text)), pieces.encode_chunks(v, pieces.marked(text), 37)
+    assert whole[0] == chunked[0] and whole[1] == pytest.approx(chunked[1])
+    assert v.decode(whole[0]) == text
+
+
+def test_toxicity(spark):
+    bad = [(i, f"fine words and vile{i % 7}x here {i}".replace(str(i % 7) + "x", "abcdefg"[i % 7]), 1) for i in range(60)]
+    good = [(i + 100, f"fine words and more here number {i}", 0) for i in range(300)]
+    lex = toxicity.fit_lexicon(spark.createDataFrame(bad + good, "doc_id long, text string, toxic int"))
+    out = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs(spark, [(1, "such VILEz talk"), (2, "such v1lez talk"), (3, "plain talk"), (4, None), (5, "such vіlez talk")]), lex).collect()}
+    assert out == {1: 1, 2: 1, 3: 0, 4: 0, 5: 1}
+    assert toxicity.fit_lexicon(spark.createDataFrame([], "text string, toxic int")).words == {}
+
+
+def test_secrets(spark):
+    rng = random.Random(2)
+    rows = [(i, "some wonderfullylongordinaryword here AKIA" + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ234567") for _ in range(16))) for i in range(60)] + [(99, None)]
+    out = secrets.scan_secrets(docs(spark, rows)).collect()
+    assert all(r.is_secret == r.token.startswith("AKIA") for r in out) and len(out) == 120
+
+
+def test_flac():
+    rng = random.Random(1)
+    payloads = [bytes(64), b"abc" * 64, bytes(rng.randrange(256) for _ in range(64 * 200)), ("Größe é " * 3000).encode().ljust(64 * 600, b"\0")]
+    streams = flac.encode(payloads)
+    blocks = flac.decode_blocks(streams)
+    assert [b"".join(b[2] for b in own) for own in blocks] == payloads
+    assert [flac.encode([p])[0] for p in payloads] == streams
+    assert all(b[0] == 4096 * k for own in blocks for k, b in enumerate(own))
+    broken = bytearray(streams[2])
+    broken[-5] ^= 1
+    with pytest.raises(ValueError):
+        flac.decode_blocks([bytes(broken)])
+
+
+def test_media_rows(spark):
+    out = {r.doc_id: r for r in flac.media_digest(flac.encode_column(docs(spark, [(1, None), (2, ""), (3, "x" * 65), (4, "x" * 65)]))).collect()}
+    assert (out[1].payload_bytes, out[3].payload_bytes, out[3].n_bytes) == (64, 128, 65)
+    assert out[1].payload_sha256 == out[2].payload_sha256 == hashlib.sha256(bytes(64)).hexdigest() and out[3].media_sha256 == out[4].media_sha256
