@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the lexicon predicts as toxic."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out("doc_id"))
-    lexicon = toxicity.fit_lexicon(docs.select("doc_id", "text").join(labels, "doc_id"))
+    lexicon = toxicity.fit_lexicon(toxicity.labelled_sample(docs, labels))
     return toxicity.score_toxicity(docs, lexicon).where("predicted = 0").select(*docs.columns)
 
 

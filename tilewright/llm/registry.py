@@ -59,7 +59,7 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    lexicon = toxicity.fit_lexicon(docs.where(~held_out("doc_id")).join(labels.where(~held_out("doc_id")), "doc_id"))
+    lexicon = toxicity.fit_lexicon(toxicity.labelled_sample(docs, labels.where(~held_out("doc_id"))))
     out = toxicity.score_toxicity(docs, lexicon)
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 

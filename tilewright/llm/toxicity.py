@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Documented bound: labelled rows (in expectation) that the lexicon and the curve are learned from.
 SAMPLE = 20000
 THRESHOLD = 0.3
@@ -182,6 +184,16 @@ def fit_lexicon(labelled: DataFrame, sample: int = SAMPLE, exceptions: tuple[str
     return lexicon
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """Texts of about ``sample`` labelled documents, stored; the ids are picked first, so that no other text moves.
+
+    The picked labels are bounded by the parameter and therefore broadcast.
+    """
+    rows = labels.select(id_col, label_col).where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    picked = rows.where((F.xxhash64(id_col) / 2.0**64 + 0.5) < min(1.0, sample / max(1, rows.count())))
+    return materialize(docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select(text_col, label_col))
+
+
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Adds ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on) to every row; null texts count as empty."""
     schema = docs.drop("score", "predicted").withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
