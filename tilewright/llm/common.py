@@ -22,7 +22,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write to the shared folder and read back, so lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tilewright-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
