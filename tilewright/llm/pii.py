@@ -91,8 +91,18 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = materialize(rows.select("doc_id", "h", F.transform("base", lambda b: F.struct(b["k"].alias("k"), b["s"].alias("s"), b["e"].alias("e"))).alias("base"), F.expr(f"CASE WHEN size(base) > 0 THEN {_contexts(window)} ELSE cast(array() AS array<struct<c:bigint,s:int,e:int,w:string>>) END").alias("near")))
     near = found.where(F.size("near") > 0).select("h", F.explode("near").alias("x")).select("h", "x.*").withColumn("th", F.xxhash64("w"))
     pairs = near.select("h", "c", "th").distinct().groupBy("c", "th").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support)
-    pairs = materialize(pairs)
     entities = near.select("h", "c").distinct().groupBy("c").agg(F.count("*").alias("n_c"))
+    total = found.agg(F.count_distinct("h").alias("n"))
+    # One row; attached as a literal so that no join is needed.
+    n = float(total.collect()[0]["n"]) or 1.0
+    ic = F.log(F.lit(n) / F.col("n_c"))
+
+    def disclosure(texts_with_term: str) -> Column:
+        return F.when(ic > 0, F.log(F.lit(n) * F.col("n_ct") / (F.col("n_c") * F.col(texts_with_term))) / ic).otherwise(0.0)
+
+    # A term is in at least as many texts as it is near entities in: pairs that fail even so need no count over whole texts.
+    least = near.select("h", "th").distinct().groupBy("th").agg(F.count("*").alias("n_near"))
+    pairs = materialize(pairs.join(entities, "c").join(least, "th").where(disclosure("n_near") >= generalise).drop("n_near"))
     terms = pairs.select("th").distinct()
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     each = texts.select(F.xxhash64("t").alias("h"), F.explode(F.expr(f"array_distinct(transform(regexp_extract_all(t, '{_TERM}', 0), w -> xxhash64(lower(w))))")).alias("th"))
@@ -102,12 +112,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         counts = each.distinct().groupBy("th").agg(F.count("*").alias("n_t"))
     else:
         counts = each.distinct().groupBy("th").agg(F.count("*").alias("n_t")).join(terms, "th", "left_semi")
-    total = found.agg(F.count_distinct("h").alias("n"))
-    # One row; attached as a literal so that no join is needed.
-    n = float(total.collect()[0]["n"]) or 1.0
-    told = pairs.join(entities, "c").join(counts, "th")
-    ic = F.log(F.lit(n) / F.col("n_c"))
-    told = told.withColumn("d", F.when(ic > 0, F.log(F.lit(n) * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))) / ic).otherwise(0.0))
+    told = pairs.join(counts, "th").withColumn("d", disclosure("n_t"))
     told = told.where(F.col("d") >= generalise).select("c", "th", "d")
     hit = found.where(F.size("near") > 0).select("doc_id", "h", F.explode("near").alias("x")).select("doc_id", "h", "x.*").withColumn("th", F.xxhash64("w")).join(told, ["c", "th"])
     best = hit.groupBy("doc_id", "h", "s", "e").agg(F.max("d").alias("d"))
