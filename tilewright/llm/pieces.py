@@ -35,27 +35,39 @@ class Vocabulary:
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(len(self.pieces)) if model.is_byte(i)}
         self.bytes = {i: b for b, i in self.byte_ids.items()}
         self.longest = max(map(len, self.ids))
+        # Every prefix of a piece: the piece that it is itself, or None. A walk ends at the first string that is no prefix.
+        self.prefixes: dict[str, tuple[list[int], float] | None] = {}
+        for piece, (i, score) in self.ids.items():
+            for e in range(1, len(piece)):
+                self.prefixes.setdefault(piece[:e])
+            self.prefixes[piece] = [i], score
+        # Characters whose own piece beats their bytes; others need the byte step.
+        self.single = {c for c, (_, score) in self.ids.items() if len(c) == 1 and score > BYTES_SCORE}
+        self.spelled = [bytes([self.bytes[i]]) if i in self.bytes else piece.replace(MARK, " ").encode() for i, piece in enumerate(self.pieces)]
         self.words: dict[str, tuple[list[int], float]] = {}
 
-    def steps(self, s: str, a: int) -> Iterator[tuple[int, float, list[int]]]:
-        """(end, score, ids) of every piece that starts at a."""
-        if s[a] != APART:
-            for e in range(a + 1, min(len(s), a + self.longest) + 1):
-                if (hit := self.ids.get(s[a:e])) is not None:
-                    yield e, hit[1], [hit[0]]
-        c = {APART: MARK, MARK: " "}.get(s[a], s[a])
-        yield a + 1, BYTES_SCORE, [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")]
-
-    def best(self, s: str, a: int = 0, stop: int | None = None, states: int = 1) -> tuple[list[float], list]:
+    def best(self, s: str, a: int = 0, stop: int | None = None) -> tuple[list[float], list]:
         """Scores and back pointers of all positions from a; pieces start before ``stop``."""
         n, stop = len(s), len(s) if stop is None else stop
         score, back = [NONE] * (n + 1), [None] * (n + 1)
         score[a] = 0.0
+        get, single, longest = self.prefixes.get, self.single, self.longest
         for p in range(a, stop):
-            if score[p] > NONE:
-                for e, w, ids in self.steps(s, p):
-                    if score[p] + w > score[e]:
-                        score[e], back[e] = score[p] + w, (p, ids)
+            base = score[p]
+            if base <= NONE:
+                continue
+            if s[p] not in single:
+                c = {APART: MARK, MARK: " "}.get(s[p], s[p])
+                if base + BYTES_SCORE > score[p + 1]:
+                    score[p + 1], back[p + 1] = base + BYTES_SCORE, (p, [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")])
+                if s[p] == APART:
+                    continue
+            for e in range(p + 1, min(n, p + longest) + 1):
+                hit = get(s[p:e], NONE)
+                if hit is NONE:
+                    break
+                if hit is not None and base + hit[1] > score[e]:
+                    score[e], back[e] = base + hit[1], (p, hit[0])
         return score, back
 
     def trace(self, back: list, a: int, e: int) -> list[int]:
@@ -66,9 +78,10 @@ class Vocabulary:
         return [i for ids in reversed(out) for i in ids]
 
     def word(self, w: str) -> tuple[list[int], float]:
+        """Ids and score of a mark followed by w, which holds none."""
         if (hit := self.words.get(w)) is None:
-            score, back = self.best(w)
-            hit = self.trace(back, 0, len(w)), score[len(w)]
+            score, back = self.best(MARK + w)
+            hit = self.trace(back, 0, len(w) + 1), score[-1]
             if len(self.words) >= CACHE:
                 self.words.clear()
             self.words[w] = hit
@@ -86,10 +99,7 @@ class Vocabulary:
         return m
 
     def decode(self, ids: list[int]) -> str:
-        out = bytearray()
-        for i in ids:
-            out += bytes([self.bytes[i]]) if i in self.bytes else self.pieces[i].replace(MARK, " ").encode()
-        return out.decode("utf-8", "surrogatepass")[1:]
+        return b"".join([self.spelled[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -112,7 +122,7 @@ def encode_whole(v: Vocabulary, s: str) -> tuple[list[int], float]:
     ids: list[int] = []
     total = 0.0
     for w in s.split(MARK)[1:]:
-        got, score = v.word(MARK + w)
+        got, score = v.word(w)
         ids += got
         total += score
     return ids, total
