@@ -139,8 +139,9 @@ def test_jaccard(spark):
             w[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(w)))
     rows += [(i, " ".join(f"Q{rng.randrange(3)}" for _ in range(rng.randrange(0, 5)))) for i in range(100, 130)] + [(200, None), (201, "")]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, rows), short=8, block=16).collect()}
-    assert got == _components(rows)
+    for words, percent in ((3, 90), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, rows), words, percent, short=8, block=16).collect()}
+        assert got == _components(rows, percent, words)
     assert jaccard.jaccard_components(docs(spark, rows).limit(0)).count() == 0
 
 
