@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 APART = "\uffff"  # stands for a mark of the text itself
 #: Characters of a chunk, words kept by a worker, and the score of a character written as bytes.
-CHUNK, CACHE, BYTES_SCORE = 8192, 300_000, -1e6
+CHUNK, CACHE, BYTES_SCORE = 8192, 600_000, -1e6
 NONE = -1e18
 
 
