@@ -14,18 +14,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .pii import _matches
 
 #: Documented bound of the training sample (findings in expectation), and the forest's size.
 SAMPLE, TREES, DEPTH = 20000, 20, 6
 TOKEN = "[A-Za-z0-9+/_-]{16,}+"
+#: The word and separators before a candidate, and the code points they can take up.
+BEFORE, CONTEXT = r"[^\s=:]{1,24}[\s=:\"']{1,4}\z", 28
 FEATURES = ("length", "digits", "uppers", "turns", "coverage", "named", "path")
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, token and the characters before it for every candidate; null text has none."""
-    found = F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(rf"(?:[^\s=:]{{1,24}}[\s=:\"']{{1,4}})?(?<![A-Za-z0-9+/_-]){TOKEN}"), F.lit(0))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(found).alias("m"))
-    return rows.select("doc_id", F.regexp_extract("m", f"({TOKEN})$", 1).alias("token"), F.regexp_replace("m", f"{TOKEN}$", "").alias("before"))
+    """doc_id, start, end, token and the word and separators before it for every candidate; null text has none.
+
+    Tokens are matched alone and what stands before them is looked up by place, so no candidate hides its neighbour.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t")).where(F.col("t").rlike(TOKEN))
+    rows = rows.select("doc_id", "t", F.explode(F.expr(_matches("t", TOKEN))).alias("x"))
+    near = F.expr(f"substring(t, greatest(1, x.s - {CONTEXT} + 1), least({CONTEXT}, x.s))")
+    return rows.select("doc_id", F.col("x.s").alias("start"), F.col("x.e").alias("end"), F.col("x.v").alias("token"), F.regexp_extract(near, BEFORE, 0).alias("before"))
 
 
 def _share(pattern: str) -> Column:
