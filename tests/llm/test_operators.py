@@ -179,6 +179,22 @@ def test_secrets_next_to_each_other(spark):
     assert {r.token: r.before for r in out if r.doc_id in (2, 5)} == {**dict(zip(keys, ["keys ", *(k + " " for k in keys)])), "a1" * 12: 'token = "'}
 
 
+def test_secrets_of_any_length(spark, tmp_path):
+    rng = random.Random(4)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f'text of wonderfullylongordinarywords and TOKEN = "{hexa(40)}" end') for i in range(80)]
+    odd = ['password = "hunter2horse"', "db_passwd: 'aB3.x!9@z#Q$1%'", "key: token => x.y1!z", '{"secret":"two words 4 me"}', "é🙂 auth_key=ab1", 'pass = ""', 'token = "open.1']
+    rows += [(None if i == 0 else 100 + i, t) for i, t in enumerate(odd)] + [(80 + i, f"secret = 'horse{i}{hexa(4)}'") for i in range(20)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = registry.op9_secrets(spark, str(tmp_path)).collect()
+    assert len(out) == 160 + 20 + 7 and all(r.is_secret == (not r.token.startswith("wonder")) for r in out if r.doc_id is not None and r.doc_id < 100)
+    texts = dict(rows)
+    assert all(texts[r.doc_id][r.start : r.end] == r.token for r in out)
+    short = {r.token: r for r in out if r.doc_id is None or r.doc_id >= 100}
+    assert set(short) == {"hunter2horse", "aB3.x!9@z#Q$1%", "token", "x.y1!z", "two words 4 me", "ab1", "open.1"}
+    assert short["hunter2horse"].is_secret and short["hunter2horse"].doc_id is None and short["aB3.x!9@z#Q$1%"].is_secret
+
+
 def test_flac():
     rng = random.Random(1)
     payloads = [bytes(64), b"abc" * 64, bytes(rng.randrange(256) for _ in range(64 * 200)), ("Größe é " * 3000).encode().ljust(64 * 600, b"\0")]

@@ -1,6 +1,6 @@
 """Secret scan with a random forest against false positives (operator 9). DataFrame functions and Spark ML only.
 
-Candidates are long tokens with what stands before them. Labelled findings (known key formats and assignments are
+Candidates are long tokens and values assigned to telling names, with what stands before them. Labelled findings (known key formats and assignments are
 secrets, plain words of the corpus are not) train a forest on length, character transitions, dictionary coverage
 and neighbouring words; it then judges every candidate.
 """
@@ -19,6 +19,8 @@ from .pii import _matches
 #: Documented bound of the training sample (findings in expectation), and the forest's size.
 SAMPLE, TREES, DEPTH = 20000, 20, 6
 TOKEN = "[A-Za-z0-9+/_-]{16,}+"
+#: A name that tells of a secret with what assigns to it; group 1 is the value, up to the closing quote or else the next space.
+NAME = r"""(?i)(?:pass|secret|token|key|auth)[a-z0-9_-]{0,40}+["'\]]{0,2}+\s*+[=:]++>?+\s*+["']?+(?=((?<=")[^"\r\n]+(?=")|(?<=')[^'\r\n]+(?=')|[^\s"']\S*+))"""
 #: The word and separators before a candidate, and the code points they can take up.
 BEFORE, CONTEXT = r"[^\s=:]{1,24}[\s=:\"']{1,4}\z", 28
 FEATURES = ("length", "digits", "uppers", "turns", "coverage", "named", "path")
@@ -27,12 +29,20 @@ FEATURES = ("length", "digits", "uppers", "turns", "coverage", "named", "path")
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, end, token and the word and separators before it for every candidate; null text has none.
 
-    Tokens are matched alone and what stands before them is looked up by place, so no candidate hides its neighbour.
+    Candidates are long tokens and whatever is assigned to a name that tells of a secret, of any length and any
+    printable characters; a token within such a value is a row of its own. Both are matched without what stands
+    before them, so no candidate hides its neighbour.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t")).where(F.col("t").rlike(TOKEN))
-    rows = rows.select("doc_id", "t", F.explode(F.expr(_matches("t", TOKEN))).alias("x"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t")).where(F.col("t").rlike(f"{TOKEN}|{NAME}"))
+    name = NAME.replace("\\", "\\\\").replace("'", "\\'")
+    # The name is consumed, the value only looked at: it begins where the name's match ends.
+    assigned = f"zip_with({_matches('t', name)}, regexp_extract_all(t, '{name}', 1), (m, v) -> named_struct('s', m.e, 'v', v, 'b', m.v))"
+    tokens = f"transform({_matches('t', TOKEN)}, x -> named_struct('s', x.s, 'v', x.v, 'b', cast(NULL AS string)))"
+    found = f"element_at(transform(array({assigned}), a -> concat(a, filter({tokens}, x -> NOT exists(a, y -> y.s = x.s AND y.v = x.v)))), 1)"
+    rows = rows.select("doc_id", "t", F.explode(F.expr(f"CASE WHEN t rlike '{name}' THEN {found} ELSE {tokens} END")).alias("x"))
     near = F.expr(f"substring(t, greatest(1, x.s - {CONTEXT} + 1), least({CONTEXT}, x.s))")
-    return rows.select("doc_id", F.col("x.s").alias("start"), F.col("x.e").alias("end"), F.col("x.v").alias("token"), F.regexp_extract(near, BEFORE, 0).alias("before"))
+    before = F.coalesce("x.b", F.regexp_extract(near, BEFORE, 0))
+    return rows.select("doc_id", F.col("x.s").alias("start"), (F.col("x.s") + F.length("x.v")).alias("end"), F.col("x.v").alias("token"), before.alias("before"))
 
 
 def _share(pattern: str) -> Column:
@@ -51,13 +61,17 @@ def with_features(found: DataFrame) -> DataFrame:
 
 
 def known(token: Column, before: Column) -> Column:
-    """1 for known key formats and quoted or assigned hexadecimal, 0 for plain words, null where no rule decides."""
+    """1 for known key formats, assigned hexadecimal and letters with digits quoted after a name, 0 for plain words not quoted after a name, null where no rule decides."""
     secret = token.rlike("^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,})$") | (token.rlike("^[0-9a-f]{20,}$") & before.rlike(r"(?i)(password|token|secret|key)[\s=:\"']+$"))
-    return F.when(secret, 1.0).when(token.rlike("^[A-Za-z][a-z]+$"), 0.0)
+    quoted = before.rlike(r"(?i)(pass|secret|token|key|auth)\S*\s*[=:]+>?\s*[\"']$")
+    secret = secret | (quoted & token.rlike(r"^(?=.*[A-Za-z])(?=.*[0-9])\S{6,}$"))
+    return F.when(secret, 1.0).when(token.rlike("^[A-Za-z][a-z]+$") & ~quoted, 0.0)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """doc_id, token, before, score and is_secret for every candidate of every whole text.
+    """doc_id, start, end, token, before, score and is_secret for every candidate of every whole text.
+
+    Places are code points, the end is exclusive. Null ids are kept, repeated rows get equal results.
 
     Trained on about ``sample`` findings that ``known`` labels, picked by a hash. Where they are of one kind only,
     the label decides alone and undecided candidates are no secrets.
@@ -66,10 +80,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sizes = {r["label"]: r["n"] for r in rows.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         score = F.coalesce("label", F.lit(0.0))
-        return rows.select("doc_id", "token", "before", score.alias("score"), (score >= 0.5).alias("is_secret"))
+        return rows.select("doc_id", "start", "end", "token", "before", score.alias("score"), (score >= 0.5).alias("is_secret"))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / 2 / n))])
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     picked = rows.where(F.col("label").isNotNull() & (F.xxhash64("token", "before", "doc_id") / 2.0**64 + 0.5 < share[F.col("label")]))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, labelCol="label").fit(picked.select("features", "label"))
     scored = forest.transform(rows).withColumn("score", F.round(vector_to_array("probability")[1], 6))
-    return scored.select("doc_id", "token", "before", "score", (F.col("score") >= 0.5).alias("is_secret"))
+    return scored.select("doc_id", "start", "end", "token", "before", "score", (F.col("score") >= 0.5).alias("is_secret"))
