@@ -107,6 +107,20 @@ def test_personal_data(spark):
     assert clean[1] is None and "@" not in clean[9] and "secretword" not in clean[9]
 
 
+def test_disclosing_terms_everywhere(spark):
+    far = " common words" * 20
+    rows = [(1, f"q@r.st Zelnorq{far} zelnorq"), (2, f"🙂 zelnorq{far} Bo{far} q@r.st"), (3, f"bo{far} q@r.st"), (4, f"other text with ZELNORQ in it{far}"), (4, f"other text with ZELNORQ in it{far}")]
+    rows += [(i, f"filler {i} common words") for i in range(10, 60)]
+    found = pii.find_personal_data(docs(spark, rows)).collect()
+    texts = defaultdict(set)
+    for i, t in rows:
+        texts[i].add(t)
+    terms = sorted((r.doc_id, t[x.s : x.e].lower()) for r in found for t in texts[r.doc_id] for x in r.spans if x.k == 4)
+    assert terms == sorted([(1, "zelnorq"), (1, "zelnorq"), (2, "zelnorq"), (2, "bo"), (3, "bo"), (4, "zelnorq"), (4, "zelnorq")])
+    clean = [r.text for r in pii.sanitise(docs(spark, rows)).collect()]
+    assert len(clean) == len(rows) and not any("zelnorq" in t.lower() or "bo" in t.lower().split() for t in clean)
+
+
 def _components(rows, percent=90, k=3):
     sets = {}
     for i, t in rows:

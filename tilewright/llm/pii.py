@@ -1,9 +1,9 @@
 """Personal data: patterns, and terms that disclose them (operator 5). DataFrame functions only.
 
-Base patterns find emails, IP addresses, cards and phone numbers. Then corpus statistics tell which words next to
-such an entity reveal it: with p(t) and p(c, t) over distinct texts, a term's disclosure of entity c is
+Base patterns find emails, IP addresses, cards and phone numbers. Then corpus statistics tell which words in a text
+with such an entity reveal it: with p(t) and p(c, t) over whole distinct texts, a term's disclosure of entity c is
 PMI(c; t) / IC(c), where 1 means that the term occurs with the entity alone. Terms from ``generalise`` on are
-replaced by a placeholder, terms from ``remove`` on are taken out.
+replaced by a placeholder, terms from ``remove`` on are taken out, at every place in every text.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Code points of context on either side, least number of texts with entity and term, and thresholds.
-WINDOW, SUPPORT, GENERALISE, REMOVE = 48, 2, 0.75, 0.95
-#: A list of candidate terms (8 bytes each) up to this length is broadcast; a longer one is joined.
+#: Least number of texts with entity and term, and thresholds.
+SUPPORT, GENERALISE, REMOVE = 2, 0.75, 0.95
+#: A list of candidate terms or of texts with terms (8 bytes each) up to this length is broadcast; a longer one is joined.
 BROADCAST_ROWS = 1_000_000
 
 _SPAN = "array<struct<s:int,e:int,v:string>>"
@@ -24,7 +24,7 @@ _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[
 _IP = r"(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++"
 _CARD = r"[0-9][0-9\\x20-]*+"
 _PHONE = r"\\+[0-9][\\x20().0-9-]+[0-9]"
-_TERM = r"\\p{L}[\\p{L}\\p{N}_]{3,}+"
+_TERM = r"\\p{L}[\\p{L}\\p{N}_]*+"
 
 
 def _matches(text: str, pattern: str) -> str:
@@ -69,29 +69,39 @@ def _with_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("base", base_spans())
 
 
-def _contexts(window: int) -> str:
-    """SQL: for each base span the words near it that no base span covers: array<struct<c, s, e, w>>."""
-    left = f"regexp_replace(substring(t, greatest(1, b.s - {window} + 1), least({window}, b.s)), CASE WHEN b.s > {window} THEN '^[^\\\\s]+' ELSE '^(?!)' END, '')"
-    right = f"regexp_replace(substring(t, b.e + 1, {window}), CASE WHEN length(t) - b.e > {window} THEN '[^\\\\s]+$' ELSE '(?!)$' END, '')"
-    words = f"concat(transform({_matches('l', _TERM)}, w -> named_struct('s', b.s - length(l) + w.s, 'e', b.s - length(l) + w.e, 'w', lower(w.v))), transform({_matches('r', _TERM)}, w -> named_struct('s', b.e + w.s, 'e', b.e + w.e, 'w', lower(w.v))))"
-    near = f"flatten(transform(array({left}), l -> flatten(transform(array({right}), r -> {words}))))"
-    entity = f"xxhash64(b.k, CASE WHEN b.k = 0 THEN lower(b.v) WHEN b.k = 1 THEN b.v ELSE {_digits('b.v')} END)"
-    free = f"filter({near}, w -> NOT exists(base, o -> o.s < w.e AND w.s < o.e))"
-    return f"flatten(transform(base, b -> transform({free}, w -> named_struct('c', {entity}, 's', w.s, 'e', w.e, 'w', w.w))))"
+#: SQL: the text with blanks for what base spans cover, places unchanged; the entity of a base span b; distinct words of free text as hashes.
+_FREE = """aggregate(base, named_struct('p', 0, 'o', ''), (a, x) -> CASE WHEN x.e <= a.p THEN a
+    ELSE named_struct('p', x.e, 'o', concat(a.o, substring(t, a.p + 1, greatest(0, x.s - a.p)), repeat(' ', x.e - greatest(a.p, x.s)))) END,
+    a -> concat(a.o, substring(t, a.p + 1, length(t))))"""
+_ENTITY = f"xxhash64(b.k, CASE WHEN b.k = 0 THEN lower(b.v) WHEN b.k = 1 THEN b.v ELSE {_digits('b.v')} END)"
+_WORDS = f"array_distinct(transform(regexp_extract_all(CASE WHEN size(base) > 0 THEN {_FREE} ELSE t END, '{_TERM}', 0), w -> xxhash64(lower(w))))"
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def _places(terms: str) -> str:
+    """SQL for array<struct<s, e, th>>: the words of column free whose hashes are keys of the map ``terms``."""
+    return f"""aggregate(arrays_zip(regexp_extract_all(free, '{_TERM}', 0), slice(split(free, '{_TERM}', -1), 1, size(regexp_extract_all(free, '{_TERM}', 0)))),
+        named_struct('p', 0, 'o', cast(array() AS array<struct<s:int,e:int,th:bigint>>)),
+        (a, x) -> named_struct('p', a.p + length(x.`1`) + length(x.`0`), 'o', CASE WHEN map_contains_key({terms}, xxhash64(lower(x.`0`)))
+            THEN concat(a.o, cast(array(named_struct('s', a.p + length(x.`1`), 'e', a.p + length(x.`1`) + length(x.`0`), 'th', xxhash64(lower(x.`0`)))) AS array<struct<s:int,e:int,th:bigint>>)) ELSE a.o END),
+        a -> a.o)"""
+
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """doc_id, h (hash of the text) and spans: array<struct<k, s, e, action>> by start and kind; one row per input row.
 
     Places are code points, the end is exclusive. Base spans have action ``mask``; terms have ``generalise`` or
-    ``remove``. Null text counts as empty, repeated rows get equal results, null ids are kept. Statistics are
-    taken over the distinct texts of the whole table, so copies do not vouch for each other.
+    ``remove`` wherever they stand. Null text counts as empty, repeated rows get equal results, null ids are kept.
+    Statistics are taken over the distinct texts of the whole table, so copies do not vouch for each other.
     """
     rows = _with_base(docs, id_col, text_col)
-    found = materialize(rows.select("doc_id", "h", F.transform("base", lambda b: F.struct(b["k"].alias("k"), b["s"].alias("s"), b["e"].alias("e"))).alias("base"), F.expr(f"CASE WHEN size(base) > 0 THEN {_contexts(window)} ELSE cast(array() AS array<struct<c:bigint,s:int,e:int,w:string>>) END").alias("near")))
-    near = found.where(F.size("near") > 0).select("h", F.explode("near").alias("x")).select("h", "x.*").withColumn("th", F.xxhash64("w"))
-    pairs = near.select("h", "c", "th").distinct().groupBy("c", "th").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support)
-    entities = near.select("h", "c").distinct().groupBy("c").agg(F.count("*").alias("n_c"))
+    bare = F.transform("base", lambda b: F.struct(b["k"].alias("k"), b["s"].alias("s"), b["e"].alias("e"))).alias("base")
+    entities = F.expr(f"array_distinct(transform(base, b -> {_ENTITY}))").alias("cs")
+    found = materialize(rows.select("doc_id", "h", bare, entities, F.expr(f"CASE WHEN size(base) > 0 THEN {_WORDS} ELSE cast(array() AS array<bigint>) END").alias("words")))
+    near = found.where(F.size("cs") > 0).select("h", "cs", "words").dropDuplicates(["h"])
+    # Entities in fewer texts than the support can't reach it with any term.
+    n_c = near.select(F.explode("cs").alias("c")).groupBy("c").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= support)
+    pairs = near.select(F.explode("cs").alias("c"), "words").join(n_c, "c").select("c", "n_c", F.explode("words").alias("th"))
+    pairs = pairs.groupBy("c", "th").agg(F.count("*").alias("n_ct"), F.first("n_c").alias("n_c")).where(F.col("n_ct") >= support)
     total = found.agg(F.count_distinct("h").alias("n"))
     # One row; attached as a literal so that no join is needed.
     n = float(total.collect()[0]["n"]) or 1.0
@@ -100,25 +110,22 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def disclosure(texts_with_term: str) -> Column:
         return F.when(ic > 0, F.log(F.lit(n) * F.col("n_ct") / (F.col("n_c") * F.col(texts_with_term))) / ic).otherwise(0.0)
 
-    # A term is in at least as many texts as it is near entities in: pairs that fail even so need no count over whole texts.
-    least = near.select("h", "th").distinct().groupBy("th").agg(F.count("*").alias("n_near"))
-    pairs = materialize(pairs.join(entities, "c").join(least, "th").where(disclosure("n_near") >= generalise).drop("n_near"))
+    # A term is in at least as many texts as in texts with an entity: pairs that fail even so need no count over all texts.
+    least = near.select(F.explode("words").alias("th")).groupBy("th").agg(F.count("*").alias("n_near"))
+    pairs = materialize(pairs.join(least, "th").where(disclosure("n_near") >= generalise).drop("n_near"))
     terms = pairs.select("th").distinct()
-    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    each = texts.select(F.xxhash64("t").alias("h"), F.explode(F.expr(f"array_distinct(transform(regexp_extract_all(t, '{_TERM}', 0), w -> xxhash64(lower(w))))")).alias("th"))
-    n_terms = terms.count()
-    if n_terms <= BROADCAST_ROWS:
-        each = each.join(F.broadcast(terms), "th", "left_semi")
-        counts = each.distinct().groupBy("th").agg(F.count("*").alias("n_t"))
-    else:
-        counts = each.distinct().groupBy("th").agg(F.count("*").alias("n_t")).join(terms, "th", "left_semi")
-    told = pairs.join(counts, "th").withColumn("d", disclosure("n_t"))
-    told = told.where(F.col("d") >= generalise).select("c", "th", "d")
-    hit = found.where(F.size("near") > 0).select("doc_id", "h", F.explode("near").alias("x")).select("doc_id", "h", "x.*").withColumn("th", F.xxhash64("w")).join(told, ["c", "th"])
-    best = hit.groupBy("doc_id", "h", "s", "e").agg(F.max("d").alias("d"))
-    added = best.groupBy("doc_id", "h").agg(F.collect_list(F.struct(F.lit(4).alias("k"), "s", "e", F.when(F.col("d") >= remove, "remove").otherwise("generalise").alias("action"))).alias("added"))
-    added = added.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "added")
-    out = found.join(added, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    each = rows.select("h", F.explode(F.expr(_WORDS)).alias("th"))
+    each = each.join(F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms, "th", "left_semi")
+    each = materialize(each.distinct())
+    counts = each.groupBy("th").agg(F.count("*").alias("n_t"))
+    told = pairs.join(counts, "th").withColumn("d", disclosure("n_t")).where(F.col("d") >= generalise).groupBy("th").agg(F.max("d").alias("d"))
+    hit = materialize(each.join(told, "th").groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("th", "d"))).alias("told")))
+    # Only texts with such terms move; their places depend on the text alone.
+    texts = rows.join(F.broadcast(hit.select("h")), "h", "left_semi") if hit.count() <= BROADCAST_ROWS else rows
+    placed = texts.select("h", F.expr(_FREE).alias("free")).join(hit, "h").select("h", "told", F.expr(_places("told")).alias("at"))
+    action = F.transform("at", lambda x: F.struct(F.lit(4).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.when(F.col("told")[x["th"]] >= remove, "remove").otherwise("generalise").alias("action")))
+    added = placed.select(F.col("h").alias("_h"), action.alias("added")).dropDuplicates(["_h"])
+    out = found.join(added, F.col("h") == F.col("_h"), "left")
     every = F.concat(F.transform("base", lambda b: F.struct(b["k"].alias("k"), b["s"].alias("s"), b["e"].alias("e"), F.lit("mask").alias("action"))), F.coalesce("added", F.expr("cast(array() AS array<struct<k:int,s:int,e:int,action:string>>)")))
     return out.select("doc_id", "h", F.array_sort(every, lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).when(a["k"] != b["k"], a["k"] - b["k"]).otherwise(a["e"] - b["e"])).alias("spans"))
 
