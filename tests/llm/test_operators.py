@@ -4,13 +4,14 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tilewright.llm import flac, jaccard, langid, packing, pieces, pii, registry, secrets, topk, toxicity, urls
-from tilewright.llm.common import held_out
+from tilewright.llm.common import held_out, shared_dir
 
 DATA = "/root/testdata/sf0.001"
 TEXTS = "doc_id long, text string, score string, label string"
@@ -227,3 +228,17 @@ def test_media_rows(spark):
     out = {r.doc_id: r for r in flac.media_digest(flac.encode_column(docs(spark, [(1, None), (2, ""), (3, "x" * 65), (4, "x" * 65)]))).collect()}
     assert (out[1].payload_bytes, out[3].payload_bytes, out[3].n_bytes) == (64, 128, 65)
     assert out[1].payload_sha256 == out[2].payload_sha256 == hashlib.sha256(bytes(64)).hexdigest() and out[3].media_sha256 == out[4].media_sha256
+
+
+def test_media_is_stored(spark, tmp_path):
+    rows = [(1, None), (2, "é🙂" * 3000), (3, "x" * 65)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.glob("tilewright-*"))
+    digests = {r.doc_id: r for r in registry.op10_media(spark, str(tmp_path)).collect()}
+    (stored,) = set(folder.glob("tilewright-*")) - before
+    blocks = flac.decode_column(spark.read.parquet(str(stored))).orderBy("doc_id", "block").collect()
+    for i, t in rows:
+        payload = b"".join(b.pcm for b in blocks if b.doc_id == i)
+        assert payload == flac.padded_payload(t)[0] and digests[i].payload_sha256 == hashlib.sha256(payload).hexdigest()
+        assert all(b.first_sample == 4096 * b.block for b in blocks if b.doc_id == i)

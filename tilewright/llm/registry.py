@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flac, jaccard, langid, packing, pieces, pii, secrets, topk, toxicity, urls
-from .common import held_out, table
+from .common import held_out, materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,7 +69,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.media_digest(flac.encode_column(table(spark, sf_dir, "documents")))
+    return flac.media_digest(materialize(flac.encode_column(table(spark, sf_dir, "documents"))))
 
 
 OP4_SQL = """
