@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where it is unset, a local one for tests."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session in one process (``local``) gets a temporary folder; on a cluster that is an error,
+    since executors would not see each other's files.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.gettempdir()}/tilewright-checkpoints"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -26,6 +32,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*stored: DataFrame) -> None:
+    """Removes tables that ``materialize`` wrote, once everything that was made from them has been written itself."""
+    for df in stored:
+        if files := df.inputFiles():
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
