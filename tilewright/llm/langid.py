@@ -2,7 +2,8 @@
 
 Blended-spectrum presence kernel: for n = 1, 2, 3 the share of common character n-grams, |x and l| / sqrt(|x| |l|),
 averaged. Landmarks (Nystroem) stand for the training texts, and one-versus-rest kernel ridge regression is
-solved on their features. A batch of texts is scored as products of its presence matrices with the landmarks'
+solved on their features. Tasks turn the training texts into rows of kernel values and sum their products, so the
+driver gets landmarks and matrices of fixed size, no texts. A batch of texts is scored as products of its presence matrices with the landmarks'
 weights, so a text costs the same whatever the number of landmarks.
 """
 
@@ -14,11 +15,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documented bounds of the training sample: texts per language (in expectation) and landmarks per language.
-PER_LANG, LANDMARKS = 400, 64
+from .common import materialize, release
+
+#: Documented bounds of the training sample: texts per language (in expectation), landmarks per language and in all,
+#: and the length up to which texts are preferred as landmarks (training and prediction read whole texts of any length).
+PER_LANG, LANDMARKS, ALL_LANDMARKS, MARK_CHARS = 400, 64, 512, 20_000
 RIDGE = 1e-2
 LETTERS = 126  # letters with codes of their own; 127 stands for all others, 0 for what is no letter
 WIDTH = 128
@@ -37,15 +41,11 @@ def _lower_letters() -> np.ndarray:
     return out
 
 
-def alphabet_codes(texts: list[str]) -> np.ndarray:
-    """The commonest letters of the sample, counted once a text."""
-    low, n = _lower_letters(), np.zeros(0x10000, dtype=np.int64)
-    for t in texts:
-        cp = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        n[np.unique(low[np.minimum(cp, 0xFFFF)])] += 1
-    n[0] = 0
-    best = np.argsort(-n, kind="stable")[:LETTERS]
-    return best[n[best] > 0]
+def letters_in(text: str) -> np.ndarray:
+    """Distinct letters of a whole text, as lower-case code points."""
+    cp = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
+    out = np.unique(_lower_letters()[np.minimum(cp, 0xFFFF)])
+    return out[out > 0]
 
 
 def code_table(alphabet: np.ndarray) -> np.ndarray:
@@ -137,59 +137,102 @@ def _scratch() -> np.ndarray:
     return np.zeros(WIDTH**3, dtype=np.int32)
 
 
-def fit_texts(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Nystroem features on ``landmarks`` texts a language, then ridge regression of one language against the rest."""
-    names = sorted(set(langs))
-    model = Model(names, alphabet_codes(texts) if texts else np.zeros(0, dtype=np.int64))
-    y = np.array([names.index(x) for x in langs])
-    chosen = np.concatenate([np.flatnonzero(y == k)[:landmarks] for k in range(len(names))]) if names else np.zeros(0, dtype=int)
-    rows, codes = grams(texts, model.table) if texts else ([np.zeros(0, int)] * 3, [np.zeros(0, int)] * 3)
-    kernel, marks = np.zeros((len(texts), chosen.size)), []
-    for n, r, c in zip((1, 2, 3), rows, codes):
+def presence(texts: list[str], table: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By n: row and code of each text's distinct n-grams, and their number a text (1 at least)."""
+    out = []
+    for n, r, c in zip((1, 2, 3), *grams(texts, table)):
         pairs = np.unique(r.astype(np.int64) * WIDTH**n + c)
         r, c = pairs // WIDTH**n, pairs % WIDTH**n
-        size = np.maximum(np.bincount(r, minlength=len(texts)), 1)
-        mine = np.isin(r, chosen)
-        vocabulary = np.unique(c[mine])
-        at = np.full(WIDTH**n, -1, dtype=np.int32)
-        at[vocabulary] = np.arange(vocabulary.size)
-        place = np.full(len(texts), -1)
-        place[chosen] = np.arange(chosen.size)
-        mark = np.zeros((vocabulary.size, chosen.size), dtype=np.float32)
-        mark[at[c[mine]], place[r[mine]]] = 1
-        mark /= 3 * np.sqrt(size[chosen])
-        present = np.zeros((len(texts), vocabulary.size), dtype=np.float32)
-        hit = at[c] >= 0
-        present[r[hit], at[c[hit]]] = 1
-        kernel += (present @ mark) / np.sqrt(size)[:, None]
-        model.vocabulary.append(vocabulary)
-        marks.append(mark)
-    if chosen.size:
-        values, vectors = np.linalg.eigh(kernel[chosen])
-        root = vectors / np.sqrt(np.maximum(values, 1e-6))
-        features = kernel @ root
-        share = 1 / np.bincount(y)[y]  # every language weighs the same
-        target = (y[:, None] == np.arange(len(names))).astype(float)
-        gram = features.T @ (features * share[:, None]) + ridge * np.eye(chosen.size) / chosen.size
-        beta = root @ np.linalg.solve(gram, features.T @ (target * share[:, None]))
-    else:
-        beta = np.zeros((0, len(names)))
-    model.weights = [(m @ beta).astype(np.float32) for m in marks]
-    return model
+        out.append((r, c, np.maximum(np.bincount(r, minlength=len(texts)), 1)))
+    return out
+
+
+class Landmarks:
+    """Presence of n-grams in the landmark texts, and the kernel of any texts with them."""
+
+    def __init__(self, texts: list[str], table: np.ndarray):
+        self.table, self.size = table, len(texts)
+        self.vocabulary: list[np.ndarray] = []
+        self.marks: list[np.ndarray] = []
+        for r, c, size in presence(texts, table):
+            vocabulary = np.unique(c)
+            mark = np.zeros((vocabulary.size, len(texts)), dtype=np.float32)
+            mark[np.searchsorted(vocabulary, c), r] = 1
+            self.vocabulary.append(vocabulary)
+            self.marks.append(mark / (3 * np.sqrt(size)))
+
+    def kernel(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.size))
+        for (r, c, size), vocabulary, mark in zip(presence(texts, self.table), self.vocabulary, self.marks):
+            at = np.minimum(np.searchsorted(vocabulary, c), max(0, vocabulary.size - 1))
+            hit = vocabulary[at] == c if vocabulary.size else np.zeros(c.size, dtype=bool)
+            present = np.zeros((len(texts), vocabulary.size), dtype=np.float32)
+            present[r[hit], at[hit]] = 1
+            out += (present @ mark) / np.sqrt(size)[:, None]
+        return out
 
 
-def fit_language_model(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
+def fit_language_model(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", ridge: float = RIDGE) -> Model:
     """Fits on a bounded sample of the labelled rows given: about ``per_lang`` a language, by a hash of id and text.
 
-    Rows without text or language teach nothing. Without any such row every prediction is ``und``.
+    Rows without text or language teach nothing. Without any such row every prediction is ``und``. The driver gets
+    the landmarks (at most ``ALL_LANDMARKS`` texts, the shorter ones of the sample where there are enough) and sums
+    of kernel products (landmarks x landmarks, landmarks x languages) a task.
     """
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")).where("text is not null and lang is not null")
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")).where("text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return fit_texts([], [])
+    names = sorted(counts)
+    if not names:
+        return Model()
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_lang / n))])
-    picked = rows.where((F.col("h") / 2.0**64 + 0.5) < share[F.col("lang")]).select("text", "lang").orderBy("h").collect()
-    return fit_texts([r["text"] for r in picked], [r["lang"] for r in picked], landmarks)
+    picked = materialize(rows.where((F.col("h") / 2.0**64 + 0.5) < share[F.col("lang")]))
+    each = max(1, min(landmarks, ALL_LANDMARKS // len(names)))
+    short = F.greatest(F.length("text"), F.lit(MARK_CHARS))
+    chosen = picked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(short, "h", "text"))).where(F.col("k") <= each).orderBy("lang", "k").select("text").collect()
+
+    def letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(0x10000, dtype=np.int64)
+        for pdf in batches:
+            for t in pdf["text"]:
+                n[letters_in(t)] += 1
+        yield pd.DataFrame({"code": np.flatnonzero(n), "n": n[n > 0]})
+
+    common = picked.select("text").mapInPandas(letters, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(LETTERS).collect()
+    model = Model(names, np.array([r["code"] for r in common], dtype=np.int64))
+    marks = Landmarks([r["text"] for r in chosen], model.table)
+    values, vectors = np.linalg.eigh(marks.kernel([r["text"] for r in chosen]))
+    root = vectors / np.sqrt(np.maximum(values, 1e-6))
+    known = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = known.value
+        by = {x: (np.zeros((m.size, m.size)), np.zeros(m.size), 0) for x in names}
+        for whole in batches:
+            for at in range(0, len(whole), 16):
+                part = whole.iloc[at : at + 16]
+                k = m.kernel(part["text"].tolist())
+                for x in part["lang"].unique():
+                    own = k[(part["lang"] == x).to_numpy()]
+                    by[x] = by[x][0] + own.T @ own, by[x][1] + own.sum(axis=0), by[x][2] + len(own)
+        seen = {x: v for x, v in by.items() if v[2]}
+        yield pd.DataFrame({"lang": list(seen), "square": [v[0].tobytes() for v in seen.values()], "total": [v[1].tobytes() for v in seen.values()], "n": [v[2] for v in seen.values()]}, columns=["lang", "square", "total", "n"])
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        add = lambda c: np.add.reduce([np.frombuffer(x) for x in pdf[c]]).tobytes()
+        return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "square": [add("square")], "total": [add("total")], "n": [int(pdf["n"].sum())]})
+
+    schema = "lang string, square binary, total binary, n long"
+    sums = picked.select("text", "lang").repartition(8).mapInPandas(products, schema).groupBy("lang").applyInPandas(added, schema).collect()
+    release(picked)
+    # Every language weighs the same.
+    gram, target = ridge * np.eye(marks.size) / marks.size, np.zeros((marks.size, len(names)))
+    for r in sums:
+        gram += root.T @ (np.frombuffer(r["square"]).reshape(marks.size, marks.size) / r["n"]) @ root
+        target[:, names.index(r["lang"])] = root.T @ np.frombuffer(r["total"]) / r["n"]
+    beta = root @ np.linalg.solve(gram, target)
+    model.vocabulary = marks.vocabulary
+    model.weights = [(m @ beta).astype(np.float32) for m in marks.marks]
+    return model
 
 
 def identify_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", batch: int = 128) -> DataFrame:
