@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from tilewright.llm import jaccard, langid, packing, pii, registry, toxicity
 from tilewright.llm.common import held_out, materialize, table
 
-#: Below this score no language stands out; with four languages chance is 0.25.
-LEAST_LANGUAGE_SCORE = 0.4
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those in which no language stands out."""
+    """Drops documents without a letter and those in which no language stands out.
+
+    A language stands out if its score is at least twice the mean of the others': for n languages, 2 / (n + 1).
+    """
     known = docs.select("doc_id", "text", "lang").where(~held_out("doc_id"))
-    judged = langid.identify_languages(docs, langid.fit_language_model(known))
-    return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    model = langid.fit_language_model(known)
+    judged = langid.identify_languages(docs, model)
+    return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= 2 / (len(model.langs) + 1))).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
