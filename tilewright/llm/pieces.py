@@ -1,14 +1,20 @@
 """Piece encoding and decoding by a max-plus scan (operator 7).
 
-The best segmentation of a text is a path of greatest score. A giant document is split into chunks; each gives a
-matrix over boundary states (how far the last piece of one chunk reaches into the next), matrices are combined
-by max-plus products, and then every chunk is traced back on its own between its known states.
+The best segmentation of a text is a path of greatest summed piece score. Every text is cut into chunks, rows of
+their own; each gives a transfer matrix over boundary states (how far the last piece of one chunk reaches into the
+next). Matrices are combined by max-plus products in a tree (``FAN`` neighbours a step, each step a shuffle by
+document and place), the states at all cuts are read on the way down, and every chunk is traced back by itself.
+
+Cuts are laid before a mark where there is one, since no piece holds a mark but in front: such a cut has the
+single state 0. A chunk between two such cuts has a 1 x 1 matrix, its score, and is traced at once. Within it, words are
+encoded together, a position of all words at a time, and kept in a bounded cache. This is the segmentation of greatest
+score; among equal ones the choice is fixed for a given chunk size. The supplied model is a merge model, whose own
+encoding is a different one.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -17,10 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 MARK = "▁"
 APART = "\uffff"  # stands for a mark of the text itself
-#: Characters of a chunk, words kept by a worker, and the score of a character written as bytes.
-CHUNK, CACHE, BYTES_SCORE = 8192, 600_000, -1e6
+#: Characters of a chunk, neighbours combined in a step, words kept by a worker, characters of words that are encoded together.
+CHUNK, FAN, CACHE, TOGETHER = 8192, 32, 400_000, 48
+#: The score of a character written as bytes.
+BYTES_SCORE = -1e6
 NONE = -1e18
 
 
@@ -45,6 +55,15 @@ class Vocabulary:
         self.single = {c for c, (_, score) in self.ids.items() if len(c) == 1 and score > BYTES_SCORE}
         self.spelled = [bytes([self.bytes[i]]) if i in self.bytes else piece.replace(MARK, " ").encode() for i, piece in enumerate(self.pieces)]
         self.words: dict[str, tuple[list[int], float]] = {}
+        # The prefixes as a tree: node and character to the next node, sorted for binary search; id and score by node.
+        node = {x: k for k, x in enumerate(["", *self.prefixes])}
+        edges = sorted((node[x[:-1]] << 21 | ord(x[-1]), k) for x, k in node.items() if x)
+        self.edge, self.target = np.array([e for e, _ in edges], dtype=np.int64), np.array([k for _, k in edges], dtype=np.int32)
+        self.node_id, self.node_score = np.full(len(node), -1, dtype=np.int32), np.full(len(node), NONE)
+        for x, hit in self.prefixes.items():
+            if hit is not None:
+                self.node_id[node[x]], self.node_score[node[x]] = hit[0][0], hit[1]
+        self.plain = np.array(sorted(map(ord, self.single)), dtype=np.uint32)
 
     def best(self, s: str, a: int = 0, stop: int | None = None) -> tuple[list[float], list]:
         """Scores and back pointers of all positions from a; pieces start before ``stop``."""
@@ -79,32 +98,106 @@ class Vocabulary:
 
     def word(self, w: str) -> tuple[list[int], float]:
         """Ids and score of a mark followed by w, which holds none."""
-        if (hit := self.words.get(w)) is None:
-            score, back = self.best(MARK + w)
-            hit = self.trace(back, 0, len(w) + 1), score[-1]
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[w] = hit
-        return hit
-
-    def transfer(self, s: str, size: int) -> np.ndarray:
-        """Matrix over (entry, exit) states of a chunk: s holds its ``size`` characters and the next ``longest`` - 1."""
-        k = self.longest
-        m = np.full((k, k), NONE)
-        for i in range(k):
-            if i <= size:
-                score, _ = self.best(s, i, size)
-                for j in range(min(k, len(s) - size + 1)):
-                    m[i, j] = score[size + j]
-        return m
-
-    def decode(self, ids: list[int]) -> str:
-        return b"".join([self.spelled[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
+        score, back = self.best(MARK + w)
+        return self.trace(back, 0, len(w) + 1), score[-1]
+
+    def learn(self, words: set[str]) -> None:
+        """Puts words into the cache: those of usual length together, the others one by one."""
+        new = [w for w in words if w not in self.words]
+        if len(self.words) + len(new) > CACHE:
+            self.words.clear()
+            new = list(words)
+        usual = sorted((w for w in new if len(w) < TOGETHER), key=len)
+        for at in range(0, len(usual), 1 << 15):
+            part = usual[at : at + (1 << 15)]
+            size = np.array([len(w) + 1 for w in part])
+            flat = np.frombuffer("".join(MARK + w for w in part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            text = np.zeros((len(part), int(size[-1])), dtype=np.uint32)
+            text[np.arange(text.shape[1])[None, :] < size[:, None]] = flat
+            known = (self.plain[np.minimum(np.searchsorted(self.plain, flat), self.plain.size - 1)] == flat) | (flat == ord(MARK))
+            fine = np.logical_and.reduceat(known, np.cumsum(size) - size)
+            self._together([w for w, ok in zip(part, fine) if ok], text[fine], size[fine])
+            for w, ok in zip(part, fine):
+                if not ok:
+                    self.words[w] = self.word(w)
+        for w in new:
+            if len(w) >= TOGETHER:
+                self.words[w] = self.word(w)
+
+    def _together(self, names: list[str], text: np.ndarray, size: np.ndarray) -> None:
+        """``best`` and ``trace`` for rows of characters, sorted by size; all but the mark in front have pieces of their own."""
+        if not names:
+            return
+        n, width = text.shape
+        score = np.full((n, width + 1), NONE)
+        score[:, 0] = 0.0
+        last, piece = np.zeros((n, width + 1), dtype=np.int32), np.full((n, width + 1), -1, dtype=np.int32)
+        if MARK not in self.single:
+            score[:, 1], piece[:, 1] = BYTES_SCORE, self.byte_ids[32]
+        for p in range(width):
+            rows = np.arange(np.searchsorted(size, p, side="right"), n)
+            node = np.zeros(rows.size, dtype=np.int64)
+            for e in range(p + 1, min(width, p + self.longest) + 1):
+                key = node << 21 | text[rows, e - 1]
+                at = np.minimum(np.searchsorted(self.edge, key), self.edge.size - 1)
+                on = self.edge[at] == key
+                rows, node = rows[on], self.target[at[on]].astype(np.int64)
+                if not rows.size:
+                    break
+                total = score[rows, p] + self.node_score[node]
+                better = total > score[rows, e]
+                r = rows[better]
+                score[r, e], last[r, e], piece[r, e] = total[better], p, self.node_id[node[better]]
+        place, steps = size.copy(), []
+        while (place > 0).any():
+            steps.append(np.where(place > 0, piece[np.arange(n), place], -1))
+            place = np.where(place > 0, last[np.arange(n), place], 0)
+        ids = np.stack(steps[::-1], axis=1).tolist()
+        count = (np.stack(steps) >= 0).sum(axis=0).tolist()
+        for w, row, k, total in zip(names, ids, count, score[np.arange(n), size].tolist()):
+            self.words[w] = row[len(row) - k :], total
+
+    def transfer(self, s: str, size: int, enter: int, leave: int) -> np.ndarray:
+        """Matrix over entry states below ``enter`` and exit states below ``leave``: s holds the chunk's ``size`` characters and some next ones."""
+        at = np.full((len(s) + 1, enter), NONE)
+        at[np.arange(min(enter, size + 1)), np.arange(min(enter, size + 1))] = 0.0
+        get, single, longest = self.prefixes.get, self.single, self.longest
+        for p in range(size):
+            base = at[p]
+            if s[p] not in single:
+                np.maximum(at[p + 1], base + BYTES_SCORE, out=at[p + 1])
+                if s[p] == APART:
+                    continue
+            for e in range(p + 1, min(len(s), p + longest) + 1):
+                hit = get(s[p:e], NONE)
+                if hit is NONE:
+                    break
+                if hit is not None:
+                    np.maximum(at[e], base + hit[1], out=at[e])
+        m = np.full((enter, leave), NONE)
+        n = min(leave, len(s) - size + 1)
+        m[:, :n] = at[size : size + n].T
+        return np.maximum(m, NONE)
+
+    def decode(self, ids: list[int]) -> bytes:
+        """The bytes of a run of ids; every mark is a space."""
+        return b"".join([self.spelled[i] for i in ids])
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus product: associative, so chunks may be combined in any grouping."""
-    return (a[:, :, None] + b[None, :, :]).max(axis=1)
+    return np.maximum((a[:, :, None] + b[None, :, :]).max(axis=1), NONE)
+
+
+def states_within(matrices: list[np.ndarray], enter: int, leave: int) -> list[int]:
+    """The states at all cuts of a run of chunks on the best path from ``enter`` to ``leave``."""
+    before = [np.where(np.arange(matrices[0].shape[0]) == enter, 0.0, NONE)[None, :]]
+    for m in matrices[:-1]:
+        before.append(combine(before[-1], m))
+    out = [leave]
+    for m, pre in zip(reversed(matrices), reversed(before)):
+        out.append(int((pre[0] + m[:, out[-1]]).argmax()))
+    return out[::-1]
 
 
 @functools.lru_cache(maxsize=2)
@@ -117,52 +210,197 @@ def marked(text: str) -> str:
     return MARK + text.replace(MARK, APART).replace(" ", MARK)
 
 
-def encode_whole(v: Vocabulary, s: str) -> tuple[list[int], float]:
-    """Word by word: no piece holds a mark but in front, so words are independent."""
-    ids: list[int] = []
-    total = 0.0
-    for w in s.split(MARK)[1:]:
-        got, score = v.word(w)
-        ids += got
-        total += score
-    return ids, total
-
-
-def encode_chunks(v: Vocabulary, s: str, chunk: int) -> tuple[list[int], float]:
-    """The same result by the scan: matrices, prefix products, then each chunk traced back by itself."""
-    spans = [(a, min(len(s), a + chunk)) for a in range(0, len(s), chunk)]
-    parts = [s[a : e + v.longest - 1] for a, e in spans]
-    matrices = [v.transfer(p, e - a) for p, (a, e) in zip(parts, spans)]
-    before = [np.where(np.arange(v.longest) == 0, 0.0, NONE)[None, :]]
-    for m in matrices:
-        before.append(combine(before[-1], m))
-    exits = [0]
-    for m, pre in zip(reversed(matrices), reversed(before[:-1])):
-        exits.append(int((pre[0] + m[:, exits[-1]]).argmax()))
-    states = exits[::-1]
-    ids: list[int] = []
-    for p, (a, e), i, j in zip(parts, spans, states, states[1:]):
-        ids += v.trace(v.best(p, i, e - a)[1], i, e - a + j)
-    return ids, float(before[-1][0, 0])
+def cuts(s: str, chunk: int) -> list[tuple[int, int]]:
+    """(start, end) of the chunks of a marked text, at most ``chunk`` characters each; cut before the last mark where there is one."""
+    out, a = [], 0
+    while len(s) - a > chunk:
+        soft = s.rfind(MARK, a + 1, a + chunk + 1)
+        e = soft if soft > 0 else a + chunk
+        out.append((a, e))
+        a = e
+    return [*out, (a, len(s))]
 
 
-def encode_column(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_ids, ids_crc32, score, decoded_sha256 and round_trip of every whole text; null counts as empty.
+# Fixed value: the reversed polynomial of CRC-32.
+_CRC = 0xEDB88320
+
+
+def _times(a: int, b: int) -> int:
+    """Product of two polynomials over GF(2) modulo the CRC's, bits reversed."""
+    out = 0
+    while a:
+        if a & 0x80000000:
+            out ^= b
+        a = (a << 1) & 0xFFFFFFFF
+        b = (b >> 1) ^ (_CRC if b & 1 else 0)
+    return out
+
+
+def joined_crc(a: int, b: int, size_b: int) -> int:
+    """CRC-32 of a concatenation from the parts' and the second part's size in bytes."""
+    power, square, n = 0x80000000, 0x00800000, size_b  # 1 and x^8
+    while n:
+        if n & 1:
+            power = _times(square, power)
+        square = _times(square, square)
+        n >>= 1
+    return _times(power, a) ^ b
 
-    Words longer than ``chunk`` characters are encoded by the chunked scan, others from a bounded word cache.
-    """
+
+_KEYS = "row long, doc_id long, chunk long, chunks long"
+_SUMS = "n_ids long, ids_crc32 long, score double, bytes long, bytes_crc32 long, round_trip boolean"
+_SUM_NAMES = [x.split()[0] for x in _SUMS.split(", ")]
+_OPEN = "enter int, leave int, size int, part string"
+
+
+def _sums(v: Vocabulary, ids: list[int], score: float, said: str, size: int, enter: int, leave: int) -> tuple:
+    back = v.decode(ids)
+    told = said[enter : size + leave].replace(MARK, " ").replace(APART, MARK).encode("utf-8", "surrogatepass")
+    return len(ids), zlib.crc32(np.asarray(ids, dtype="<u4").tobytes()), score, len(back), zlib.crc32(back), back == told
+
+
+def chunk_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, with_ids: bool = False) -> DataFrame:
+    """A row a chunk of every whole text: row, doc_id, chunk, chunks, digests (or null), ids if asked for, and for chunks with an
+    open cut their text. Null text counts as empty; ``row`` tells rows of one id apart."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = vocabulary(path)
+        for whole in batches:
+            upto = np.cumsum([len(t) + 1 if isinstance(t, str) else 1 for t in whole["text"]]) >> 20
+            for k in np.unique(upto):
+                pdf = whole[upto == k]
+                texts = [marked(t) if isinstance(t, str) else MARK for t in pdf["text"]]
+                v.learn({w for s in texts for w in s.split(MARK) if len(w) < chunk})
+                yield pd.DataFrame([x for r, d, s in zip(pdf["row"], pdf["doc_id"], texts) for x in rows_of(v, r, d, s)], columns=names).astype({"doc_id": "Int64", **dict.fromkeys(("n_ids", "ids_crc32", "bytes", "bytes_crc32"), "Int64")})
+
+    def rows_of(v: Vocabulary, row: int, doc: int | None, s: str) -> Iterator[tuple]:
+        spans = cuts(s, max(chunk, v.longest))
+        for c, (a, e) in enumerate(spans):
+            enter = 1 if s[a] == MARK else v.longest
+            leave = 1 if e == len(s) or s[e] == MARK else v.longest
+            head = (row, doc, c, len(spans))
+            if enter == leave == 1:
+                ids: list[int] = []
+                total = 0.0
+                for w in s[a:e].split(MARK)[1:]:
+                    got, score = v.words.get(w) or v.word(w)
+                    ids += got
+                    total += score
+                yield (*head, *_sums(v, ids, total, s[a:e], e - a, 0, 0), *([ids] if with_ids else []), enter, leave, e - a, None)
+            else:
+                part = s[a : e + v.longest - 1]
+                yield (*head, *[None] * (6 + with_ids), enter, leave, e - a, part)
+
+    schema = f"{_KEYS}, {_SUMS}, {'ids array<int>, ' if with_ids else ''}{_OPEN}"
+    names = [x.split()[0] for x in schema.split(", ")]
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInPandas(run, schema)
+
+
+def _up(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("at")
+    m = functools.reduce(combine, [np.frombuffer(x).reshape(a, b) for x, a, b in zip(pdf["matrix"], pdf["enter"], pdf["leave"])])
+    return pd.DataFrame({"row": pdf["row"].iloc[:1], "at": [int(pdf["at"].iloc[0]) // FAN], "enter": m.shape[0], "leave": m.shape[1], "matrix": [m.tobytes()]})
+
+
+def _down(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("at")
+    s = states_within([np.frombuffer(x).reshape(a, b) for x, a, b in zip(pdf["matrix"], pdf["enter"], pdf["leave"])], int(pdf["first"].iloc[0]), int(pdf["last"].iloc[0]))
+    return pd.DataFrame({"row": pdf["row"], "at": pdf["at"], "first": s[:-1], "last": s[1:]})
+
+
+def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, with_ids: bool = True) -> DataFrame:
+    """The encoding of every whole text, a row a chunk: row, doc_id, chunk, chunks, digests of the chunk and (``with_ids``) its ids.
+
+    Null text counts as empty, repeated rows get equal results, null ids are kept, an empty table stays empty. A chunk
+    is the most that a task holds at a time of a giant text after it was cut. ``chunk`` is at least the longest piece.
+    """
+    rows = materialize(chunk_rows(docs, path, id_col, text_col, chunk, with_ids))
+    kept = [c for c in rows.columns if c not in ("enter", "leave", "size", "part")]
+    open_ = rows.where("part IS NOT NULL")
+    most = open_.agg(F.max("chunks")).first()[0]
+    if not most:
+        return rows.select(*kept)
+
+    def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = vocabulary(path)
+        for pdf in batches:
+            m = [v.transfer(p, n, a, b).tobytes() for p, n, a, b in zip(pdf["part"], pdf["size"], pdf["enter"], pdf["leave"])]
+            yield pdf[["row", "at", "enter", "leave"]].assign(matrix=m)
+
+    # Up: matrices of the open chunks, each chunk a row of its own; chunks between closed cuts take part with their scores.
+    schema = "row long, at long, enter int, leave int, matrix binary"
+    dealt = open_.select("row", F.col("chunk").alias("at"), "enter", "leave", "size", "part").repartition("row", "at")
+    closed = rows.where("part IS NULL AND chunks > 1").join(open_.select("row").distinct(), "row", "left_semi")
+    as_matrix = F.udf(lambda x: np.array([x]).tobytes(), "binary")
+    levels = [materialize(dealt.mapInPandas(matrices, schema).unionByName(closed.select("row", F.col("chunk").alias("at"), "enter", "leave", as_matrix("score").alias("matrix"))))]
+    while most > 1:
+        levels.append(materialize(levels[-1].groupBy("row", F.floor(F.col("at") / FAN).alias("g")).applyInPandas(_up, schema)))
+        most = -(-most // FAN)
+    # Down: the states at the cuts.
+    states = levels[-1].select("row", "at", F.lit(0).alias("first"), F.lit(0).alias("last"))
+    for level in reversed(levels[:-1]):
+        known = states.select("row", F.col("at").alias("g"), "first", "last")
+        states = level.withColumn("g", F.floor(F.col("at") / FAN)).join(known, ["row", "g"]).groupBy("row", "g").applyInPandas(_down, "row long, at long, first int, last int")
+    states = materialize(states)
+
+    def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(path)
         for pdf in batches:
             out = []
-            for d, t in zip(pdf["doc_id"], pdf["text"]):
-                t = t if isinstance(t, str) else ""
-                s = marked(t)
-                longest = max(map(len, s.split(MARK)))
-                ids, score = encode_chunks(v, s, chunk) if longest > chunk else encode_whole(v, s)
-                back = v.decode(ids)
-                out.append((d, len(ids), zlib.crc32(np.asarray(ids, dtype="<u4").tobytes()), score, hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == t))
-            yield pd.DataFrame(out, columns=["doc_id", "n_ids", "ids_crc32", "score", "decoded_sha256", "round_trip"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id long, n_ids long, ids_crc32 long, score double, decoded_sha256 string, round_trip boolean")
+            for r in pdf.itertuples():
+                score, back = v.best(r.part, r.first, r.size)
+                ids = v.trace(back, r.first, r.size + r.last)
+                out.append((r.row, r.doc_id, r.chunk, r.chunks, *_sums(v, ids, score[r.size + r.last], r.part, r.size, r.first, r.last), *([ids] if with_ids else [])))
+            yield pd.DataFrame(out, columns=kept).astype({"doc_id": "Int64"})
+
+    parts = open_.join(states.select("row", F.col("at").alias("chunk"), "first", "last"), ["row", "chunk"])
+    schema = f"{_KEYS}, {_SUMS}{', ids array<int>' if with_ids else ''}"
+    parts = parts.repartition("row", "chunk")
+    return rows.where("part IS NULL").select(*kept).unionByName(parts.select("row", "doc_id", "chunk", "chunks", "size", "part", "first", "last").mapInPandas(traced, schema))
+
+
+def decode_pieces(chunks: DataFrame, path: str) -> DataFrame:
+    """row, doc_id, chunk, chunks and text of encoded chunks; joined in order they are the document.
+
+    A chunk may end within a character that is written as bytes only if another model encoded it; such bytes are replaced.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = vocabulary(path)
+        for pdf in batches:
+            text = [v.decode(list(ids)).decode("utf-8", "replace")[c == 0 :] for ids, c in zip(pdf["ids"], pdf["chunk"])]
+            yield pdf[["row", "doc_id", "chunk", "chunks"]].assign(text=text)
+
+    return chunks.select("row", "doc_id", "chunk", "chunks", "ids").mapInPandas(run, f"{_KEYS}, text string")
+
+
+def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Digests of runs of chunks (column ``parts``: at most ``FAN`` structs in order) joined to one each."""
+    for pdf in batches:
+        out = []
+        for row, doc, at, parts in zip(pdf["row"], pdf["doc_id"], pdf["at"], pdf["parts"]):
+            n, crc, score, size, told, fine = 0, 0, 0.0, 0, 0, True
+            for p in parts:
+                crc, told = joined_crc(crc, p["ids_crc32"], 4 * p["n_ids"]), joined_crc(told, p["bytes_crc32"], p["bytes"])
+                n, score, size, fine = n + p["n_ids"], score + p["score"], size + p["bytes"], fine and p["round_trip"]
+            out.append((row, doc, at, n, crc, score, size, told, fine))
+        yield pd.DataFrame(out, columns=["row", "doc_id", "at", *_SUM_NAMES]).astype({"doc_id": "Int64"})
+
+
+def encode_column(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_ids, ids_crc32, score, decoded_bytes, decoded_crc32 and round_trip of every whole text, one row per row.
+
+    The chunks' digests are joined in order, ``FAN`` neighbours a step.
+    """
+    rows = encode_pieces(docs, path, id_col, text_col, chunk, with_ids=False)
+    single, several = rows.where("chunks = 1"), rows.where("chunks > 1").withColumn("at", F.col("chunk"))
+    most = several.agg(F.max("chunks")).first()[0] or 1
+    several = several.select("row", "doc_id", "at", *_SUM_NAMES)
+    while most > 1:
+        near = several.groupBy("row", F.floor(F.col("at") / FAN).alias("g")).agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("at", *_SUM_NAMES))).alias("parts"))
+        several = near.select("row", "doc_id", F.col("g").alias("at"), "parts").mapInPandas(_added, f"row long, doc_id long, at long, {_SUMS}")
+        most = -(-most // FAN)
+    # The mark in front decodes to a space, which is no part of the text; a score is rounded, since its order of addition is free.
+    out = single.select("doc_id", *_SUM_NAMES).unionByName(several.select("doc_id", *_SUM_NAMES))
+    return out.select("doc_id", "n_ids", "ids_crc32", F.round("score", 6).alias("score"), (F.col("bytes") - 1).alias("decoded_bytes"), F.col("bytes_crc32").alias("decoded_crc32"), "round_trip")
