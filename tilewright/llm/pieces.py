@@ -55,7 +55,7 @@ class Vocabulary:
         self.single = {c for c, (_, score) in self.ids.items() if len(c) == 1 and score > BYTES_SCORE}
         self.spelled = [bytes([self.bytes[i]]) if i in self.bytes else piece.replace(MARK, " ").encode() for i, piece in enumerate(self.pieces)]
         self.words: dict[str, tuple[list[int], float]] = {}
-        # The prefixes as a tree: node and character to the next node, sorted for binary search; id and score by node.
+        # The prefixes as a tree: node and character to the next node, by a hash; id and score by node.
         node = {x: k for k, x in enumerate(["", *self.prefixes])}
         edges = sorted((node[x[:-1]] << 21 | ord(x[-1]), k) for x, k in node.items() if x)
         self.edge, self.target = np.array([e for e, _ in edges], dtype=np.int64), np.array([k for _, k in edges], dtype=np.int32)
@@ -63,8 +63,27 @@ class Vocabulary:
         for x, hit in self.prefixes.items():
             if hit is not None:
                 self.node_id[node[x]], self.node_score[node[x]] = hit[0][0], hit[1]
+        # A slot holds the place of its only edge, or -1 for several, which are then searched for.
+        slot, first, times = np.unique(self._slot(self.edge), return_index=True, return_counts=True)
+        self.slots = np.full(1 << 20, self.edge.size, dtype=np.int32)
+        self.slots[slot] = np.where(times == 1, first, -1)
+        self.edge = np.append(self.edge, -1)
+        self.target = np.append(self.target, 0)
         self.plain = np.array(sorted(map(ord, self.single)), dtype=np.uint32)
 
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+
+    def _next(self, node: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the nodes have the child, and these children."""
+        key = node << 21 | char
+        at = self.slots[self._slot(key)]
+        if (crowded := np.flatnonzero(at < 0)).size:
+            at[crowded] = np.searchsorted(self.edge[:-1], key[crowded])
+        on = np.flatnonzero(self.edge[at] == key)
+        return on, self.target[at[on]]
+
     def best(self, s: str, a: int = 0, stop: int | None = None) -> tuple[list[float], list]:
         """Scores and back pointers of all positions from a; pieces start before ``stop``."""
         n, stop = len(s), len(s) if stop is None else stop
@@ -96,10 +115,11 @@ class Vocabulary:
             out.append(ids)
         return [i for ids in reversed(out) for i in ids]
 
-    def word(self, w: str) -> tuple[list[int], float]:
-        """Ids and score of a mark followed by w, which holds none."""
+    def word(self, w: str) -> tuple[bytes, float, bytes]:
+        """Ids (32-bit), score and decoded bytes of a mark followed by w, which holds none."""
         score, back = self.best(MARK + w)
-        return self.trace(back, 0, len(w) + 1), score[-1]
+        ids = self.trace(back, 0, len(w) + 1)
+        return np.asarray(ids, dtype="<u4").tobytes(), score[-1], self.decode(ids)
 
     def learn(self, words: set[str]) -> None:
         """Puts words into the cache: those of usual length together, the others one by one."""
@@ -109,53 +129,54 @@ class Vocabulary:
             new = list(words)
         usual = sorted((w for w in new if len(w) < TOGETHER), key=len)
         for at in range(0, len(usual), 1 << 15):
-            part = usual[at : at + (1 << 15)]
-            size = np.array([len(w) + 1 for w in part])
-            flat = np.frombuffer("".join(MARK + w for w in part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            text = np.zeros((len(part), int(size[-1])), dtype=np.uint32)
-            text[np.arange(text.shape[1])[None, :] < size[:, None]] = flat
-            known = (self.plain[np.minimum(np.searchsorted(self.plain, flat), self.plain.size - 1)] == flat) | (flat == ord(MARK))
-            fine = np.logical_and.reduceat(known, np.cumsum(size) - size)
-            self._together([w for w, ok in zip(part, fine) if ok], text[fine], size[fine])
-            for w, ok in zip(part, fine):
-                if not ok:
-                    self.words[w] = self.word(w)
+            self._together(usual[at : at + (1 << 15)])
         for w in new:
             if len(w) >= TOGETHER:
                 self.words[w] = self.word(w)
 
-    def _together(self, names: list[str], text: np.ndarray, size: np.ndarray) -> None:
-        """``best`` and ``trace`` for rows of characters, sorted by size; all but the mark in front have pieces of their own."""
-        if not names:
-            return
-        n, width = text.shape
-        score = np.full((n, width + 1), NONE)
-        score[:, 0] = 0.0
-        last, piece = np.zeros((n, width + 1), dtype=np.int32), np.full((n, width + 1), -1, dtype=np.int32)
-        if MARK not in self.single:
-            score[:, 1], piece[:, 1] = BYTES_SCORE, self.byte_ids[32]
+    def _together(self, names: list[str]) -> None:
+        """``word`` for words sorted by length."""
+        n, size = len(names), np.array([len(w) + 1 for w in names])
+        width = int(size[-1])
+        flat = np.frombuffer("".join([MARK + w for w in names]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        text = np.zeros((n, width), dtype=np.int64)
+        text[np.arange(width)[None, :] < size[:, None]] = flat
+        plain = self.plain[np.minimum(np.searchsorted(self.plain, text), self.plain.size - 1)] == text
+        score = np.full((width + 1, n), NONE)
+        score[0] = 0.0
+        last, piece = np.zeros((width + 1, n), dtype=np.int32), np.full((width + 1, n), -1, dtype=np.int32)
         for p in range(width):
-            rows = np.arange(np.searchsorted(size, p, side="right"), n)
-            node = np.zeros(rows.size, dtype=np.int64)
+            low = int(np.searchsorted(size, p, side="right"))
+            # Characters without a piece are written as bytes: a negative piece names the character.
+            odd = low + np.flatnonzero(~plain[low:, p])
+            odd = odd[score[p, odd] + BYTES_SCORE > score[p + 1, odd]]
+            score[p + 1, odd], last[p + 1, odd], piece[p + 1, odd] = score[p, odd] + BYTES_SCORE, p, -2 - text[odd, p]
+            rows, node = np.arange(low, n), np.zeros(n - low, dtype=np.int64)
             for e in range(p + 1, min(width, p + self.longest) + 1):
-                key = node << 21 | text[rows, e - 1]
-                at = np.minimum(np.searchsorted(self.edge, key), self.edge.size - 1)
-                on = self.edge[at] == key
-                rows, node = rows[on], self.target[at[on]].astype(np.int64)
+                on, child = self._next(node, text[rows, e - 1])
+                rows, node = rows[on], child.astype(np.int64)
                 if not rows.size:
                     break
-                total = score[rows, p] + self.node_score[node]
-                better = total > score[rows, e]
+                total = score[p, rows] + self.node_score[node]
+                better = np.flatnonzero(total > score[e, rows])
                 r = rows[better]
-                score[r, e], last[r, e], piece[r, e] = total[better], p, self.node_id[node[better]]
-        place, steps = size.copy(), []
+                score[e, r], last[e, r], piece[e, r] = total[better], p, self.node_id[node[better]]
+        place, steps, every = size.copy(), [], np.arange(n)
         while (place > 0).any():
-            steps.append(np.where(place > 0, piece[np.arange(n), place], -1))
-            place = np.where(place > 0, last[np.arange(n), place], 0)
-        ids = np.stack(steps[::-1], axis=1).tolist()
-        count = (np.stack(steps) >= 0).sum(axis=0).tolist()
-        for w, row, k, total in zip(names, ids, count, score[np.arange(n), size].tolist()):
-            self.words[w] = row[len(row) - k :], total
+            steps.append(np.where(place > 0, piece[place, every], -1))
+            place = np.where(place > 0, last[place, every], 0)
+        ids = np.stack(steps[::-1], axis=1).astype("<i4")
+        count = (ids != -1).sum(axis=1)
+        totals = score[size, every].tolist()
+        spelled, wide, rest = self.spelled, ids.shape[1], (ids < -1).any(axis=1).tolist()
+        raw = ids.tobytes()
+        for k, (w, c, row) in enumerate(zip(names, count.tolist(), ids.tolist())):
+            own = row[wide - c :]
+            if rest[k]:
+                own = [i for x in own for i in ([x] if x >= 0 else [self.byte_ids[b] for b in {APART: MARK, MARK: " "}.get(chr(-2 - x), chr(-2 - x)).encode("utf-8", "surrogatepass")])]
+                self.words[w] = np.asarray(own, dtype="<u4").tobytes(), totals[k], b"".join([spelled[i] for i in own])
+            else:
+                self.words[w] = raw[4 * (k * wide + wide - c) : 4 * (k + 1) * wide], totals[k], b"".join([spelled[i] for i in own])
 
     def transfer(self, s: str, size: int, enter: int, leave: int) -> np.ndarray:
         """Matrix over entry states below ``enter`` and exit states below ``leave``: s holds the chunk's ``size`` characters and some next ones."""
@@ -253,10 +274,9 @@ _SUM_NAMES = [x.split()[0] for x in _SUMS.split(", ")]
 _OPEN = "enter int, leave int, size int, part string"
 
 
-def _sums(v: Vocabulary, ids: list[int], score: float, said: str, size: int, enter: int, leave: int) -> tuple:
-    back = v.decode(ids)
-    told = said[enter : size + leave].replace(MARK, " ").replace(APART, MARK).encode("utf-8", "surrogatepass")
-    return len(ids), zlib.crc32(np.asarray(ids, dtype="<u4").tobytes()), score, len(back), zlib.crc32(back), back == told
+def _sums(ids: bytes, score: float, back: bytes, said: str) -> tuple:
+    """Digests of a chunk from its ids, its decoded bytes and the text that it says."""
+    return len(ids) // 4, zlib.crc32(ids), score, len(back), zlib.crc32(back), back == said.replace(MARK, " ").replace(APART, MARK).encode("utf-8", "surrogatepass")
 
 
 def chunk_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, with_ids: bool = False) -> DataFrame:
@@ -274,19 +294,15 @@ def chunk_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 yield pd.DataFrame([x for r, d, s in zip(pdf["row"], pdf["doc_id"], texts) for x in rows_of(v, r, d, s)], columns=names).astype({"doc_id": "Int64", **dict.fromkeys(("n_ids", "ids_crc32", "bytes", "bytes_crc32"), "Int64")})
 
     def rows_of(v: Vocabulary, row: int, doc: int | None, s: str) -> Iterator[tuple]:
-        spans = cuts(s, max(chunk, v.longest))
+        spans, get = cuts(s, max(chunk, v.longest)), v.words.get
         for c, (a, e) in enumerate(spans):
             enter = 1 if s[a] == MARK else v.longest
             leave = 1 if e == len(s) or s[e] == MARK else v.longest
             head = (row, doc, c, len(spans))
             if enter == leave == 1:
-                ids: list[int] = []
-                total = 0.0
-                for w in s[a:e].split(MARK)[1:]:
-                    got, score = v.words.get(w) or v.word(w)
-                    ids += got
-                    total += score
-                yield (*head, *_sums(v, ids, total, s[a:e], e - a, 0, 0), *([ids] if with_ids else []), enter, leave, e - a, None)
+                hits = [get(w) or v.word(w) for w in s[a + 1 : e].split(MARK)]
+                ids = b"".join([h[0] for h in hits])
+                yield (*head, *_sums(ids, sum([h[1] for h in hits]), b"".join([h[2] for h in hits]), s[a:e]), *([np.frombuffer(ids, dtype="<i4")] if with_ids else []), enter, leave, e - a, None)
             else:
                 part = s[a : e + v.longest - 1]
                 yield (*head, *[None] * (6 + with_ids), enter, leave, e - a, part)
@@ -351,7 +367,7 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             for r in pdf.itertuples():
                 score, back = v.best(r.part, r.first, r.size)
                 ids = v.trace(back, r.first, r.size + r.last)
-                out.append((r.row, r.doc_id, r.chunk, r.chunks, *_sums(v, ids, score[r.size + r.last], r.part, r.size, r.first, r.last), *([ids] if with_ids else [])))
+                out.append((r.row, r.doc_id, r.chunk, r.chunks, *_sums(np.asarray(ids, dtype="<u4").tobytes(), score[r.size + r.last], v.decode(ids), r.part[r.first : r.size + r.last]), *([ids] if with_ids else [])))
             yield pd.DataFrame(out, columns=kept).astype({"doc_id": "Int64"})
 
     parts = open_.join(states.select("row", F.col("at").alias("chunk"), "first", "last"), ["row", "chunk"])
