@@ -23,8 +23,10 @@ from .common import materialize
 
 CAPACITY = 1024
 EOS = 2
-#: Each length is ranked in so many independent parts, so that one very common length is no hot group.
-PARTS = 128
+# Fixed value: a text that holds this string gets its one id, as the library's tokenizer file has it by default.
+SPECIAL = "<|endoftext|>"
+#: Each length is ranked in independent parts of about so many rows, so that one very common length is no hot group.
+PART_ROWS = 100_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -38,7 +40,7 @@ def encoder(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, eos: int = EOS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,7 +55,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, eos
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = np.append(np.asarray(enc.encode_ordinary(text or ""), dtype="<u4"), np.uint32(eos)).astype("<u4")
+                ids = np.append(np.asarray(enc.encode(text or "", allowed_special="all"), dtype="<u4"), np.uint32(eos)).astype("<u4")
                 first = ids.size % capacity or capacity
                 cuts = [0, *range(min(first, ids.size), ids.size + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -105,27 +107,31 @@ def rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, i
     return places
 
 
-def best_fit_packing(pieces: DataFrame, capacity: int = CAPACITY, parts: int = PARTS) -> DataFrame:
+def best_fit_packing(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``capacity``.
 
-    Needs columns doc_id, piece and length; others are kept. Ties of length are ranked by doc_id and piece;
+    Needs columns doc_id, piece and length; others are kept, but for a given ``sequence_id`` and ``offset``. Ties of length are ranked by doc_id and piece;
     equal rows get places of their own. An empty table stays empty. A length outside the range fails the job.
     ``pieces`` is read twice: pass a stored table.
     """
     spark = pieces.sparkSession
-    salted = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
-    runs = salted.groupBy("length", "_part").count()
-    runs = runs.withColumn("_before", F.sum("count").over(Window.partitionBy("length").orderBy("_part")) - F.col("count"))
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).limit(capacity + 1).collect()}
+    parts = max(128, -(-max(counts.values(), default=1) // part_rows))
+    # The given columns travel in one struct, so that none of their names clashes with these.
+    row = pieces.select(F.struct(*[F.col(f"`{c}`") for c in pieces.columns]).alias("row"))
+    salted = row.withColumn("length", F.col("row.length")).withColumn("part", F.pmod(F.xxhash64("row.doc_id", "row.piece"), F.lit(parts)))
+    runs = salted.groupBy("length", "part").count()
+    runs = runs.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count"))
     if counts and not 1 <= min(counts) <= max(counts) <= capacity:
         raise ValueError(f"lengths must be from 1 to {capacity}")
-    plan = spark.createDataFrame(rounds(counts, capacity), "_length long, _lo long, _hi long, _seq long, offset long")
-    order = Window.partitionBy("length", "_part").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("_rank", F.row_number().over(order) - 1)
-    ranked = ranked.join(runs.select("length", "_part", "_before"), ["length", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    plan = spark.createDataFrame(rounds(counts, capacity), "of long, lo long, hi long, seq long, offset long")
+    order = Window.partitionBy("length", "part").orderBy("row.doc_id", "row.piece")
+    ranked = salted.withColumn("rank", F.row_number().over(order) - 1)
+    ranked = ranked.join(runs.select("length", "part", "before"), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
     # At most one row per run and round: bounded by the capacity, so it may be broadcast.
-    placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
-    return placed.withColumn("sequence_id", F.col("_seq") + F.col("_rank") - F.col("_lo")).select(*pieces.columns, "sequence_id", "offset")
+    placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    kept = [F.col(f"row.`{c}`").alias(c) for c in pieces.columns if c not in ("sequence_id", "offset")]
+    return placed.select(*kept, (F.col("seq") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, **names: str) -> DataFrame:
