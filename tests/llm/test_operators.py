@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import defaultdict
 from pathlib import Path
 
@@ -37,9 +38,14 @@ def test_packing(spark):
             at += length
         assert at <= 1024
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     for i, text in ((1, "hello world " * 900), (4, "good <|endoftext|> day's  end\n\n ")):
-        assert sum(r.length for r in rows if r.doc_id == i) == len(t.encode(text, add_special_tokens=False).ids) + 1
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], dtype="<u4")
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
+        assert [r.start for r in own] == [0, *np.cumsum([r.length for r in own])[:-1]] and sum(r.length for r in own) == ids.size
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own)
+    pieces_ = packing.token_pieces(words, registry.vocabulary()).withColumns({c: F.lit("clash") for c in ("offset", "sequence_id", "_rank", "_part", "rank", "part", "row")})
+    placed = packing.best_fit_packing(pieces_, part_rows=1).collect()
+    assert len(placed) == len(rows) and all(r._rank == r.part == "clash" for r in placed) and sum(r.offset == 0 for r in placed) == len({r.sequence_id for r in placed})
     assert packing.pack_documents(words.limit(0), registry.vocabulary()).count() == 0
 
 
@@ -104,6 +110,9 @@ def test_personal_data(spark):
     want = {i: hashlib.sha256(_spans(t or "").encode()).hexdigest() for i, t in rows}
     assert {r.doc_id: r.base_sha256 for r in out} == want
     assert {r.doc_id for r in out if r.n_term} == {9, 10}
+    odd = docs(spark, rows).withColumns({c: F.lit("clash") for c in ("_h", "_id", "_spans", "_key", "h", "spans", "key", "row")})
+    assert all(r._h == r.spans == r.row == "clash" for r in pii.sanitise(odd).collect()) and pii.sanitise(odd).columns == odd.columns
+    assert pii.sanitise(odd.limit(0)).count() == 0
     clean = {r.doc_id: r.text for r in pii.sanitise(docs(spark, rows)).collect()}
     assert clean[1] is None and "@" not in clean[9] and "secretword" not in clean[9]
 
@@ -160,14 +169,38 @@ def test_jaccard(spark):
     assert jaccard.jaccard_components(docs(spark, rows).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("text", ["", "hello world ▁x  é 🙂\n tab\t", "abcthequickbrown" * 40])
-def test_pieces(text):
+@pytest.mark.parametrize("chunk", [1, 64, 8192])
+def test_pieces(spark, chunk):
     import public_tokenizers
 
-    v = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
-    whole, chunked = pieces.encode_whole(v, pieces.marked(text)), pieces.encode_chunks(v, pieces.marked(text), 37)
-    assert whole[0] == chunked[0] and whole[1] == pytest.approx(chunked[1])
-    assert v.decode(whole[0]) == text
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    v, rng = pieces.vocabulary(path), random.Random(1)
+    texts = [None, "", " ", "hello world ▁x  é 🙂\n tab\t", "abcthequickbrown" * 40, "x" * 60 + "\n" + "y" * 60] + ["".join(rng.choice("abcde thé▁🙂\n") for _ in range(rng.randrange(400))) for _ in range(12)]
+    rows = [(None if i == 3 else i % 9, t) for i, t in enumerate(texts)] + [(5, texts[5])]
+
+    def best(t):  # plain dynamic programming over the whole text
+        s = pieces.marked(t or "")
+        score, back = v.best(s)
+        return score[-1], v.trace(back, 0, len(s))
+
+    chunks = pieces.encode_pieces(docs(spark, rows), path, chunk=chunk)
+    by, said = defaultdict(list), defaultdict(list)
+    for r in chunks.collect():
+        by[r.row].append(r)
+    for r in pieces.decode_pieces(chunks, path).collect():
+        said[r.row].append((r.chunk, r.text))
+    assert sorted(("".join(x for _, x in sorted(c)) for c in said.values())) == sorted(t or "" for _, t in rows)
+    assert sorted(round(sum(r.score for r in own), 4) for own in by.values()) == sorted(round(best(t)[0], 4) for _, t in rows)
+    score_of = {i: v.ids[p][1] for p, (i, _) in v.ids.items()}
+    for own in by.values():  # the ids have the score that they claim
+        ids = [i for r in own for i in r.ids]
+        assert sum(score_of.get(i, 0) for i in ids if i not in v.bytes) + sum(pieces.BYTES_SCORE for _ in re.findall("[^\x80-\xbf]", bytes(v.bytes[i] for i in ids if i in v.bytes).decode("latin-1"))) == pytest.approx(sum(r.score for r in own))
+    out = pieces.encode_column(docs(spark, rows), path, chunk=chunk).collect()
+    assert all(r.round_trip for r in out)
+    assert sorted((str(r.doc_id), r.decoded_bytes, r.decoded_crc32) for r in out) == sorted((str(i), len((t or "").encode()), zlib.crc32((" " + (t or "")).encode())) for i, t in rows)
+    if chunk == 8192:
+        assert sorted((str(r.doc_id), r.n_ids, r.ids_crc32) for r in out) == sorted((str(i), len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())) for i, t in rows for x in [best(t)[1]])
+    assert pieces.encode_column(docs(spark, rows).limit(0), path).count() == 0
 
 
 def test_toxicity(spark):
