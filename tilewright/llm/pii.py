@@ -74,7 +74,8 @@ _FREE = """aggregate(base, named_struct('p', 0, 'o', ''), (a, x) -> CASE WHEN x.
     ELSE named_struct('p', x.e, 'o', concat(a.o, substring(t, a.p + 1, greatest(0, x.s - a.p)), repeat(' ', x.e - greatest(a.p, x.s)))) END,
     a -> concat(a.o, substring(t, a.p + 1, length(t))))"""
 _ENTITY = f"xxhash64(b.k, CASE WHEN b.k = 0 THEN lower(b.v) WHEN b.k = 1 THEN b.v ELSE {_digits('b.v')} END)"
-_WORDS = f"array_distinct(transform(regexp_extract_all(CASE WHEN size(base) > 0 THEN {_FREE} ELSE t END, '{_TERM}', 0), w -> xxhash64(lower(w))))"
+_FOUND = f"regexp_extract_all(CASE WHEN size(base) > 0 THEN {_FREE} ELSE t END, '{_TERM}', 0)"
+_WORDS = f"array_distinct(transform({_FOUND}, w -> xxhash64(lower(w))))"
 
 
 def _places(terms: str) -> str:
@@ -93,11 +94,11 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``remove`` wherever they stand. Null text counts as empty, repeated rows get equal results, null ids are kept.
     Statistics are taken over the distinct texts of the whole table, so copies do not vouch for each other.
     """
-    rows = _with_base(docs, id_col, text_col)
     bare = F.transform("base", lambda b: F.struct(b["k"].alias("k"), b["s"].alias("s"), b["e"].alias("e"))).alias("base")
     entities = F.expr(f"array_distinct(transform(base, b -> {_ENTITY}))").alias("cs")
-    found = materialize(rows.select("doc_id", "h", bare, entities, F.expr(f"CASE WHEN size(base) > 0 THEN {_WORDS} ELSE cast(array() AS array<bigint>) END").alias("words")))
-    near = found.where(F.size("cs") > 0).select("h", "cs", "words").dropDuplicates(["h"])
+    # Stored with the texts, so that the base patterns run once.
+    found = materialize(_with_base(docs, id_col, text_col).select("doc_id", "h", "t", bare, entities))
+    near = materialize(found.where(F.size("cs") > 0).dropDuplicates(["h"]).select("h", "cs", F.expr(_WORDS).alias("words")))
     # Entities in fewer texts than the support can't reach it with any term.
     n_c = near.select(F.explode("cs").alias("c")).groupBy("c").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= support)
     pairs = near.select(F.explode("cs").alias("c"), "words").join(n_c, "c").select("c", "n_c", F.explode("words").alias("th"))
@@ -114,14 +115,15 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = near.select(F.explode("words").alias("th")).groupBy("th").agg(F.count("*").alias("n_near"))
     pairs = materialize(pairs.join(least, "th").where(disclosure("n_near") >= generalise).drop("n_near"))
     terms = pairs.select("th").distinct()
-    each = rows.select("h", F.explode(F.expr(_WORDS)).alias("th"))
+    # One row a word: cheaper than a lambda a word, and few words are left after the join.
+    each = found.select("h", F.explode(F.expr(_FOUND)).alias("w")).select("h", F.xxhash64(F.lower("w")).alias("th"))
     each = each.join(F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms, "th", "left_semi")
     each = materialize(each.distinct())
     counts = each.groupBy("th").agg(F.count("*").alias("n_t"))
     told = pairs.join(counts, "th").withColumn("d", disclosure("n_t")).where(F.col("d") >= generalise).groupBy("th").agg(F.max("d").alias("d"))
     hit = materialize(each.join(told, "th").groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("th", "d"))).alias("told")))
     # Only texts with such terms move; their places depend on the text alone.
-    texts = rows.join(F.broadcast(hit.select("h")), "h", "left_semi") if hit.count() <= BROADCAST_ROWS else rows
+    texts = found.join(F.broadcast(hit.select("h")), "h", "left_semi") if hit.count() <= BROADCAST_ROWS else found
     placed = texts.select("h", F.expr(_FREE).alias("free")).join(hit, "h").select("h", "told", F.expr(_places("told")).alias("at"))
     action = F.transform("at", lambda x: F.struct(F.lit(4).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.when(F.col("told")[x["th"]] >= remove, "remove").otherwise("generalise").alias("action")))
     added = placed.select(F.col("h").alias("_h"), action.alias("added")).dropDuplicates(["_h"])
@@ -148,12 +150,14 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Overlapping spans are replaced once, by the first. A null text stays null.
     """
     found = find_personal_data(docs, id_col, text_col, **parameters).where(F.size("spans") > 0).dropDuplicates(["doc_id", "h"])
-    found = found.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
-    named = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    out = named.join(found, (F.col("_key") == F.col("_h")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    # The given columns travel in one struct, so that none of their names clashes with these.
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    named = row.withColumn("key", F.xxhash64(F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))))
+    out = named.join(found, (F.col("key") == F.col("h")) & F.col(f"row.`{id_col}`").eqNullSafe(F.col("doc_id")), "left")
     masks = ", ".join(f"'<{k.upper()}>'" for k in KINDS)
-    text = f"""CASE WHEN _spans IS NULL THEN `{text_col}` ELSE aggregate(_spans, named_struct('p', 0, 'o', ''),
+    given = f"row.`{text_col}`"
+    text = f"""CASE WHEN spans IS NULL THEN {given} ELSE aggregate(spans, named_struct('p', 0, 'o', ''),
         (a, x) -> CASE WHEN x.s < a.p THEN named_struct('p', greatest(a.p, x.e), 'o', a.o)
-            ELSE named_struct('p', x.e, 'o', concat(a.o, substring(`{text_col}`, a.p + 1, x.s - a.p), CASE WHEN x.action = 'remove' THEN '' ELSE element_at(array({masks}), x.k + 1) END)) END,
-        a -> concat(a.o, substring(`{text_col}`, a.p + 1, length(`{text_col}`)))) END"""
-    return out.withColumn(text_col, F.expr(text)).select(*docs.columns)
+            ELSE named_struct('p', x.e, 'o', concat(a.o, substring({given}, a.p + 1, x.s - a.p), CASE WHEN x.action = 'remove' THEN '' ELSE element_at(array({masks}), x.k + 1) END)) END,
+        a -> concat(a.o, substring({given}, a.p + 1, length({given})))) END"""
+    return out.select(*[(F.expr(text) if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
