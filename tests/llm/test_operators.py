@@ -210,6 +210,20 @@ def test_toxicity(spark):
     out = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs(spark, [(1, "such VILEz talk"), (2, "such v1lez talk"), (3, "plain talk"), (4, None), (5, "such vіlez talk")]), lex).collect()}
     assert out == {1: 1, 2: 1, 3: 0, 4: 0, 5: 1}
     assert toxicity.fit_lexicon(spark.createDataFrame([], "text string, toxic int")).words == {}
+    scored = toxicity.score_toxicity(docs(spark, [(1, "such vile talk"), (1, "such vile talk"), (None, "plain talk")]), lex)
+    assert len({r.score for r in scored.collect() if r.doc_id == 1}) == 1 and scored.count() == 3 and all(r.label == "clash" for r in scored.collect())
+    assert toxicity.score_toxicity(docs(spark, [(1, "x")]).limit(0), lex).count() == 0
+
+
+def test_toxicity_exceptions(spark):
+    bad = [(f"you are vile number {i}", 1) for i in range(60)]
+    good = [(f"the Vile river park has {i} trees", 0) for i in range(12)] + [(f"fine words and more here number {i}", 0) for i in range(900)]
+    lex = toxicity.fit_lexicon(spark.createDataFrame(bad + good, "text string, toxic int"))
+    assert "vile river" in lex.exceptions and "are vile" not in lex.exceptions
+    texts = [(1, "by the vile river today"), (2, "they are vile"), (3, "by the v1le river they are vile"), (4, "the vіle river")]
+    assert {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs(spark, texts), lex).collect()} == {1: 0, 2: 1, 3: 1, 4: 0}
+    given = toxicity.fit_lexicon(spark.createDataFrame(bad + good[12:], "text string, toxic int"), exceptions=("Vile Bodies",))
+    assert {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs(spark, [(1, "vile bodies"), (2, "so vile")]), given).collect()} == {1: 0, 2: 1}
 
 
 def test_secrets(spark):

@@ -19,12 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 #: Documented bound: labelled rows (in expectation) that the lexicon and the curve are learned from.
 SAMPLE = 20000
 THRESHOLD = 0.3
 STEMS = (3, 4, 5, 6, 7, 8)
+#: Clean rows that a phrase around a lexicon word needs to become an exception, and how many times the toxic ones they must be (half a row is added to both).
+LEAST_CLEAN, CLEAN_ODDS = 3, 8
 LEAST_ODDS = math.log(20)
 
 # Letters of other scripts that look like Latin ones.
@@ -41,6 +43,7 @@ _ODD = re.compile(r"[^\x00-\x7fÀ-ɏ]")
 #: A word that mixes letters with digits or signs between or before letters.
 _MIXED = re.compile(r"(?<![^\W_])(?=[0-9@$]*[^\W\d_])[^\W_@$]*[0134579@$][^\W_@$]*(?:[0-9@$]+[^\W_]*)*(?<=[^\W\d_])", re.UNICODE)
 _WORD = re.compile(r"[^\W\d_]+")
+_BEFORE, _AFTER = re.compile(r"[^\W\d_]{1,40} \Z"), re.compile(r" [^\W\d_]{1,40}")
 
 
 def fold(text: str) -> str:
@@ -93,6 +96,25 @@ def weight(folded: str, automaton) -> float:
     return sum(kept.values())
 
 
+def phrases(folded: str, automaton) -> set[str]:
+    """Two and three words in a row, single spaces between, around every match that counts on its own."""
+    out: set[str] = set()
+    last = len(folded) - 1
+    for end, found in automaton.iter(folded) if len(automaton) else ():
+        for kind, term, _ in found:
+            start = end - len(term) + 1
+            if kind == "exception" or (start and folded[start - 1].isalpha()) or (kind == "word" and end < last and folded[end + 1].isalpha()):
+                continue
+            stop = end + 1
+            while stop <= last and folded[stop].isalpha():
+                stop += 1
+            before, after = _BEFORE.search(folded, 0, start) if folded[max(0, start - 1) : start] == " " else None, _AFTER.match(folded, stop)
+            a = before.start() if before else start
+            b = after.end() if after else stop
+            out |= {folded[x:y] for x, y in ((a, stop), (start, b), (a, b)) if y - x > stop - start}
+    return out
+
+
 def features(folded: str, automaton) -> tuple[float, float]:
     w = weight(folded, automaton)
     return (1.0 if w > 0 else 0.0), (w / math.log2(2 + len(folded.split())) if w > 0 else 0.0)
@@ -141,11 +163,19 @@ def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 25) -> tuple[float, flo
 def fit_lexicon(labelled: DataFrame, sample: int = SAMPLE, exceptions: tuple[str, ...] = (), text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """Learns from about ``sample`` of the labelled rows given, picked by a hash of the text.
 
-    Rows without text or label teach nothing. With labels of one kind only, every text scores low.
+    Words and stems come first, then exception phrases: contexts of their matches that clean rows have more often, in
+    addition to those given. Rows without text or label teach nothing. With labels of one kind only, every text scores low.
     """
     rows = labelled.select(F.col(text_col).alias("text"), (F.col(label_col) > 0).cast("int").alias("y"), F.xxhash64(F.col(text_col)).alias("h")).where("text is not null and y is not null")
     n = rows.count()
-    picked = rows.where((F.col("h") / 2.0**64 + 0.5) < min(1.0, sample / max(1, n))).select("text", "y")
+
+    def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"text": [fold(t) for t in pdf["text"]], "y": pdf["y"].to_numpy()})
+
+    picked = rows.where((F.col("h") / 2.0**64 + 0.5) < min(1.0, sample / max(1, n))).select("text", "y").mapInPandas(folded, "text string, y int")
+    # Folded once, read three times.
+    picked = materialize(picked)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter[tuple[str, int]] = Counter()
@@ -157,7 +187,7 @@ def fit_lexicon(labelled: DataFrame, sample: int = SAMPLE, exceptions: tuple[str
 
         for pdf in batches:
             for t, y in zip(pdf["text"], pdf["y"]):
-                seen.update((x, int(y)) for x in (*_terms(fold(t)), ""))
+                seen.update((x, int(y)) for x in (*_terms(t), ""))
                 if len(seen) > 200_000:
                     yield flushed()
         yield flushed()
@@ -165,22 +195,35 @@ def fit_lexicon(labelled: DataFrame, sample: int = SAMPLE, exceptions: tuple[str
     counted = picked.mapInPandas(count, "term string, y int, n long").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"))
     sizes = counted.where("term = ''").collect()
     if not sizes or not sizes[0]["toxic"] or not sizes[0]["clean"]:
+        release(picked)
         return Lexicon()
     n_toxic, n_clean = sizes[0]["toxic"], sizes[0]["clean"]
     least = max(5, round(0.015 * n_toxic))
     kept = counted.where((F.col("toxic") >= least) & (F.col("toxic") * (n_clean + 1) > 4 * F.col("clean") * (n_toxic + 1)) & (F.col("term") != "")).collect()
     toxic, clean = {r["term"]: r["toxic"] for r in kept}, {r["term"]: r["clean"] for r in kept}
     words, stems = choose(toxic, clean, n_toxic, n_clean, least)
-    lexicon = Lexicon(words, stems, {fold(e): 0.0 for e in exceptions})
+    plain = Lexicon(words, stems)
+
+    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton, seen = plain.automaton(), Counter()
+        for pdf in batches:
+            for t, y in zip(pdf["text"], pdf["y"]):
+                seen.update((p, int(y)) for p in phrases(t, automaton))
+        yield pd.DataFrame({"term": np.array([t for t, _ in seen], dtype=object), "y": [y for _, y in seen], "n": list(seen.values())}, columns=["term", "y", "n"])
+
+    told = picked.mapInPandas(contexts, "term string, y int, n long").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"))
+    learned = told.where((F.col("clean") >= LEAST_CLEAN) & (F.col("clean") + 0.5 >= CLEAN_ODDS * (F.col("toxic") + 0.5))).collect()
+    lexicon = Lexicon(words, stems, dict.fromkeys([*(fold(e) for e in exceptions), *sorted(r["term"] for r in learned)], 0.0))
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = lexicon.automaton()
         for pdf in batches:
-            f = [features(fold(t), automaton) for t in pdf["text"]]
+            f = [features(t, automaton) for t in pdf["text"]]
             yield pd.DataFrame({"a": [round(v[0], 1) for v in f], "b": [round(v[1], 2) for v in f], "y": pdf["y"].to_numpy()})
 
     points = picked.mapInPandas(measured, "a double, b double, y int").toPandas()
     lexicon.curve = fit_curve(points[["a", "b"]].to_numpy(), points["y"].to_numpy())
+    release(picked)
     return lexicon
 
 
@@ -195,7 +238,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Adds ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on) to every row; null texts count as empty."""
+    """Adds ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on) to every row; null texts count as empty.
+
+    Given columns ``score`` and ``predicted`` are replaced; all others are kept.
+    """
     schema = docs.drop("score", "predicted").withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
