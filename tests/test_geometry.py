@@ -39,3 +39,39 @@ def test_projection_of_a_square(spark):
     row = spark.range(1).select(projection.local_project("120.00005D", "30.00005D", "120D", "30D").alias("p"), projection.local_project("120D", "30D", "120D", "30D").alias("c")).first()
     assert row["p"]["x"] == pytest.approx(4.8243, abs=1e-3) and row["p"]["y"] == pytest.approx(5.5426, abs=1e-3)
     assert tuple(row["c"]) == (0.0, 0.0)
+
+
+def test_boxes_of_any_size(spark):
+    """Pairs equal those of plain comparison; null, infinite and reversed boxes match nothing."""
+    import random
+
+    from tilewright.operators import spatial
+
+    rng = random.Random(3)
+
+    def box(i):
+        w = rng.choice([0.0, 1.0, 100.0, 1e4, 1e9, 1e17])
+        x, y = rng.uniform(-500, 500), rng.uniform(-500, 500)
+        return (i, 1, x, y, x + w, y + rng.choice([0.0, 5.0, w]))
+
+    odd = [(90, 1, None, 0.0, 1.0, 1.0), (91, 1, float("-inf"), 0.0, float("inf"), 1.0), (92, 1, 0.0, float("nan"), 1.0, 1.0), (93, 1, 5.0, 0.0, -5.0, 1.0)]
+    left, right = [box(i) for i in range(60)], [box(i) for i in range(40)]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, k long, minx double, miny double, maxx double, maxy double")
+    got = sorted((r.a, r.b) for r in spatial.box_overlap_join(frame(left + odd, "a"), frame(right + odd, "b"), "k").select("a", "b").collect())
+    assert got == sorted((p[0], q[0]) for p in left for q in right if p[2] <= q[4] and q[2] <= p[4] and p[3] <= q[5] and q[3] <= p[5])
+    assert spatial.box_overlap_join(frame([], "a"), frame(right, "b"), "k").count() == 0
+
+
+def test_graph_levels_and_ids(spark):
+    import pytest
+
+    from tilewright.functions.storage import stored
+    from tilewright.operators import graph
+
+    nodes = spark.createDataFrame([(i, i - 1 if i else None) for i in range(12)] + [(50, None)], "node_id long, parent_id long")
+    keep = nodes.where("node_id = 8")
+    kept = graph.dense_ids(graph.node_prune(nodes, keep, stored=stored), "node_id", stored)
+    assert sorted((r.node_id, r.new_index) for r in kept.collect()) == [(i, i) for i in range(9)]
+    with pytest.raises(ValueError):
+        graph.node_prune(nodes, keep, most_levels=3, stored=stored)
+    assert graph.dense_ids(nodes.limit(0), "node_id", stored).count() == 0

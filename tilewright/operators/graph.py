@@ -27,7 +27,7 @@ def node_world(nodes: DataFrame, combine, root, most_levels: int = 200, stored=N
 
 
 def node_prune(nodes: DataFrame, keep: DataFrame, most_levels: int = 200, stored=None) -> DataFrame:
-    """Nodes with a kept descendant or kept themselves (``keep``: node_id), with dense new ids in id order."""
+    """Nodes with a kept descendant or kept themselves (``keep``: node_id). Levels beyond ``most_levels`` are an error."""
     level = keep.select("node_id").distinct()
     kept = level
     for _ in range(most_levels):
@@ -36,9 +36,21 @@ def node_prune(nodes: DataFrame, keep: DataFrame, most_levels: int = 200, stored
         if stored:
             level = stored(level)
         if level.isEmpty():
-            break
+            return nodes.join(kept, "node_id", "left_semi")
         kept = kept.unionByName(level)
-    return nodes.join(kept, "node_id", "left_semi")
+    raise ValueError(f"more than {most_levels} levels")
+
+
+def dense_ids(df: DataFrame, order: str, stored, name: str = "new_index") -> DataFrame:
+    """All rows numbered from 0 by a column, without gathering them: ranges are numbered apart and start where those before end.
+
+    ``stored`` fixes the ranges (a function that writes and reads a DataFrame). One row a range meets in one task.
+    """
+    dealt = stored(df.repartitionByRange(F.col(order)).withColumn("range", F.spark_partition_id()))
+    sizes = dealt.groupBy("range").agg(F.count("*").alias("n"))
+    starts = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("start"))
+    ranked = dealt.withColumn(name, F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1)
+    return ranked.join(F.broadcast(starts), "range").withColumn(name, F.col(name) + F.col("start")).drop("range", "start")
 
 
 def dense_reindex(df: DataFrame, group: list[str], order: str, name: str = "new_index") -> DataFrame:

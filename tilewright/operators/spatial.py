@@ -15,24 +15,46 @@ def grown(pieces: DataFrame, by: float = GROW) -> DataFrame:
     return pieces.withColumns(nudge)
 
 
-def _cells(df: DataFrame, cell: float) -> DataFrame:
-    lo_x, lo_y, hi_x, hi_y = (F.floor(F.col(c) / cell) for c in BOX)
-    df = df.withColumn("gx", F.explode(F.sequence(lo_x, hi_x)))
-    return df.withColumn("gy", F.explode(F.sequence(F.floor(F.col("miny") / cell), F.floor(F.col("maxy") / cell))))
+#: A box covers at most so many cells a side and one more; wider ones go to a coarser grid, each four times as wide as the one before.
+SIDE, STEP = 4, 4
+#: Coordinates beyond this are no places, and their cells no longer fit 64 bits.
+FARTHEST = 1e18
+
+
+def _levelled(df: DataFrame, cell: float) -> DataFrame:
+    """Finite boxes with the level of the finest grid on which they cover few cells."""
+    fine = F.lit(True)
+    for c in BOX:
+        fine = fine & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) <= FARTHEST)
+    span = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"), F.lit(cell))
+    return df.where(fine & (F.col("minx") <= F.col("maxx")) & (F.col("miny") <= F.col("maxy"))).withColumn("level", F.greatest(F.lit(0), F.ceil(F.log(span / (SIDE * cell)) / F.log(F.lit(float(STEP))))).cast("int"))
+
+
+def _cells(df: DataFrame, cell: float, levels: list[int]) -> DataFrame:
+    """A row a cell on the box's own grid and on each coarser one that occurs."""
+    df = df.withColumn("grid", F.explode(F.filter(F.array(*[F.lit(k) for k in levels]), lambda k: k >= F.col("level"))))
+    size = F.lit(cell) * F.pow(F.lit(float(STEP)), F.col("grid"))
+    df = df.withColumn("gx", F.explode(F.sequence(F.floor(F.col("minx") / size), F.floor(F.col("maxx") / size))))
+    return df.withColumn("gy", F.explode(F.sequence(F.floor(F.col("miny") / size), F.floor(F.col("maxy") / size))))
 
 
 def box_overlap_join(left: DataFrame, right: DataFrame, key: str, cell: float = 128.0) -> DataFrame:
     """Pairs of the same key whose boxes touch; box columns of the right side get the prefix p_.
 
-    Both sides are dealt to grid cells and joined by (key, cell): an equi join that shuffles and splits skew.
-    A pair that meets in several cells is kept only in the cell of its overlap's lower corner, so no distinct
-    is needed. Null or non-finite boxes never match.
+    Both sides are dealt to grid cells and joined by (key, grid, cell): an equi join that shuffles and splits skew.
+    Wide boxes live on coarser grids, so none covers many cells; a pair meets on the coarser one of its two grids,
+    and there it is kept only in the cell of its overlap's lower corner, so no distinct is needed. Null, non-finite
+    and empty boxes and those beyond ``FARTHEST`` never match.
     """
-    r = _cells(right, cell).withColumnsRenamed({c: f"p_{c}" for c in BOX})
-    joined = _cells(left, cell).join(r, [key, "gx", "gy"])
+    l, r = _levelled(left, cell), _levelled(right, cell)
+    # A few dozen levels at most span all finite boxes.
+    levels = sorted({x["level"] for x in l.select("level").unionByName(r.select("level")).distinct().collect()}) or [0]
+    r = _cells(r, cell, levels).withColumnsRenamed({**{c: f"p_{c}" for c in BOX}, "level": "p_level"})
+    joined = _cells(l, cell, levels).join(r, [key, "grid", "gx", "gy"])
     touch = (F.col("minx") <= F.col("p_maxx")) & (F.col("p_minx") <= F.col("maxx")) & (F.col("miny") <= F.col("p_maxy")) & (F.col("p_miny") <= F.col("maxy"))
-    home = (F.col("gx") == F.floor(F.greatest("minx", "p_minx") / cell)) & (F.col("gy") == F.floor(F.greatest("miny", "p_miny") / cell))
-    return joined.where(touch & home).drop("gx", "gy")
+    size = F.lit(cell) * F.pow(F.lit(float(STEP)), F.col("grid"))
+    home = (F.col("grid") == F.greatest("level", "p_level")) & (F.col("gx") == F.floor(F.greatest("minx", "p_minx") / size)) & (F.col("gy") == F.floor(F.greatest("miny", "p_miny") / size))
+    return joined.where(touch & home).drop("grid", "gx", "gy", "level", "p_level")
 
 
 def exhaustive_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tilewright.functions.storage import stored
 from tilewright.operators import geometry, graph, matrices, polygons, projection, raster, spatial
 from tilewright.sources.derived import derived
 
@@ -191,7 +192,7 @@ _WALK = "WITH RECURSIVE w AS (SELECT node_id, CAST(step AS BIGINT) AS x, 0 AS le
 
 def _world(spark, sf_dir):
     step = matrices.translation(F.col("step").cast("double"), F.lit(0.0), F.lit(0.0))
-    return graph.node_world(derived(spark, sf_dir, "node"), lambda up: matrices.multiply(up, step), step)
+    return graph.node_world(derived(spark, sf_dir, "node"), lambda up: matrices.multiply(up, step), step, stored=stored)
 
 
 @query(_WALK + "SELECT node_id, level, CAST(x AS DOUBLE) AS world_x FROM w")
@@ -209,8 +210,8 @@ def reachable_meshes(spark, sf_dir):
 SELECT node_id, CAST(row_number() OVER (ORDER BY node_id) - 1 AS BIGINT) AS new_index FROM (SELECT DISTINCT node_id FROM up) u""")
 def node_prune(spark, sf_dir):
     nodes = derived(spark, sf_dir, "node")
-    kept = graph.node_prune(nodes, nodes.where("mesh IS NOT NULL AND mesh % 3 = 0"))
-    return graph.dense_reindex(kept.withColumn("g", F.lit(0)), ["g"], "node_id").select("node_id", F.col("new_index").cast("long").alias("new_index"))
+    kept = graph.node_prune(nodes, nodes.where("mesh IS NOT NULL AND mesh % 3 = 0"), stored=stored)
+    return graph.dense_ids(kept, "node_id", stored).select("node_id", F.col("new_index").cast("long").alias("new_index"))
 
 
 # --- Matrices -----------------------------------------------------------------------------------------------------
