@@ -235,13 +235,14 @@ def fit_language_model(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int
     return model
 
 
-def identify_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", batch: int = 128) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` (0 to 1) to every row; all given columns but those two are kept.
+def identify_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", batch: int = 128, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds ``lang_pred`` and ``score`` (0 to 1), or what ``names`` calls them, to every row; all given columns but those two are kept.
 
     Null texts and texts without a letter are ``und`` with score 0. Whole texts are read.
     """
     langs = np.array([*model.langs, UNDETERMINED], dtype=object)
-    schema = docs.drop("lang_pred", "score").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    pred, certainty = names
+    schema = docs.drop(*names).withColumn(pred, F.lit("")).withColumn(certainty, F.lit(0.0)).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -256,8 +257,8 @@ def identify_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", te
                     best, score = out.argmax(axis=1), out.max(axis=1)
                 else:
                     best, score = np.zeros(len(texts), dtype=int), np.zeros(len(texts))
-                pdf["lang_pred"] = langs[np.where(letters & bool(model.langs), best, len(model.langs))]
-                pdf["score"] = np.where(letters, score, 0.0)
+                pdf[pred] = langs[np.where(letters & bool(model.langs), best, len(model.langs))]
+                pdf[certainty] = np.where(letters, score, 0.0)
                 yield pdf
 
-    return docs.drop("lang_pred", "score").mapInPandas(run, schema)
+    return docs.drop(*names).mapInPandas(run, schema)

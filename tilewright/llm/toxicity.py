@@ -237,19 +237,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id
     return materialize(docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select(text_col, label_col))
 
 
-def score_toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def score_toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Adds ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on) to every row; null texts count as empty.
 
-    Given columns ``score`` and ``predicted`` are replaced; all others are kept.
+    Given columns of these names, or of those in ``names``, are replaced; all others are kept.
     """
-    schema = docs.drop("score", "predicted").withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
+    value, verdict = names
+    schema = docs.drop(*names).withColumn(value, F.lit(0.0)).withColumn(verdict, F.lit(0)).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = lexicon.automaton()
         for pdf in batches:
             pdf = pdf.copy()
-            pdf["score"] = [score_of(features(fold(t), automaton) if isinstance(t, str) else (0.0, 0.0), lexicon.curve) for t in pdf[text_col]]
-            pdf["predicted"] = (pdf["score"] >= threshold).astype("int32")
+            pdf[value] = [score_of(features(fold(t), automaton) if isinstance(t, str) else (0.0, 0.0), lexicon.curve) for t in pdf[text_col]]
+            pdf[verdict] = (pdf[value] >= threshold).astype("int32")
             yield pdf
 
-    return docs.drop("score", "predicted").mapInPandas(run, schema)
+    return docs.drop(*names).mapInPandas(run, schema)
