@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 from tilewright.llm import jaccard, langid, packing, pii, registry, toxicity
 from tilewright.llm.common import held_out, materialize, table
 
+def _fresh(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """These names, each with underscores after it until no column of docs has it."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return tuple(out)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those in which no language stands out.
 
@@ -19,15 +29,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     known = docs.select("doc_id", "text", "lang").where(~held_out("doc_id"))
     model = langid.fit_language_model(known)
-    judged = langid.identify_languages(docs, model)
-    return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= 2 / (len(model.langs) + 1))).select(*docs.columns)
+    pred, score = _fresh(docs, "lang_pred", "score")
+    judged = langid.identify_languages(docs, model, names=(pred, score))
+    return judged.where((F.col(pred) != langid.UNDETERMINED) & (F.col(score) >= 2 / (len(model.langs) + 1))).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the lexicon predicts as toxic."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out("doc_id"))
     lexicon = toxicity.fit_lexicon(toxicity.labelled_sample(docs, labels))
-    return toxicity.score_toxicity(docs, lexicon).where("predicted = 0").select(*docs.columns)
+    score, predicted = _fresh(docs, "score", "predicted")
+    return toxicity.score_toxicity(docs, lexicon, names=(score, predicted)).where(F.col(predicted) == 0).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
