@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block and queries of a chunk: what one task holds at a time.
-BLOCK, CHUNK = 16384, 128
+#: Rows of a block and queries of a chunk: what one task holds at a time, at most.
+BLOCK, CHUNK = 16384, 4096
 SCALE = 256
 
 
@@ -122,8 +122,11 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
             F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
 
     rows, asked = clean(vectors), clean(queries)
+    n_queries = asked.count()
     blocks = max(1, -(-rows.count() // block))
-    chunks = max(1, -(-asked.count() // chunk))
+    # A row travels once a chunk, so chunks are as large as memory allows, unless that leaves tasks without work.
+    wanted = -(-4 * vectors.sparkSession.sparkContext.defaultParallelism // blocks)
+    chunks = max(1, -(-n_queries // chunk), min(wanted, -(-n_queries // 128)))
 
     def dealt(df: DataFrame, mine: str, parts: int, other: str, others: int, is_query: bool) -> DataFrame:
         return df.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other), F.lit(is_query).alias("is_query")).select("block", "chunk", "is_query", "id", "v")
