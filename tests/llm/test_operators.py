@@ -257,6 +257,48 @@ def test_secrets_of_any_length(spark, tmp_path):
     assert short["hunter2horse"].is_secret and short["hunter2horse"].doc_id is None and short["aB3.x!9@z#Q$1%"].is_secret
 
 
+def test_secret_features(spark):
+    """Dictionary, coverage and both neighbours against plain Python; copies of one text make no word."""
+    rows = [(i, f"Alpha beta number {i}") for i in range(6)] + [(20 + i, "copied gibberish") for i in range(9)] + [(40, "x alphaBetaZzq9Copied1 end"), (41, "src/alpha/beta/file_long.py, (alphaBetaZzq9Copied1)"), (42, None), (43, "")]
+    d = docs(spark, rows)
+    words = secrets.dictionary(d)
+    assert {r.word: r.n for r in words.collect()} == {"alpha": 6, "beta": 6, "number": 6}
+    got = {(r.doc_id, r.token): r for r in secrets.with_features(secrets.candidates(d), words).collect()}
+    assert set(got) == {(40, "alphaBetaZzq9Copied1"), (41, "src/alpha/beta/file_long"), (41, "alphaBetaZzq9Copied1")}
+    assert all(got[i, "alphaBetaZzq9Copied1"].coverage == 9 / 20 for i in (40, 41)) and got[41, "src/alpha/beta/file_long"].coverage == 9 / 24
+    assert (got[40, "alphaBetaZzq9Copied1"].before, got[40, "alphaBetaZzq9Copied1"].after) == ("x ", " end")
+    long_path = got[41, "src/alpha/beta/file_long"]
+    assert (long_path.path, long_path.in_path, got[40, "alphaBetaZzq9Copied1"].path) == (3.0, 1.0, 0.0)
+    table, natural = secrets.transitions(words), 0.0
+    code = lambda c: ord(c) - 97 if "a" <= c <= "z" else 26
+    assert len(table) == 27 * 27
+    for a, b in zip("alphabetazzq9copied", "lphabetazzq9copied1"):
+        natural += table[code(a) * 27 + code(b)]
+    assert got[40, "alphaBetaZzq9Copied1"].natural == pytest.approx(natural / 19, abs=1e-4)
+    assert secrets.scan_secrets(d.limit(0)).count() == 0
+
+
+def test_secrets_held_out(spark):
+    """Labelled findings that the forest never saw."""
+    out = secrets.scan_secrets(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), train=~secrets.judged_apart()).where(secrets.judged_apart())
+    label = secrets.known(F.col("token"), F.col("before"))
+    n = {(r.label, r.is_secret): r.n for r in out.where(label.isNotNull()).groupBy(label.alias("label"), "is_secret").agg(F.count("*").alias("n")).collect()}
+    print("held out", n)
+    right, missed, wrong = n.get((1.0, True), 0), n.get((1.0, False), 0), n.get((0.0, True), 0)
+    assert right and missed <= 0.05 * (right + missed) and wrong <= 0.05 * (right + wrong)
+
+
+def test_top_k_chunks(spark):
+    """The number of blocks and chunks changes nothing; repeated ids are candidates each, clashing columns don't matter."""
+    rng = np.random.default_rng(1)
+    rows = [(i // 2 if i < 20 else i, [float(x) for x in v], 7, 8) for i, v in enumerate(rng.normal(size=(120, 4)).round(2))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, block int")
+    asked = df.where("vec_id % 50 = 0 AND vec_id > 0")
+    one, many = (sorted(map(tuple, topk.exact_top_k(df, asked, 5, block=b, chunk=c).collect())) for b, c in ((16384, 4096), (16, 1)))
+    assert one == many and len(one) == 10
+    assert topk.exact_top_k(df.limit(0), asked, 5).count() == 0 and topk.exact_top_k(df, df.limit(0), 5).count() == 0
+
+
 def test_flac():
     rng = random.Random(1)
     payloads = [bytes(64), b"abc" * 64, bytes(rng.randrange(256) for _ in range(64 * 200)), ("Größe é " * 3000).encode().ljust(64 * 600, b"\0")]
