@@ -75,3 +75,34 @@ def test_graph_levels_and_ids(spark):
     with pytest.raises(ValueError):
         graph.node_prune(nodes, keep, most_levels=3, stored=stored)
     assert graph.dense_ids(nodes.limit(0), "node_id", stored).count() == 0
+
+
+def test_no_pair_is_lost_at_a_sharp_corner(spark):
+    """A triangle beyond the sharp corner of a piece, within a centimetre of both its edges' lines, is found by the index too."""
+    from tilewright.operators import spatial
+
+    pieces = spark.createDataFrame([(1, 1, [(0.0, 0.0), (100.0, 0.0), (100.0, 1.0)]), (1, 2, [(0.0, 0.0), (0.0, 0.0), (1.0, 1.0)])], "k long, piece long, corners array<struct<x:double,y:double>>")
+    tri = spark.createDataFrame([(1, 7, -0.5, -0.006, -0.3, -0.006, -0.4, -0.002, 0.0)], "k long, tri long, ax double, ay double, bx double, by_ double, cx double, cy double, h double")
+    tri, box = geometry.with_polygon(tri), spatial.grown(pieces)
+    assert {r.piece for r in spatial.box_overlap_join(tri, box, "k").collect()} == {1, 2}  # a degenerate piece meets all
+    whole = box.where("piece = 1")
+    counts = [geometry.fragments(pairs).count() for pairs in (spatial.box_overlap_join(tri, whole, "k"), spatial.exhaustive_pairs(tri, whole, "k"))]
+    assert counts[0] == counts[1] > 0
+    square = spatial.grown(spark.createDataFrame([(1, [(0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 1.0)])], "k long, corners array<struct<x:double,y:double>>")).first()
+    assert [square[c] for c in spatial.BOX] == pytest.approx([-0.01, -0.01, 2.01, 1.01], abs=1e-8)
+
+
+def test_cycles_and_rejects(spark):
+    from tilewright.functions.storage import stored
+    from tilewright.operators import graph, polygons, raster
+
+    edges = spark.createDataFrame([(2, 1), (3, 2), (3, 3), (4, 5), (5, 6), (6, 4), (7, 6), (8, 8), (9, None)], "node_id long, parent_id long")
+    assert sorted(r.node_id for r in graph.unreached(edges, stored=stored).collect()) == [4, 5, 6, 7, 8]
+    assert graph.unreached(edges.limit(0), stored=stored).count() == 0
+    ring = lambda r, far: [(1, 0, r, i, x, y) for i, (x, y) in enumerate([(0.0, 0.0), (far, 0.0), (0.0, 0.001), (0.0, 0.0)])]
+    points = spark.createDataFrame(ring(0, 0.001) + ring(1, 120.0), "scope_id long, polygon_id int, ring_id int, seq int, lon double, lat double")
+    assert {r.ring_id for r in polygons.ring_densify(points).collect()} == {0}
+    assert sorted((r.ring_id, r.seq, r.code) for r in polygons.ring_rejects(points).collect()) == [(1, 0, "TOO_MANY_STEPS"), (1, 1, "TOO_MANY_STEPS")]
+    uses = spark.createDataFrame([(1, 10497, 200.0), (2, 33071, 200.0), (3, 10497, 2.0)], "use_id long, wrap_s int, u1 double").selectExpr("*", "wrap_s AS wrap_t", "0D AS u0", "0D AS u2", "0D AS v0", "0D AS v1", "1D AS v2")
+    assert [r.use_id for r in raster.uv_rejects(uses).collect()] == [1]
+    assert {r.use_id for r in raster.uv_wrap_shifts(uses).collect()} == {2, 3}

@@ -41,6 +41,30 @@ def node_prune(nodes: DataFrame, keep: DataFrame, most_levels: int = 200, stored
     raise ValueError(f"more than {most_levels} levels")
 
 
+def unreached(edges: DataFrame, most_levels: int = 200, stored=None) -> DataFrame:
+    """Nodes (node_id) that no root leads to: those on a cycle of any length and what hangs on one.
+
+    Roots are the parents that are nobody's child. One equi join a level; levels beyond ``most_levels`` are an error.
+    """
+    edges = edges.where("node_id IS NOT NULL AND parent_id IS NOT NULL").select("node_id", "parent_id").distinct()
+    if stored:
+        edges = stored(edges)
+    nodes = edges.select("node_id").distinct()
+    level = edges.select(F.col("parent_id").alias("node_id")).distinct().join(nodes, "node_id", "left_anti")
+    if stored:
+        level = stored(level)
+    found = level
+    for _ in range(most_levels):
+        down = edges.join(level.withColumnRenamed("node_id", "parent_id"), "parent_id", "left_semi").select("node_id").distinct()
+        level = down.join(found, "node_id", "left_anti")
+        if stored:
+            level = stored(level)
+        if level.isEmpty():
+            return nodes.join(found, "node_id", "left_anti")
+        found = found.unionByName(level)
+    raise ValueError(f"more than {most_levels} levels")
+
+
 def dense_ids(df: DataFrame, order: str, stored, name: str = "new_index") -> DataFrame:
     """All rows numbered from 0 by a column, without gathering them: ranges are numbered apart and start where those before end.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RING = ("scope_id", "polygon_id", "ring_id")
@@ -30,17 +30,33 @@ def segment_metres(lon1, lat1, lon2, lat2):
     return F.hypot(lon_delta(lon1, lon2) * mid * METRES_PER_DEGREE, (lat2 - lat1) * METRES_PER_DEGREE)
 
 
+def _stepped(points: DataFrame, step: float) -> DataFrame:
+    """Segments with their number of steps ``n`` and the most that a segment of their ring has."""
+    n = F.greatest(F.lit(1), F.ceil(segment_metres(F.col("lon"), F.col("lat"), F.col("next_lon"), F.col("next_lat")) / step))
+    return ring_segments(points, "lon", "lat").withColumn("n", n).withColumn("most", F.max("n").over(Window.partitionBy(*RING)))
+
+
 def ring_densify(points: DataFrame, step: float = STEP) -> DataFrame:
     """Cuts segments into steps of at most ``step`` metres and keeps each step's start point.
 
-    Segments of more than 100,000 steps fail the rule and are dropped with their ring; see ``rule_ring_valid``.
+    A ring with a segment of more than 100,000 steps is left out whole; ``ring_rejects`` names it.
     """
-    s = ring_segments(points, "lon", "lat").withColumn("n", F.greatest(F.lit(1), F.ceil(segment_metres(F.col("lon"), F.col("lat"), F.col("next_lon"), F.col("next_lat")) / step)))
-    s = s.where(F.col("n") <= MOST_STEPS).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    s = _stepped(points, step).where(F.col("most") <= MOST_STEPS).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     t = F.col("i") / F.col("n")
     return s.select(*RING, "seq", "i", (F.col("lon") + lon_delta(F.col("lon"), F.col("next_lon")) * t).alias("lon"), (F.col("lat") + (F.col("next_lat") - F.col("lat")) * t).alias("lat"))
 
 
+def ring_rejects(points: DataFrame, step: float = STEP) -> DataFrame:
+    """A row for each segment that keeps its ring from being densified: the ring, seq, n and a code."""
+    return _stepped(points, step).where(F.col("n") > MOST_STEPS).select(*RING, "seq", "n", F.lit("TOO_MANY_STEPS").alias("code"))
+
+
+def trapezoid_corners() -> Column:
+    """Corners of a row of ``scope_decompose``, counter-clockwise; corners that coincide are one."""
+    at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    return F.array_distinct(F.array(at("left_low", "y0"), at("right_low", "y0"), at("right_high", "y1"), at("left_high", "y1")))
+
+
 def scope_decompose(points: DataFrame) -> DataFrame:
     """Trapezoids of the even-odd region of each polygon: scope, polygon, slab, pair, y0, y1 and x at all corners.
 

@@ -12,7 +12,8 @@ MOST_SPAN = 128
 def uv_wrap_shifts(uses: DataFrame) -> DataFrame:
     """A row for each whole-number shift under which a repeated UV triangle can touch the image.
 
-    Clamped axes are clamped to [0, 1] and not shifted. Spans above 128 are refused (dropped here).
+    Clamped axes are clamped to [0, 1] and not shifted. Uses with a span above 128 are left out; ``uv_rejects``
+    names them.
     """
     for axis, wrap in (("u", "wrap_s"), ("v", "wrap_t")):
         cols = [f"{axis}{i}" for i in range(3)]
@@ -24,6 +25,15 @@ def uv_wrap_shifts(uses: DataFrame) -> DataFrame:
     return uses
 
 
+def uv_rejects(uses: DataFrame) -> DataFrame:
+    """The uses that repeat over too wide a span on an axis, with a code."""
+    wide = F.lit(False)
+    for axis, wrap in (("u", "wrap_s"), ("v", "wrap_t")):
+        cols = [f"{axis}{i}" for i in range(3)]
+        wide = wide | ((F.col(wrap) != CLAMP) & (F.ceil(F.greatest(*cols)) - F.floor(F.least(*cols)) > MOST_SPAN))
+    return uses.where(wide).withColumn("code", F.lit("UV_SPAN_TOO_WIDE"))
+
+
 def pixel_inside_or_near(px, py, tri):
     """Centre inside the triangle (zero signs count as inside) or within one pixel of an edge."""
     signs, near = [], None

@@ -9,10 +9,34 @@ GROW = 0.01
 BOX = ("minx", "miny", "maxx", "maxy")
 
 
+#: Stands for an unbounded box: wide enough for any place, still finite for the grid.
+UNBOUNDED = 1e17
+
+
 def grown(pieces: DataFrame, by: float = GROW) -> DataFrame:
-    """Piece boxes grown by a centimetre, nudged outward so that rounding never loses a pair."""
-    nudge = {c: F.col(c) + s * (by + F.abs(F.col(c)) * 1e-12) for c, s in zip(BOX, (-1, -1, 1, 1))}
-    return pieces.withColumns(nudge)
+    """The box of each convex counter-clockwise piece (``corners``) whose edges moved outward by a centimetre.
+
+    Where two moved edges meet is further out the sharper the corner, so the box is taken from these meeting points,
+    nudged outward so that rounding never loses a pair. Pieces with an edge without length or a corner without
+    angle get an unbounded box: they meet everything of their key.
+    """
+    edge = "transform(corners, (a, i) -> named_struct('a', a, 'b', element_at(corners, CASE WHEN i = size(corners) - 1 THEN 1 ELSE i + 2 END)))"
+    length = "sqrt((e.b.x - e.a.x) * (e.b.x - e.a.x) + (e.b.y - e.a.y) * (e.b.y - e.a.y))"
+    outward = f"transform({edge}, e -> named_struct('x', try_divide(e.b.y - e.a.y, {length}), 'y', try_divide(e.a.x - e.b.x, {length})))"
+    # A generated column is computed once; the optimizer would copy a plain one into every later use of the box.
+    pieces = pieces.withColumn("_n", F.explode(F.array(F.expr(outward))))
+    last = "element_at(_n, CASE WHEN i = 0 THEN size(_n) ELSE i END)"
+    bend = f"(1 + {last}.x * _n[i].x + {last}.y * _n[i].y)"
+    moved = f"transform(corners, (c, i) -> CASE WHEN {bend} > 1e-9 THEN named_struct('x', c.x + {by}D * ({last}.x + _n[i].x) / {bend}, 'y', c.y + {by}D * ({last}.y + _n[i].y) / {bend}) END)"
+    pieces = pieces.withColumn("_m", F.explode(F.array(F.expr(moved))))
+    whole = F.expr("size(_m) >= 3 AND NOT exists(_m, m -> m IS NULL)")
+    out = []
+    for axis in "xy":
+        for name, pick, sign in ((f"min{axis}", F.array_min, -1), (f"max{axis}", F.array_max, 1)):
+            v = pick(F.transform("_m", lambda m: m[axis]))  # noqa: B023
+            out.append(F.when(whole, v + sign * (1e-9 + F.abs(v) * 1e-12)).otherwise(F.lit(sign * UNBOUNDED)).alias(name))
+    pieces = pieces.withColumn("_b", F.explode(F.array(F.struct(*out))))
+    return pieces.withColumns({c: F.col("_b")[c] for c in BOX}).drop("_n", "_m", "_b")
 
 
 #: A box covers at most so many cells a side and one more; wider ones go to a coarser grid, each four times as wide as the one before.

@@ -31,15 +31,17 @@ _SOURCE = """pairs AS (SELECT t.asset_id, t.tri_id, p.piece_id, p.minx AS x0, p.
     FROM tri t JOIN piece p ON t.scope_id = p.scope_id AND least(ax, bx, cx) <= maxx + 0.01 AND greatest(ax, bx, cx) >= minx - 0.01 AND least(ay, by_, cy) <= maxy + 0.01 AND greatest(ay, by_, cy) >= miny - 0.01)"""
 
 
-def _oracle_steps() -> str:
-    """Half-plane by half-plane over lists, for the four sides of a rectangle."""
-    out, before = [_SOURCE], "pairs"
-    for k, (axis, sign, bound) in enumerate((("y", 1, "y0"), ("x", -1, "x1"), ("y", -1, "y1"), ("x", 1, "x0"))):
-        d = lambda v: f"({sign} * ({v}.{axis} - {bound}))"  # noqa: E731, B023
+_SIDES = [lambda v: f"(1 * ({v}.y - y0))", lambda v: f"(-1 * ({v}.x - x1))", lambda v: f"(-1 * ({v}.y - y1))", lambda v: f"(1 * ({v}.x - x0))"]
+
+
+def _oracle_steps(source: str = _SOURCE, sides=_SIDES) -> str:
+    """Half-plane by half-plane over lists, for four sides (distances of a corner, positive inside), of a rectangle unless given."""
+    out, before = [source], "pairs"
+    for k, d in enumerate(sides):
         q, c = "p[CASE WHEN i = 1 THEN len(p) ELSE i - 1 END]", "p[i]"
         t = f"greatest(0.0, least(1.0, {d(q)} / ({d(q)} - {d(c)})))"
         cut = "{" + ", ".join(f"'{a}': {q}.{a} + ({c}.{a} - {q}.{a}) * {t}" for a in "xyz") + "}"
-        out.append(f"s{k} AS (SELECT asset_id, tri_id, piece_id, x0, y0, x1, y1, CASE WHEN len(p) < 3 THEN list_filter(p, lambda v: false) ELSE flatten(list_transform(range(1, len(p) + 1), lambda i: list_concat(CASE WHEN ({d(c)} >= -0.01) <> ({d(q)} >= -0.01) THEN [{cut}] ELSE list_filter([{c}], lambda v: false) END, list_filter([{c}], lambda v: {d('v')} >= -0.01)))) END AS p FROM {before})")
+        out.append(f"s{k} AS (SELECT * EXCLUDE (p), CASE WHEN len(p) < 3 THEN list_filter(p, lambda v: false) ELSE flatten(list_transform(range(1, len(p) + 1), lambda i: list_concat(CASE WHEN ({d(c)} >= -0.01) <> ({d(q)} >= -0.01) THEN [{cut}] ELSE list_filter([{c}], lambda v: false) END, list_filter([{c}], lambda v: {d('v')} >= -0.01)))) END AS p FROM {before})")
         before = f"s{k}"
     u = [f"(b.{a} - a.{a})" for a in "xyz"]
     v = [f"(c.{a} - a.{a})" for a in "xyz"]
@@ -79,14 +81,14 @@ def triangle_prefilter(spark, sf_dir):
 
 @query("SELECT scope_id, piece_id, round(minx - 0.01 - abs(minx) * 1e-12, 6) AS minx, round(miny - 0.01 - abs(miny) * 1e-12, 6) AS miny, round(maxx + 0.01 + abs(maxx) * 1e-12, 6) AS maxx, round(maxy + 0.01 + abs(maxy) * 1e-12, 6) AS maxy FROM piece")
 def piece_bounds_grown(spark, sf_dir):
-    return spatial.grown(derived(spark, sf_dir, "piece")).select("scope_id", "piece_id", *[F.round(c, 6).alias(c) for c in spatial.BOX])
+    return _pieces(spark, sf_dir).select("scope_id", "piece_id", *[F.round(c, 6).alias(c) for c in spatial.BOX])
 
 
-@query(_CLIP + "SELECT tri_id, piece_id, CAST(len(p) AS INTEGER) AS corners, round(list_sum(list_transform(p, lambda v: v.x)), 4) AS sum_x, round(list_sum(list_transform(p, lambda v: v.z)), 4) AS sum_z FROM s3 WHERE len(p) >= 3")
+@query(_CLIP + "SELECT tri_id, piece_id, CAST(len(p) AS INTEGER) AS corners, round(list_sum(list_transform(p, lambda v: v.x)), 4) AS sum_x, round(list_sum(list_transform(p, lambda v: v.y)), 4) AS sum_y, round(list_sum(list_transform(p, lambda v: v.z)), 4) AS sum_z FROM s3 WHERE len(p) >= 3")
 def clip_polygon(spark, sf_dir):
     cut = _pairs(spark, sf_dir).withColumn("cut", geometry.clip("poly", "corners")).where(F.size("cut") >= 3)
     total = lambda a: F.round(F.expr(f"aggregate(cut, 0D, (s, v) -> s + v.{a})"), 4)
-    return cut.select("tri_id", "piece_id", F.size("cut").alias("corners"), total("x").alias("sum_x"), total("z").alias("sum_z"))
+    return cut.select("tri_id", "piece_id", F.size("cut").alias("corners"), total("x").alias("sum_x"), total("y").alias("sum_y"), total("z").alias("sum_z"))
 
 
 @query(_CLIP + "SELECT tri_id, piece_id, count(*) AS fragments FROM frags GROUP BY tri_id, piece_id")
@@ -185,6 +187,27 @@ def scope_decompose(spark, sf_dir):
     return d.select("scope_id", "slab", "pair", "y0", "y1", *[F.round(c, 6).alias(c) for c in ("left_low", "right_low", "left_high", "right_high")])
 
 
+_SCOPE_SIDES = [
+    lambda v: f"(CASE WHEN rl = ll THEN 1.0::double ELSE {v}.y - y0 END)",
+    lambda v: f"(((rh - rl) * ({v}.y - y0) - (y1 - y0) * ({v}.x - rl)) / sqrt(power(rh - rl, 2) + power(y1 - y0, 2)))",
+    lambda v: f"(CASE WHEN rh = lh THEN 1.0::double ELSE y1 - {v}.y END)",
+    lambda v: f"(((ll - lh) * ({v}.y - y1) - (y0 - y1) * ({v}.x - lh)) / sqrt(power(ll - lh, 2) + power(y0 - y1, 2)))",
+]
+_SCOPE_CLIP = _oracle_steps("cut AS (" + ORACLE_SQL["scope_decompose"].replace("6)", "12)") + """),
+pairs AS (SELECT t.asset_id, t.tri_id, slab * 1000 + pair AS piece_id, y0, y1, left_low AS ll, right_low AS rl, left_high AS lh, right_high AS rh,
+    CASE WHEN (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) < 0 THEN [{'x': ax, 'y': ay, 'z': h}, {'x': cx, 'y': cy, 'z': h + 2}, {'x': bx, 'y': by_, 'z': h + 1}] ELSE [{'x': ax, 'y': ay, 'z': h}, {'x': bx, 'y': by_, 'z': h + 1}, {'x': cx, 'y': cy, 'z': h + 2}] END AS p
+    FROM tri t JOIN cut c ON t.scope_id = c.scope_id)""", _SCOPE_SIDES)
+
+
+@query(_SCOPE_CLIP + "SELECT asset_id, count(*) AS fragments, round(sum(area), 2) AS area FROM frags WHERE area > 1e-8 GROUP BY asset_id")
+def scope_clip(spark, sf_dir):
+    """From rings to fragments in one plan: scopes are cut into trapezoids, and these clip the triangles they meet."""
+    cut = polygons.scope_decompose(derived(spark, sf_dir, "scope_point"))
+    pieces = spatial.grown(cut.select("scope_id", "slab", "pair", polygons.trapezoid_corners().alias("corners")))
+    parts = geometry.fragments(spatial.box_overlap_join(_tri(spark, sf_dir), pieces, "scope_id"))
+    return parts.groupBy("asset_id").agg(F.count("*").alias("fragments"), F.round(F.sum("area"), 2).alias("area"))
+
+
 # --- Graph --------------------------------------------------------------------------------------------------------
 
 _WALK = "WITH RECURSIVE w AS (SELECT node_id, CAST(step AS BIGINT) AS x, 0 AS level, mesh FROM node WHERE parent_id IS NULL UNION ALL SELECT n.node_id, w.x + n.step, w.level + 1, n.mesh FROM node n JOIN w ON n.parent_id = w.node_id) "
@@ -214,6 +237,17 @@ def node_prune(spark, sf_dir):
     return graph.dense_ids(kept, "node_id", stored).select("node_id", F.col("new_index").cast("long").alias("new_index"))
 
 
+@query("""WITH RECURSIVE r AS (SELECT parent_id AS node_id FROM edge_fault WHERE parent_id NOT IN (SELECT node_id FROM edge_fault) UNION SELECT e.node_id FROM edge_fault e JOIN r ON e.parent_id = r.node_id)
+SELECT node_id, 'MULTIPLE_PARENTS' AS fault FROM edge_fault GROUP BY node_id HAVING count(*) > 1 UNION ALL SELECT DISTINCT node_id, 'SELF_PARENT' FROM edge_fault WHERE node_id = parent_id UNION ALL SELECT DISTINCT node_id, 'CYCLE' FROM edge_fault WHERE node_id NOT IN (SELECT node_id FROM r)""")
+def node_graph_faults(spark, sf_dir):
+    """Second parents, self-parents, and nodes on a cycle of any length or below one."""
+    e = derived(spark, sf_dir, "edge_fault")
+    named = lambda df, fault: df.select("node_id", F.lit(fault).alias("fault"))
+    many = named(e.groupBy("node_id").count().where("count > 1"), "MULTIPLE_PARENTS")
+    own = named(e.where("node_id = parent_id").select("node_id").distinct(), "SELF_PARENT")
+    return many.unionByName(own).unionByName(named(graph.unreached(e, stored=stored), "CYCLE"))
+
+
 # --- Matrices -----------------------------------------------------------------------------------------------------
 
 
@@ -230,32 +264,37 @@ def _product(a: str, b: str, k: int) -> str:
     return "(" + " + ".join(f"{a}[{r + 4 * j + 1}] * {b}[{4 * c + j + 1}]" for j in range(4)) + ")"
 
 
-@query(f"SELECT vec_id, {', '.join(f'round({_product('e[1:16]', 'e[17:32]', k)}, 6) AS c{k}' for k in (0, 5, 10, 15))} FROM ({_E}) t")
+@query(f"SELECT vec_id, {', '.join(f'round({_product('e[1:16]', 'e[17:32]', k)}, 6) AS c{k}' for k in range(16))} FROM ({_E}) t")
 def mat4_multiply(spark, sf_dir):
     m = _slices(spark, sf_dir).withColumn("p", matrices.multiply(F.col("m0"), F.col("m1")))
-    return m.select("vec_id", *[F.round(F.col("p")[k], 6).alias(f"c{k}") for k in (0, 5, 10, 15)])
+    return m.select("vec_id", *[F.round(F.col("p")[k], 6).alias(f"c{k}") for k in range(16)])
+
+
+#: Column-major elements of translation * rotation * scale; e[1:3] translates, e[4:7] turns, e[8:10] scales.
+_TRS = ("(1 - 2 * (y * y + z * z)) * e[8]", "2 * (x * y + z * w) * e[8]", "2 * (x * z - y * w) * e[8]", "0.0", "2 * (x * y - z * w) * e[9]", "(1 - 2 * (x * x + z * z)) * e[9]", "2 * (y * z + x * w) * e[9]", "0.0",
+        "2 * (x * z + y * w) * e[10]", "2 * (y * z - x * w) * e[10]", "(1 - 2 * (x * x + y * y)) * e[10]", "0.0", "e[1]", "e[2]", "e[3]", "1.0")
 
 
-@query(f"SELECT vec_id, round(e[1], 6) AS tx, round((1 - 2 * (y * y + z * z)) * e[8], 6) AS c0, round(2 * (x * y + z * w) * e[8], 6) AS c1, round((1 - 2 * (x * x + y * y)) * e[10], 6) AS c10 FROM (SELECT *, e[4] / n AS x, e[5] / n AS y, e[6] / n AS z, e[7] / n AS w FROM (SELECT *, sqrt(e[4] * e[4] + e[5] * e[5] + e[6] * e[6] + e[7] * e[7]) AS n FROM ({_E}) a) b) c")
+@query(f"SELECT vec_id, {', '.join(f'round(CAST({t} AS DOUBLE), 6) AS c{k}' for k, t in enumerate(_TRS))} FROM (SELECT *, e[4] / n AS x, e[5] / n AS y, e[6] / n AS z, e[7] / n AS w FROM (SELECT *, sqrt(e[4] * e[4] + e[5] * e[5] + e[6] * e[6] + e[7] * e[7]) AS n FROM ({_E}) a) b) c")
 def mat4_from_trs(spark, sf_dir):
     m = _slices(spark, sf_dir).withColumn("m", matrices.from_trs(F.slice("m0", 1, 3), F.slice("m0", 4, 4), F.slice("m0", 8, 3)))
-    return m.select("vec_id", F.round(F.col("m")[12], 6).alias("tx"), *[F.round(F.col("m")[k], 6).alias(f"c{k}") for k in (0, 1, 10)])
+    return m.select("vec_id", *[F.round(F.col("m")[k], 6).alias(f"c{k}") for k in range(16)])
 
 
-@query(f"SELECT vec_id, round((e[1] * 2 + e[5] * 3 + e[9] * 5 + e[13]) / w, 6) AS x, round((e[2] * 2 + e[6] * 3 + e[10] * 5 + e[14]) / w, 6) AS y FROM (SELECT *, e[4] * 2 + e[8] * 3 + e[12] * 5 + e[16] + 8 AS w FROM ({_E}) a) b WHERE abs(w) > 1e-15")
+@query(f"SELECT vec_id, round((e[1] * 2 + e[5] * 3 + e[9] * 5 + e[13]) / w, 6) AS x, round((e[2] * 2 + e[6] * 3 + e[10] * 5 + e[14]) / w, 6) AS y, round((e[3] * 2 + e[7] * 3 + e[11] * 5 + e[15]) / w, 6) AS z FROM (SELECT *, e[4] * 2 + e[8] * 3 + e[12] * 5 + e[16] + 8 AS w FROM ({_E}) a) b WHERE abs(w) > 1e-15")
 def mat4_apply(spark, sf_dir):
     m = _slices(spark, sf_dir).withColumn("m0", F.transform("m0", lambda x, i: F.when(i == 15, x + 8).otherwise(x)))
     p = matrices.apply(F.col("m0"), F.lit(2.0), F.lit(3.0), F.lit(5.0))
-    return m.withColumn("p", p).where("p IS NOT NULL").select("vec_id", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+    return m.withColumn("p", p).where("p IS NOT NULL").select("vec_id", *[F.round(f"p.{a}", 6).alias(a) for a in "xyz"])
 
 
-@query(f"""SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'Y' ELSE 'Z' END AS axis, round(CASE WHEN vec_id % 2 = 0 THEN e[1] * cx + e[5] * -cz + e[9] * cy + e[13] ELSE e[1] * cx + e[5] * cy + e[9] * cz + e[13] END, 6) AS x FROM (SELECT *, e[17] AS cx, e[18] AS cy, e[19] AS cz FROM ({_E}) a) b""")
+@query(f"""SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'Y' ELSE 'Z' END AS axis, round(CASE WHEN vec_id % 2 = 0 THEN e[1] * cx + e[5] * -cz + e[9] * cy + e[13] ELSE e[1] * cx + e[5] * cy + e[9] * cz + e[13] END, 6) AS x, round(CASE WHEN vec_id % 2 = 0 THEN e[2] * cx + e[6] * -cz + e[10] * cy + e[14] ELSE e[2] * cx + e[6] * cy + e[10] * cz + e[14] END, 6) AS y, round(CASE WHEN vec_id % 2 = 0 THEN e[3] * cx + e[7] * -cz + e[11] * cy + e[15] ELSE e[3] * cx + e[7] * cy + e[11] * cz + e[15] END, 6) AS z FROM (SELECT *, e[17] AS cx, e[18] AS cy, e[19] AS cz FROM ({_E}) a) b""")
 def world_compose(spark, sf_dir):
     """tile * axis * T(centre): the translated origin of each asset."""
     axis = F.when(F.col("vec_id") % 2 == 0, "Y").otherwise("Z")
     m = _slices(spark, sf_dir).withColumn("axis", axis).withColumn("ax", matrices.up_axis(F.col("axis"))).withColumn("c", matrices.translation(*[F.col("m1")[i] for i in range(3)]))
     m = m.withColumn("w", matrices.multiply(F.col("m0"), F.col("ax"))).withColumn("w", matrices.multiply(F.col("w"), F.col("c")))
-    return m.select("vec_id", "axis", F.round(F.col("w")[12], 6).alias("x"))
+    return m.select("vec_id", "axis", *[F.round(F.col("w")[12 + k], 6).alias(a) for k, a in enumerate("xyz")])
 
 
 @query("SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AS valid FROM embeddings")

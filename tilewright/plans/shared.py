@@ -47,8 +47,6 @@ SHARED = {
     "slowest_assets": """SELECT asset_id, CAST(sum(duration_ms) AS BIGINT) AS total_ms FROM task_event GROUP BY asset_id ORDER BY total_ms DESC, asset_id LIMIT 20""",
     # Sets.
     "accounting_closed": """SELECT count(*) AS tasks, count(*) FILTER (WHERE n <> 1) AS wrong FROM (SELECT t.task_id, count(o.task_id) AS n FROM task t LEFT JOIN (SELECT task_id FROM task WHERE srid = 4490 UNION ALL SELECT task_id FROM task WHERE srid <> 4490 OR srid IS NULL) o ON t.task_id = o.task_id GROUP BY t.task_id) x""",
-    # Graph faults.
-    "node_graph_faults": """SELECT node_id, 'MULTIPLE_PARENTS' AS fault FROM edge_fault GROUP BY node_id HAVING count(*) > 1 UNION ALL SELECT DISTINCT node_id, 'SELF_PARENT' FROM edge_fault WHERE node_id = parent_id""",
     # Scalar functions over whole tables.
     "lon_delta": """SELECT c_custkey, CASE WHEN d > 180 THEN d - 360 WHEN d < -180 THEN d + 360 ELSE d END AS delta FROM (SELECT c_custkey, CAST(c_custkey * 7919 % 360 - 180 - (c_custkey * 31 % 360 - 180) AS DOUBLE) AS d FROM customer) t""",
     "segment_metres": """SELECT scope_id, polygon_id, ring_id, seq, round(sqrt(power((lon2 - lon) * cos(radians((lat + lat2) / 2)) * 111319.49079327358e0, 2) + power((lat2 - lat) * 111319.49079327358e0, 2)), 6) AS metres FROM (SELECT g.*, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM scope_geo g WINDOW w AS (PARTITION BY scope_id, polygon_id, ring_id ORDER BY seq)) s WHERE lon2 IS NOT NULL""",

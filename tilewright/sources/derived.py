@@ -30,8 +30,9 @@ DERIVED = {
     "rect": """SELECT * FROM (SELECT 0 AS piece_id, 0 AS x0, 0 AS y0, 400 AS x1, 150 AS y1 UNION ALL SELECT 1, 0, 150, 150, 250 UNION ALL SELECT 2, 250, 150, 400, 250 UNION ALL SELECT 3, 0, 250, 400, 400) t""",
     "piece": """SELECT CAST(n_nationkey AS BIGINT) AS scope_id, piece_id, CAST(n_nationkey % 5 * 120 + x0 AS DOUBLE) AS minx, CAST(CAST(floor(n_nationkey / 5) AS BIGINT) * 120 + y0 AS DOUBLE) AS miny, CAST(n_nationkey % 5 * 120 + x1 AS DOUBLE) AS maxx, CAST(CAST(floor(n_nationkey / 5) AS BIGINT) * 120 + y1 AS DOUBLE) AS maxy FROM nation CROSS JOIN rect""",
     "node": """SELECT p_partkey AS node_id, CASE WHEN p_partkey = 1 THEN NULL ELSE CAST(floor((p_partkey + 2) / 4) AS BIGINT) END AS parent_id, CASE WHEN p_partkey % 5 = 0 THEN p_partkey END AS mesh, p_size % 10 AS step FROM part""",
-    # The same tree with roots removed here and there, double parents and a self-parent.
-    "edge_fault": """SELECT node_id, parent_id FROM node WHERE parent_id IS NOT NULL UNION ALL SELECT node_id, node_id - 1 FROM node WHERE node_id % 97 = 2 AND node_id > 2 UNION ALL SELECT node_id, node_id FROM node WHERE node_id % 89 = 7""",
+    # The same tree with double parents, self-parents, and rings of three nodes apart from it with a node hanging on each.
+    "edge_fault": """SELECT node_id, parent_id FROM node WHERE parent_id IS NOT NULL UNION ALL SELECT node_id, node_id - 1 FROM node WHERE node_id % 97 = 2 AND node_id > 2 UNION ALL SELECT node_id, node_id FROM node WHERE node_id % 89 = 7
+        UNION ALL SELECT -4 * node_id, -4 * node_id - 1 FROM node WHERE node_id % 83 = 5 UNION ALL SELECT -4 * node_id - 1, -4 * node_id - 2 FROM node WHERE node_id % 83 = 5 UNION ALL SELECT -4 * node_id - 2, -4 * node_id FROM node WHERE node_id % 83 = 5 UNION ALL SELECT -4 * node_id - 3, -4 * node_id FROM node WHERE node_id % 83 = 5""",
     "uv_use": """SELECT s_suppkey AS use_id, s_suppkey % 10 AS image, CAST(s_suppkey % 16 AS DOUBLE) / 8 - 0.5e0 AS u0, CAST(s_suppkey % 7 AS DOUBLE) / 8 AS v0, CAST(s_suppkey % 16 AS DOUBLE) / 8 + 0.25e0 AS u1, CAST(s_suppkey % 7 AS DOUBLE) / 8 + 0.125e0 AS v1, CAST(s_suppkey % 16 AS DOUBLE) / 8 AS u2, CAST(s_suppkey % 7 AS DOUBLE) / 8 + 0.5e0 AS v2, CASE WHEN s_suppkey % 3 = 0 THEN 33071 ELSE 10497 END AS wrap_s, CASE WHEN s_suppkey % 4 = 0 THEN 33071 ELSE 10497 END AS wrap_t FROM supplier""",
     "material": """SELECT p_partkey % 40 AS material, p_partkey AS prim_id, p_partkey % 200 AS asset_id, p_size % 2 AS survives FROM part""",
     "sampler": """SELECT s_suppkey AS sampler, CASE s_suppkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 33071 WHEN 2 THEN 33648 ELSE 10497 END AS wrap_s, CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 33071 ELSE 10497 END AS wrap_t, CASE s_suppkey % 7 WHEN 0 THEN 33648 WHEN 1 THEN 33071 WHEN 2 THEN 10497 WHEN 3 THEN -1 END AS wrap_r FROM supplier""",
