@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, jaccard, langid, packing, pieces, pii, secrets, topk, toxicity, urls
+from . import collocations, flac, jaccard, langid, lexical, licenses, packing, pieces, pii, secrets, topk, toxicity, urls
 from .common import held_out, materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,18 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_digest(materialize(flac.encode_column(table(spark, sf_dir, "documents"))))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"))
+
+
 OP4_SQL = """
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -85,5 +97,5 @@ WITH e AS (
 SELECT * FROM k WHERE rank <= 5
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_language_id, op4_exact_top_k, op5_pii, op6_jaccard_join, op7_pieces, op8_toxicity, op9_secrets, op10_media)}
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": urls.oracle_sql(RULES), "op4_exact_top_k": OP4_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_language_id, op4_exact_top_k, op5_pii, op6_jaccard_join, op7_pieces, op8_toxicity, op9_secrets, op10_media, op11_lexical_search, op12_license_scan, op13_collocations)}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": urls.oracle_sql(RULES), "op4_exact_top_k": OP4_SQL, "op11_lexical_search": lexical.oracle_sql(10), "op12_license_scan": licenses.oracle_sql(), "op13_collocations": collocations.oracle_sql()}
