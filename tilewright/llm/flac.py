@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_exact
+
 BLOCK, RATE, UNIT = 4096, 8000, 64
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))  # fixed values: the format's polynomial predictors
 
@@ -314,9 +316,9 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
             for rows in _parts(np.array([len(t) + UNIT for t in texts])):
                 both = [padded_payload(texts[i]) for i in rows]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[rows].to_numpy(), "n_bytes": [n for _, n in both], "media": encode([p for p, _ in both])})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[rows].array, "n_bytes": [n for _, n in both], "media": encode([p for p, _ in both])})
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return map_exact(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, n_bytes long, media binary")
 
 
 def decode_column(media: DataFrame) -> DataFrame:
@@ -329,7 +331,7 @@ def decode_column(media: DataFrame) -> DataFrame:
                 out = [(d, k, s, a, p) for d, blocks in zip(part["doc_id"], decode_blocks(list(part["media"]))) for k, (s, a, p) in enumerate(blocks)]
                 yield pd.DataFrame(out, columns=["doc_id", "block", "first_sample", "byte_offset", "pcm"])
 
-    return media.select("doc_id", "media").mapInPandas(run, "doc_id long, block int, first_sample long, byte_offset long, pcm binary")
+    return map_exact(media.select("doc_id", "media"), run, "doc_id long, block int, first_sample long, byte_offset long, pcm binary")
 
 
 def media_digest(media: DataFrame) -> DataFrame:
@@ -346,4 +348,4 @@ def media_digest(media: DataFrame) -> DataFrame:
                     out.append((d, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature))
                 yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return media.mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_exact(media, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

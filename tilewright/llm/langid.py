@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -215,7 +216,8 @@ def fit_language_model(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int
                     own = k[(part["lang"] == x).to_numpy()]
                     by[x] = by[x][0] + own.T @ own, by[x][1] + own.sum(axis=0), by[x][2] + len(own)
         seen = {x: v for x, v in by.items() if v[2]}
-        yield pd.DataFrame({"lang": list(seen), "square": [v[0].tobytes() for v in seen.values()], "total": [v[1].tobytes() for v in seen.values()], "n": [v[2] for v in seen.values()]}, columns=["lang", "square", "total", "n"])
+        if seen:
+            yield pd.DataFrame({"lang": list(seen), "square": [v[0].tobytes() for v in seen.values()], "total": [v[1].tobytes() for v in seen.values()], "n": [v[2] for v in seen.values()]}, columns=["lang", "square", "total", "n"])
 
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
         add = lambda c: np.add.reduce([np.frombuffer(x) for x in pdf[c]]).tobytes()
@@ -243,12 +245,13 @@ def identify_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", te
     langs = np.array([*model.langs, UNDETERMINED], dtype=object)
     pred, certainty = names
     schema = docs.drop(*names).withColumn(pred, F.lit("")).withColumn(certainty, F.lit(0.0)).schema
+    text_at = schema.names.index(text_col)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), batch):
-                pdf = whole.iloc[at : at + batch].copy()
-                texts = [t if isinstance(t, str) else "" for t in pdf[text_col]]
+                part = whole.slice(at, batch)
+                texts = [t if isinstance(t, str) else "" for t in part.column(text_at).to_pylist()]
                 letters = np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool)
                 if model.langs:
                     out = model.decide(texts)
@@ -257,8 +260,8 @@ def identify_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", te
                     best, score = out.argmax(axis=1), out.max(axis=1)
                 else:
                     best, score = np.zeros(len(texts), dtype=int), np.zeros(len(texts))
-                pdf[pred] = langs[np.where(letters & bool(model.langs), best, len(model.langs))]
-                pdf[certainty] = np.where(letters, score, 0.0)
-                yield pdf
+                told = langs[np.where(letters & bool(model.langs), best, len(model.langs))]
+                # The given columns pass as they are.
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(told, pa.string()), pa.array(np.where(letters, score, 0.0))], names=schema.names)
 
-    return docs.drop(*names).mapInPandas(run, schema)
+    return docs.drop(*names).mapInArrow(run, schema)

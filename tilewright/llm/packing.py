@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_exact, materialize
 
 CAPACITY = 1024
 EOS = 2
@@ -62,7 +62,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, eos
                     out.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, PIECE_SCHEMA)
+    return map_exact(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, PIECE_SCHEMA)
 
 
 def rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

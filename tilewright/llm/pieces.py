@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_exact, materialize
 
 MARK = "▁"
 APART = "\uffff"  # stands for a mark of the text itself
@@ -310,7 +310,7 @@ def chunk_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     schema = f"{_KEYS}, {_SUMS}, {'ids array<int>, ' if with_ids else ''}{_OPEN}"
     names = [x.split()[0] for x in schema.split(", ")]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, schema)
+    return map_exact(rows, run, schema)
 
 
 def _up(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -373,7 +373,7 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     parts = open_.join(states.select("row", F.col("at").alias("chunk"), "first", "last"), ["row", "chunk"])
     schema = f"{_KEYS}, {_SUMS}{', ids array<int>' if with_ids else ''}"
     parts = parts.repartition("row", "chunk")
-    return rows.where("part IS NULL").select(*kept).unionByName(parts.select("row", "doc_id", "chunk", "chunks", "size", "part", "first", "last").mapInPandas(traced, schema))
+    return rows.where("part IS NULL").select(*kept).unionByName(map_exact(parts.select("row", "doc_id", "chunk", "chunks", "size", "part", "first", "last"), traced, schema))
 
 
 def decode_pieces(chunks: DataFrame, path: str) -> DataFrame:
@@ -388,7 +388,7 @@ def decode_pieces(chunks: DataFrame, path: str) -> DataFrame:
             text = [v.decode(list(ids)).decode("utf-8", "replace")[c == 0 :] for ids, c in zip(pdf["ids"], pdf["chunk"])]
             yield pdf[["row", "doc_id", "chunk", "chunks"]].assign(text=text)
 
-    return chunks.select("row", "doc_id", "chunk", "chunks", "ids").mapInPandas(run, f"{_KEYS}, text string")
+    return map_exact(chunks.select("row", "doc_id", "chunk", "chunks", "ids"), run, f"{_KEYS}, text string")
 
 
 def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -415,7 +415,7 @@ def encode_column(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     several = several.select("row", "doc_id", "at", *_SUM_NAMES)
     while most > 1:
         near = several.groupBy("row", F.floor(F.col("at") / FAN).alias("g")).agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("at", *_SUM_NAMES))).alias("parts"))
-        several = near.select("row", "doc_id", F.col("g").alias("at"), "parts").mapInPandas(_added, f"row long, doc_id long, at long, {_SUMS}")
+        several = map_exact(near.select("row", "doc_id", F.col("g").alias("at"), "parts"), _added, f"row long, doc_id long, at long, {_SUMS}")
         most = -(-most // FAN)
     # The mark in front decodes to a space, which is no part of the text; a score is rounded, since its order of addition is free.
     out = single.select("doc_id", *_SUM_NAMES).unionByName(several.select("doc_id", *_SUM_NAMES))

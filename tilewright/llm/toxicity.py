@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +41,8 @@ LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$
 _GLYPHS = str.maketrans(HOMOGLYPHS)
 _LEET = str.maketrans(LEET)
 _ODD = re.compile(r"[^\x00-\x7fÀ-ɏ]")
-#: A word that mixes letters with digits or signs between or before letters.
-_MIXED = re.compile(r"(?<![^\W_])(?=[0-9@$]*[^\W\d_])[^\W_@$]*[0134579@$][^\W_@$]*(?:[0-9@$]+[^\W_]*)*(?<=[^\W\d_])", re.UNICODE)
+#: A run of letters, digits and signs with a digit or sign in it. Possessive throughout, so no character is read again.
+_MIXED = re.compile(r"(?<![^\W_])(?<![@$])[^\W\d_]*+[\d@$](?:[^\W_]|[@$])*+")
 _WORD = re.compile(r"[^\W\d_]+")
 _BEFORE, _AFTER = re.compile(r"[^\W\d_]{1,40} \Z"), re.compile(r" [^\W\d_]{1,40}")
 
@@ -52,7 +53,16 @@ def fold(text: str) -> str:
         text = unicodedata.normalize("NFKC", text).lower().translate(_GLYPHS)
     else:
         text = text.lower()
-    return _MIXED.sub(lambda m: m.group().translate(_LEET), text)
+    return _MIXED.sub(_letters, text)
+
+
+def _letters(run: re.Match) -> str:
+    """Digits and signs up to the run's last letter as the letters that they stand for."""
+    s = run.group()
+    end = len(s)
+    while end and (s[end - 1] in "@$" or s[end - 1].isdecimal()):
+        end -= 1
+    return s[:end].translate(_LEET) + s[end:]
 
 
 @dataclass
@@ -92,7 +102,15 @@ def weight(folded: str, automaton) -> float:
                 covered.append((start, end))
             else:
                 hits.append((start, end, term, w))
-    kept = {t: w for s, e, t, w in hits if not any(a <= s and e <= b for a, b in covered)}
+    covered.sort()
+    hits.sort()
+    kept, at, furthest = {}, 0, -1
+    for start, end, term, w in hits:
+        while at < len(covered) and covered[at][0] <= start:
+            furthest = max(furthest, covered[at][1])
+            at += 1
+        if end > furthest:
+            kept[term] = w
     return sum(kept.values())
 
 
@@ -149,14 +167,14 @@ def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
     return words, stems
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 25) -> tuple[float, float, float]:
-    """Logistic regression with a small ridge, by Newton's method."""
+def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray, steps: int = 25) -> tuple[float, float, float]:
+    """Logistic regression with a small ridge on points that stand for n rows each, by Newton's method."""
     a = np.column_stack([np.ones(len(x)), x])
     beta = np.zeros(3)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        grad = a.T @ (y - p) - 0.1 * beta
-        beta = beta + np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + 0.1 * np.eye(3), grad)
+        grad = a.T @ (n * (y - p)) - 0.1 * beta
+        beta = beta + np.linalg.solve(a.T @ (a * (n * p * (1 - p))[:, None]) + 0.1 * np.eye(3), grad)
     return float(beta[0]), max(0.0, float(beta[1])), max(0.0, float(beta[2]))
 
 
@@ -190,7 +208,8 @@ def fit_lexicon(labelled: DataFrame, sample: int = SAMPLE, exceptions: tuple[str
                 seen.update((x, int(y)) for x in (*_terms(t), ""))
                 if len(seen) > 200_000:
                     yield flushed()
-        yield flushed()
+        if seen:
+            yield flushed()
 
     counted = picked.mapInPandas(count, "term string, y int, n long").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"))
     sizes = counted.where("term = ''").collect()
@@ -209,7 +228,8 @@ def fit_lexicon(labelled: DataFrame, sample: int = SAMPLE, exceptions: tuple[str
         for pdf in batches:
             for t, y in zip(pdf["text"], pdf["y"]):
                 seen.update((p, int(y)) for p in phrases(t, automaton))
-        yield pd.DataFrame({"term": np.array([t for t, _ in seen], dtype=object), "y": [y for _, y in seen], "n": list(seen.values())}, columns=["term", "y", "n"])
+        if seen:
+            yield pd.DataFrame({"term": np.array([t for t, _ in seen], dtype=object), "y": [y for _, y in seen], "n": list(seen.values())}, columns=["term", "y", "n"])
 
     told = picked.mapInPandas(contexts, "term string, y int, n long").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"))
     learned = told.where((F.col("clean") >= LEAST_CLEAN) & (F.col("clean") + 0.5 >= CLEAN_ODDS * (F.col("toxic") + 0.5))).collect()
@@ -221,8 +241,9 @@ def fit_lexicon(labelled: DataFrame, sample: int = SAMPLE, exceptions: tuple[str
             f = [features(t, automaton) for t in pdf["text"]]
             yield pd.DataFrame({"a": [round(v[0], 1) for v in f], "b": [round(v[1], 2) for v in f], "y": pdf["y"].to_numpy()})
 
-    points = picked.mapInPandas(measured, "a double, b double, y int").toPandas()
-    lexicon.curve = fit_curve(points[["a", "b"]].to_numpy(), points["y"].to_numpy())
+    # Rounded values repeat: their counts are what the driver gets, however often one text was picked.
+    points = picked.mapInPandas(measured, "a double, b double, y int").groupBy("a", "b", "y").count().orderBy("a", "b", "y").toPandas()
+    lexicon.curve = fit_curve(points[["a", "b"]].to_numpy(), points["y"].to_numpy(), points["count"].to_numpy(dtype=float))
     release(picked)
     return lexicon
 
@@ -244,13 +265,13 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", th
     """
     value, verdict = names
     schema = docs.drop(*names).withColumn(value, F.lit(0.0)).withColumn(verdict, F.lit(0)).schema
+    text_at = schema.names.index(text_col)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        for pdf in batches:
-            pdf = pdf.copy()
-            pdf[value] = [score_of(features(fold(t), automaton) if isinstance(t, str) else (0.0, 0.0), lexicon.curve) for t in pdf[text_col]]
-            pdf[verdict] = (pdf[value] >= threshold).astype("int32")
-            yield pdf
+        for b in batches:
+            scores = np.array([score_of(features(fold(t), automaton) if isinstance(t, str) else (0.0, 0.0), lexicon.curve) for t in b.column(text_at).to_pylist()], dtype=float)
+            # The given columns pass as they are.
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=schema.names)
 
-    return docs.drop(*names).mapInPandas(run, schema)
+    return docs.drop(*names).mapInArrow(run, schema)
