@@ -136,6 +136,12 @@ def clip_outcome(spark, sf_dir):
     return s.select("asset_id", F.when(F.col("triangles_after") == 0, "EMPTY").otherwise("READY").alias("result"), "triangles_after")
 
 
+@query("SELECT asset_id, result, CASE WHEN triangles_after > 0 THEN triangles_after END AS output_rows FROM (" + _STATS.replace("@AREA@", "CASE WHEN coalesce(n, 0) = 0 THEN 'EMPTY' ELSE 'READY' END AS result") + ") x")
+def completion_report(spark, sf_dir):
+    """The outcome of the clip with its number of fragments; EMPTY carries none."""
+    return clip_outcome(spark, sf_dir).select("asset_id", "result", F.when(F.col("triangles_after") > 0, F.col("triangles_after")).alias("output_rows"))
+
+
 @query("SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra")
 def indexed_equals_exhaustive(spark, sf_dir):
     """Rows that only one of grid join and exhaustive pairing gives; both counts must be 0."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tilewright.sources.derived import run_sql, with_tables
 
-from . import composed, scans, shared, streams
+from . import composed, intake, scans, shared, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,5 +17,5 @@ def _shared(sql: str) -> Query:
     return lambda spark, sf_dir: run_sql(spark, sf_dir, shared.spark_text(sql))
 
 
-QUERIES: dict[str, Query] = {**{k: _shared(sql) for k, sql in shared.SHARED.items()}, **composed.QUERIES, **scans.QUERIES, **streams.QUERIES}
-ORACLE_SQL: dict[str, str] = {**{k: with_tables(shared.duckdb_text(sql)) for k, sql in shared.SHARED.items()}, **{k: with_tables(sql) for k, sql in {**composed.ORACLE_SQL, **scans.ORACLE_SQL, **streams.ORACLE_SQL}.items()}}
+QUERIES: dict[str, Query] = {**{k: _shared(sql) for k, sql in shared.SHARED.items()}, **composed.QUERIES, **scans.QUERIES, **streams.QUERIES, **intake.QUERIES}
+ORACLE_SQL: dict[str, str] = {**{k: with_tables(shared.duckdb_text(sql)) for k, sql in shared.SHARED.items()}, **{k: with_tables(sql) for k, sql in {**composed.ORACLE_SQL, **scans.ORACLE_SQL, **streams.ORACLE_SQL, **intake.ORACLE_SQL}.items()}}

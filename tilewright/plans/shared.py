@@ -6,8 +6,6 @@ tables. Spark plans them like any DataFrame (`sources.derived.run_sql`).
 
 SHARED = {
     # Scans and sinks over tables.
-    "completion_report": """SELECT asset_id, CASE WHEN sum(n) = 0 THEN 'EMPTY' ELSE 'READY' END AS result, CASE WHEN sum(n) > 0 THEN CAST(sum(n) AS BIGINT) END AS output_rows
-        FROM (SELECT t.asset_id, CASE WHEN p.scope_id IS NULL THEN 0 ELSE 1 END AS n FROM tri t LEFT JOIN (SELECT scope_id, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy FROM piece GROUP BY scope_id) p ON t.scope_id = p.scope_id AND t.ax <= p.maxx AND t.ay <= p.maxy AND t.bx >= p.minx AND t.cy >= p.miny) x GROUP BY asset_id""",
     "failure_report": """SELECT event_id, asset_id, CASE fault WHEN 0 THEN 'SOURCE_FORMAT_INVALID' WHEN 1 THEN 'TRANSFER_FAILED' WHEN 2 THEN 'CONTROL_PLANE_FAILED' WHEN 3 THEN 'SCOPE_INVALID' ELSE 'PROCESSING_FAILED' END AS error_code, fault IN (1, 2) AS retryable, CASE WHEN trim(CASE WHEN fault = 4 THEN ' ' ELSE 'fault ' || CAST(fault AS STRING) END) = '' THEN 'processing failed' ELSE 'fault ' || CAST(fault AS STRING) END AS message FROM task_event WHERE event = 'failed'""",
     # Rules: the first broken one is the row's code.
     "rule_not_blank": """SELECT task_id, CASE WHEN asset IS NULL THEN 'MISSING' WHEN trim(replace(replace(replace(asset, chr(9), ''), chr(10), ''), chr(13), '')) = '' THEN 'BLANK' ELSE 'OK' END AS code FROM task""",

@@ -27,9 +27,9 @@ SRID_FLAG = 0x20000000
 def u32(content: Column, offset) -> Column:
     """Number at a byte offset (from 0); null where the bytes end before."""
     at = offset if isinstance(offset, Column) else F.lit(offset)
-    part = F.hex(F.substring(content, at.cast("int") + 1, F.lit(4)))
-    swapped = F.concat(*[F.substring(part, k, 2) for k in (7, 5, 3, 1)])
-    return F.when(F.length(part) == 8, F.conv(swapped, 16, 10).cast("long"))
+    # The lambda names the eight digits, which would otherwise be computed for every use.
+    swapped = lambda h: F.when(F.length(h) == 8, F.conv(F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("long"))
+    return F.get(F.transform(F.array(F.hex(F.substring(content, at.cast("int") + 1, F.lit(4)))), swapped), F.lit(0))
 
 
 def put_u32(n: Column) -> Column:
@@ -82,6 +82,26 @@ def chunks(tiles: DataFrame, content: str = "content", inner: str = "inner_offse
     return out.select(*[k for k in out.columns if k != "_c"], "_c.chunk", name.alias("kind"), "_c.offset", "_c.length")
 
 
+def chain_fault(content: Column, inner: Column) -> Column:
+    """What is wrong with the chain of chunks of a container at byte ``inner``; null if nothing.
+
+    A JSON chunk, then at most one binary chunk, then the end: CHUNK_END (header or bytes run past the container),
+    CHUNK_ALIGNMENT (a length that is no multiple of four), CHUNK_ORDER (the first is not JSON, or there is none),
+    CHUNK_UNSUPPORTED (a second chunk that is not binary, or a third one). Each chunk is judged whole before the next.
+    """
+    start, end = inner + INNER_HEADER, inner + u32(content, inner + 8)
+
+    def judged(at: Column, kind: int | None, code: str) -> Column:
+        size = u32(content, at)
+        fault = F.when(at + CHUNK_HEADER > end, "CHUNK_END").when(size % 4 != 0, "CHUNK_ALIGNMENT").when(at + CHUNK_HEADER + size > end, "CHUNK_END")
+        return fault.otherwise(F.lit(code)) if kind is None else fault.when(u32(content, at + 4) != kind, code)
+
+    second = start + CHUNK_HEADER + u32(content, start)
+    third = second + CHUNK_HEADER + u32(content, second)
+    more = F.when(third < end, judged(third, None, "CHUNK_UNSUPPORTED"))
+    return F.when(start >= end, "CHUNK_ORDER").otherwise(F.coalesce(judged(start, CHUNK_JSON, "CHUNK_ORDER"), F.when(second < end, F.coalesce(judged(second, CHUNK_BIN, "CHUNK_UNSUPPORTED"), more))))
+
+
 def mesh(tiles: DataFrame, key: str, view: str = "layout", content: str = "content") -> DataFrame:
     """Vertices of binary chunks: (key, vid, x, y, z). ``layout`` is JSON with count, offset and stride in bytes.
 

@@ -7,13 +7,14 @@ checkpoint leaves each batch's rows exactly once. State is bounded by watermarks
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.functions.storage import shared_folder
+
 TERMINAL = ("succeeded", "failed")
 DELAY, LEASE_GAP, IDLE_GAP, PAIR_WITHIN = "10 minutes", "1 day", "30 minutes", "1 day"
 
@@ -34,8 +35,7 @@ def run_available(stream: DataFrame, mode: str = "append", each: Callable[[DataF
     under ``spark.checkpoint.dir``.
     """
     spark = stream.sparkSession
-    root = where or (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tilewright-checkpoints").rstrip("/")
-    home = f"{root}/stream-{uuid.uuid4().hex}"
+    home = f"{where or shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schemas: list = []
 
     def store(rows: DataFrame, batch: int) -> None:
