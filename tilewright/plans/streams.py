@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators import geometry, spatial
 from tilewright.sources.derived import DERIVED, derived
-from tilewright.streaming import jobs
+from tilewright.streaming import jobs, leases
 
 from . import composed
 
@@ -44,9 +44,23 @@ def stream_terminal_dedup(spark, sf_dir):
 
 
 def stream_lease_timeout(spark, sf_dir):
+    """Leases ended by event-time timers over state."""
+    with leases.timers(spark):
+        lost = jobs.run_available(leases.expired_leases(_events(spark, sf_dir), jobs.LEASE_GAP))
+    return _zoneless(lost.drop("batch"), "started", "expired")
+
+
+def stream_lease_sessions(spark, sf_dir):
+    """The same leases by session windows, without Python state."""
     return _zoneless(jobs.run_available(jobs.lost_leases(_events(spark, sf_dir))).drop("batch"), "started", "expired")
 
 
+def stream_lease_guard(spark, sf_dir):
+    """Successes whose lease had failed don't count; a pair a heartbeat is joined, a result is kept once."""
+    rows = jobs.run_available(leases.guarded_results(_events(spark, sf_dir), jobs.LEASE_GAP))
+    return _zoneless(rows.drop("batch").dropDuplicates(["event_id"]), "finished").select("asset_id", "event_id", "finished", "outcome")
+
+
 def stream_worker_sessions(spark, sf_dir):
     return _zoneless(jobs.run_available(jobs.sessions(_events(spark, sf_dir), "worker_id", jobs.IDLE_GAP)).drop("batch"), "started", "ended")
 
@@ -68,7 +82,7 @@ def stream_clip_intake(spark, sf_dir):
     return out.select("asset_id", F.when(F.col("fragments") > 0, "READY").otherwise("EMPTY").alias("result"), "arrived", "fragments")
 
 
-QUERIES = {f.__name__: f for f in (stream_clip_intake, stream_terminal_dedup, stream_lease_timeout, stream_throughput, stream_worker_sessions, stream_stage_pairs, stream_version_gate)}
+QUERIES = {f.__name__: f for f in (stream_clip_intake, stream_terminal_dedup, stream_lease_timeout, stream_lease_sessions, stream_lease_guard, stream_throughput, stream_worker_sessions, stream_stage_pairs, stream_version_gate)}
 
 
 def _sessions_sql(key: str, keep: str, days: str, ended: str, counted: str) -> str:
@@ -83,6 +97,10 @@ ORACLE_SQL = {
     "stream_throughput": "SELECT date_trunc('minute', ts) AS minute, count(*) FILTER (WHERE event = 'succeeded') AS succeeded, count(*) FILTER (WHERE event = 'failed') AS failed FROM task_event WHERE event IN ('succeeded', 'failed') GROUP BY date_trunc('minute', ts)",
     "stream_terminal_dedup": "SELECT asset_id, outcomes, event_id, event FROM (SELECT *, count(*) OVER (PARTITION BY asset_id) AS outcomes, row_number() OVER (PARTITION BY asset_id ORDER BY ts DESC, event_id DESC) AS rn FROM task_event WHERE event IN ('succeeded', 'failed')) x WHERE rn = 1",
     "stream_lease_timeout": _sessions_sql("asset_id", "event = 'heartbeat'", jobs.LEASE_GAP, "expired", "heartbeats"),
+    "stream_lease_sessions": _sessions_sql("asset_id", "event = 'heartbeat'", jobs.LEASE_GAP, "expired", "heartbeats"),
+    "stream_lease_guard": f"""SELECT asset_id, event_id, finished, outcome FROM (SELECT d.asset_id, d.event_id, d.ts AS finished, CASE WHEN d.event = 'failed' THEN 'FAILED' WHEN EXISTS (SELECT 1 FROM task_event b WHERE b.asset_id = d.asset_id AND b.event IN ('heartbeat', 'claimed') AND b.ts <= d.ts AND b.ts >= d.ts - INTERVAL {jobs.LEASE_GAP}) THEN 'READY' ELSE 'LEASE_LOST' END AS outcome,
+        EXISTS (SELECT 1 FROM task_event b WHERE b.asset_id = d.asset_id AND b.event IN ('heartbeat', 'claimed') AND b.ts <= d.ts AND b.ts >= d.ts - INTERVAL {jobs.LEASE_GAP}) AS met FROM task_event d WHERE d.event IN ('succeeded', 'failed')) x
+        WHERE met OR finished < least((SELECT max(ts) FROM task_event WHERE event IN ('succeeded', 'failed')), (SELECT max(ts) FROM task_event WHERE event IN ('heartbeat', 'claimed'))) - INTERVAL {jobs.DELAY}""",
     "stream_worker_sessions": _sessions_sql("worker_id", "1 = 1", jobs.IDLE_GAP, "ended", "events"),
     "stream_stage_pairs": f"SELECT a.asset_id, a.event_id AS claim_id, b.event_id AS end_id FROM task_event a JOIN task_event b ON a.asset_id = b.asset_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL {jobs.PAIR_WITHIN} WHERE a.event = 'claimed' AND b.event IN ('succeeded', 'failed')",
     "stream_clip_intake": composed._CLIP + "SELECT t.asset_id, CASE WHEN coalesce(n, 0) > 0 THEN 'READY' ELSE 'EMPTY' END AS result, t.arrived, coalesce(n, 0) AS fragments FROM (SELECT asset_id, count(*) AS arrived FROM tri GROUP BY asset_id) t LEFT JOIN (SELECT asset_id, count(*) AS n FROM frags WHERE area > 1e-8 GROUP BY asset_id) f ON t.asset_id = f.asset_id",

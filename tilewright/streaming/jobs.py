@@ -28,14 +28,16 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def run_available(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None, where: str | None = None) -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None, where: str | None = None, name: str | None = None) -> DataFrame:
     """Runs the query on all that is there and gives the written rows with their ``batch``.
 
+    A ``name`` makes it go on from where the run of that name under ``where`` ended: state and rows are those of both.
+
     ``each`` turns a micro-batch into the rows to store, as a batch job. Files go to ``where``, else to a new folder
     under ``spark.checkpoint.dir``.
     """
     spark = stream.sparkSession
-    home = f"{where or shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    home = f"{where or shared_folder(spark)}/stream-{name or uuid.uuid4().hex}"
     schemas: list = []
 
     def store(rows: DataFrame, batch: int) -> None:
@@ -45,7 +47,7 @@ def run_available(stream: DataFrame, mode: str = "append", each: Callable[[DataF
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).foreachBatch(store).start().awaitTermination()
     if not schemas:
-        store(spark.createDataFrame([], stream.schema), 0)
+        store(spark.createDataFrame([], stream.schema), -1)  # nothing arrived: a batch without rows gives the schema
     return spark.read.schema(schemas[-1].add("batch", "long")).parquet(f"{home}/rows")
 
 
