@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: A corner counts as inside up to a centimetre outside; smaller fragments (square metres) are dropped.
 INSIDE, LEAST_AREA, FLAT = 0.01, 1e-8, 1e-15
 POINT = "struct<x:double,y:double,z:double>"
+#: A corner that carries more: ``p`` is interpolated along with the place, element by element.
+CARRYING = "struct<x:double,y:double,z:double,p:array<double>>"
 
 
 def cross2(ax, ay, bx, by, cx, cy) -> Column:
@@ -31,27 +33,29 @@ def rectangle(minx: str = "minx", miny: str = "miny", maxx: str = "maxx", maxy:
     return F.array(*[F.struct(c(x).alias("x"), c(y).alias("y")) for x, y in ((minx, miny), (maxx, miny), (maxx, maxy), (minx, maxy))])
 
 
-def clip(polygon: str, piece: str) -> Column:
+def clip(polygon: str, piece: str, point: str = POINT) -> Column:
     """The part of ``polygon`` within ``piece``, edge by edge.
 
     A corner is inside at -1 cm or more, but cut points lie on the line itself; no cut where both corners are
-    equally far. Under three corners end as an empty array. Heights are interpolated along.
+    equally far. Under three corners end as an empty array. Heights are interpolated along, and so is ``p`` where
+    corners are of type ``CARRYING``: the plane of the clip is x, y, whatever else a corner holds.
     """
     size = f"sqrt((e.b.x - e.a.x) * (e.b.x - e.a.x) + (e.b.y - e.a.y) * (e.b.y - e.a.y))"
     far = lambda p: f"(((e.b.x - e.a.x) * ({p}.y - e.a.y) - (e.b.y - e.a.y) * ({p}.x - e.a.x)) / {size})"
     t = "greatest(0D, least(1D, s.dq / (s.dq - s.dc)))"
-    cut = f"array(named_struct('x', s.q.x + (s.c.x - s.q.x) * {t}, 'y', s.q.y + (s.c.y - s.q.y) * {t}, 'z', s.q.z + (s.c.z - s.q.z) * {t}))"
-    none = f"cast(array() AS array<{POINT}>)"
+    carried = f", 'p', zip_with(s.q.p, s.c.p, (a, b) -> a + (b - a) * {t})" if point == CARRYING else ""
+    cut = f"array(named_struct('x', s.q.x + (s.c.x - s.q.x) * {t}, 'y', s.q.y + (s.c.y - s.q.y) * {t}, 'z', s.q.z + (s.c.z - s.q.z) * {t}{carried}))"
+    none = f"cast(array() AS array<{point}>)"
     kept = f"CASE WHEN s.dc >= -{INSIDE}D THEN array(s.c) ELSE {none} END"
     step = f"""flatten(transform(transform(p, (c, i) -> named_struct('c', c, 'q', element_at(p, CASE WHEN i = 0 THEN size(p) ELSE i END), 'dc', {far('c')}, 'dq', {far('element_at(p, CASE WHEN i = 0 THEN size(p) ELSE i END)')})),
         s -> concat(CASE WHEN (s.dc >= -{INSIDE}D) <> (s.dq >= -{INSIDE}D) AND abs(s.dq - s.dc) > {FLAT}D THEN {cut} ELSE {none} END, {kept})))"""
     edges = f"transform({piece}, (a, i) -> named_struct('a', a, 'b', element_at({piece}, CASE WHEN i = size({piece}) - 1 THEN 1 ELSE i + 2 END)))"
-    return F.expr(f"""aggregate({edges}, cast({polygon} AS array<{POINT}>), (p, e) -> cast(CASE WHEN size(p) < 3 THEN {none} ELSE {step} END AS array<{POINT}>), p -> CASE WHEN size(p) < 3 THEN {none} ELSE p END)""")
+    return F.expr(f"""aggregate({edges}, cast({polygon} AS array<{point}>), (p, e) -> cast(CASE WHEN size(p) < 3 THEN {none} ELSE {step} END AS array<{point}>), p -> CASE WHEN size(p) < 3 THEN {none} ELSE p END)""")
 
 
-def fan(polygon: str) -> Column:
+def fan(polygon: str, point: str = POINT) -> Column:
     """Triangles (first, i, i + 1) of a convex polygon as array<array<point>>."""
-    return F.expr(f"CASE WHEN size({polygon}) < 3 THEN cast(array() AS array<array<{POINT}>>) ELSE transform(sequence(2, size({polygon}) - 1), i -> array({polygon}[0], {polygon}[i - 1], {polygon}[i])) END")
+    return F.expr(f"CASE WHEN size({polygon}) < 3 THEN cast(array() AS array<array<{point}>>) ELSE transform(sequence(2, size({polygon}) - 1), i -> array({polygon}[0], {polygon}[i - 1], {polygon}[i])) END")
 
 
 def area3(triangle: str) -> Column:
@@ -70,8 +74,8 @@ def with_polygon(tri: DataFrame) -> DataFrame:
     return tri.withColumn("poly", ccw(poly)).withColumns(box)
 
 
-def fragments(pairs: DataFrame) -> DataFrame:
+def fragments(pairs: DataFrame, point: str = POINT) -> DataFrame:
     """Clips rows with ``poly`` and ``corners`` and fans the rest into fragments of more than the least area."""
-    cut = pairs.withColumn("cut", clip("poly", "corners")).where(F.size("cut") >= 3)
-    out = cut.select("*", F.posexplode(fan("cut")).alias("frag_id", "frag")).withColumn("area", area3("frag"))
+    cut = pairs.withColumn("cut", clip("poly", "corners", point)).where(F.size("cut") >= 3)
+    out = cut.select("*", F.posexplode(fan("cut", point)).alias("frag_id", "frag")).withColumn("area", area3("frag"))
     return out.where(F.col("area") > LEAST_AREA)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions.storage import stored
-from tilewright.operators import geometry, graph, matrices, polygons, projection, raster, spatial
-from tilewright.sources.derived import derived
+from tilewright.operators import geometry, graph, matrices, meshes, polygons, projection, raster, spatial
+from tilewright.sources.derived import derived, run_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,13 +34,13 @@ _SOURCE = """pairs AS (SELECT t.asset_id, t.tri_id, p.piece_id, p.minx AS x0, p.
 _SIDES = [lambda v: f"(1 * ({v}.y - y0))", lambda v: f"(-1 * ({v}.x - x1))", lambda v: f"(-1 * ({v}.y - y1))", lambda v: f"(1 * ({v}.x - x0))"]
 
 
-def _oracle_steps(source: str = _SOURCE, sides=_SIDES) -> str:
-    """Half-plane by half-plane over lists, for four sides (distances of a corner, positive inside), of a rectangle unless given."""
+def _oracle_steps(source: str = _SOURCE, sides=_SIDES, fields=tuple("xyz")) -> str:
+    """Half-plane by half-plane over lists, for four sides (distances of a corner, positive inside), of a rectangle unless given; ``fields`` are a corner's."""
     out, before = [source], "pairs"
     for k, d in enumerate(sides):
         q, c = "p[CASE WHEN i = 1 THEN len(p) ELSE i - 1 END]", "p[i]"
         t = f"greatest(0.0, least(1.0, {d(q)} / ({d(q)} - {d(c)})))"
-        cut = "{" + ", ".join(f"'{a}': {q}.{a} + ({c}.{a} - {q}.{a}) * {t}" for a in "xyz") + "}"
+        cut = "{" + ", ".join(f"'{a}': {q}.{a} + ({c}.{a} - {q}.{a}) * {t}" for a in fields) + "}"
         out.append(f"s{k} AS (SELECT * EXCLUDE (p), CASE WHEN len(p) < 3 THEN list_filter(p, lambda v: false) ELSE flatten(list_transform(range(1, len(p) + 1), lambda i: list_concat(CASE WHEN ({d(c)} >= -0.01) <> ({d(q)} >= -0.01) THEN [{cut}] ELSE list_filter([{c}], lambda v: false) END, list_filter([{c}], lambda v: {d('v')} >= -0.01)))) END AS p FROM {before})")
         before = f"s{k}"
     u = [f"(b.{a} - a.{a})" for a in "xyz"]
@@ -339,7 +339,89 @@ def ecef_to_geodetic(spark, sf_dir):
 @query(None)
 def local_project(spark, sf_dir):
     g = _geo(spark, sf_dir).withColumn("p", projection.local_project("lon", "lat", "120D", "30D"))
-    return g.select("c_custkey", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"), "height")
+    return g.select("c_custkey", (F.round("p.x", 3) + 0.0).alias("x"), (F.round("p.y", 3) + 0.0).alias("y"), "height")
+
+
+_CENTRE = (120.0, 30.0)
+_TILE = meshes.east_north_up(*_CENTRE)
+
+
+def _projection_sql(source: str, place: str) -> str:
+    """CTEs from ``source`` (earth-centred columns ex, ey, ez) to ``place`` with px, py and ph: the inverse geodesic, a step a CTE."""
+    f, a, b, e2, ep2 = 1 / projection.INVERSE_F, projection.A, projection.B, projection.E2, projection.EP2
+    lon0, lat0 = _CENTRE
+    steps = [
+        f"g1 AS (SELECT *, sqrt(ex * ex + ey * ey) AS p, atan2(ez * {a!r}, sqrt(ex * ex + ey * ey) * {b!r}) AS u FROM {source})",
+        f"g2 AS (SELECT *, degrees(atan2(ey, ex)) AS lon, atan2(ez + {ep2 * b!r} * power(sin(u), 3), p - {e2 * a!r} * power(cos(u), 3)) AS lat FROM g1)",
+        f"g3 AS (SELECT *, p * cos(lat) + ez * sin(lat) - {a * a!r} / ({a!r} / sqrt(1 - {e2!r} * sin(lat) * sin(lat))) AS ph FROM g2)",
+        f"v0 AS (SELECT *, atan((1 - {f!r}) * tan(radians({lat0!r}))) AS u1, atan((1 - {f!r}) * tan(radians(degrees(lat)))) AS u2, radians(lon - {lon0!r}) AS l, radians(lon - {lon0!r}) AS m FROM g3)",
+    ]
+    sigma = "sqrt(power(cos(u2) * sin(m), 2) + power(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(m), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(m) AS cs"
+    angle = "CASE WHEN ss = 0 THEN 0 ELSE cos(u1) * cos(u2) * sin(m) / ss END AS sa, atan2(ss, cs) AS sg"
+    middle = "1 - sa * sa AS c2, CASE WHEN 1 - sa * sa = 0 THEN 0.0::double ELSE cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) END AS cm"
+    for k in range(6):
+        steps.append(f"""v{k + 1} AS (SELECT * EXCLUDE (m, ss, cs, sa, sg, c2, cm, c), CASE WHEN ss = 0 THEN m ELSE l + (1 - c) * {f!r} * sa * (sg + c * ss * (cm + c * cs * (-1 + 2 * cm * cm))) END AS m
+            FROM (SELECT *, {f / 16!r} * c2 * (4 + {f!r} * (4 - 3 * c2)) AS c FROM (SELECT *, {middle} FROM (SELECT *, {angle} FROM (SELECT *, {sigma} FROM v{k}) s1) s2) s3) s4)""")
+    steps.append(f"""w1 AS (SELECT *, 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q))) AS ka, q / 1024 * (256 + q * (-128 + q * (74 - 47 * q))) AS kb, atan2(cos(u2) * sin(m), cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(m)) AS az
+        FROM (SELECT *, c2 * {ep2!r} AS q FROM (SELECT *, {middle} FROM (SELECT *, {angle} FROM (SELECT *, {sigma} FROM v6) s1) s2) s3) s4)""")
+    steps.append(f"""{place} AS (SELECT *, CASE WHEN ss = 0 THEN 0.0::double ELSE d * sin(az) END AS px, CASE WHEN ss = 0 THEN 0.0::double ELSE d * cos(az) END AS py
+        FROM (SELECT *, {b!r} * ka * (sg - kb * ss * (cm + kb / 4 * (cs * (-1 + 2 * cm * cm) - kb / 6 * cm * (-3 + 4 * ss * ss) * (-3 + 4 * cm * cm)))) AS d FROM w1) s)""")
+    # Materialized, or the engine substitutes each step into the next one's every use.
+    return ", ".join(s.replace(" AS (", " AS MATERIALIZED (", 1) for s in steps)
+
+
+_EARTH = f"""earth AS (SELECT c_custkey, height, (n + height) * cos(la) * cos(lo) AS ex, (n + height) * cos(la) * sin(lo) AS ey, (n * (1 - {projection.E2!r}) + height) * sin(la) AS ez
+    FROM (SELECT *, {projection.A!r} / sqrt(1 - {projection.E2!r} * sin(la) * sin(la)) AS n FROM (SELECT c_custkey, CAST(c_custkey % 500 AS DOUBLE) AS height, radians(120 + CAST(c_custkey * 7919 % 2001 - 1000 AS DOUBLE) / 100000) AS lo, radians(30 + CAST(c_custkey * 6007 % 2001 - 1000 AS DOUBLE) / 100000) AS la FROM customer) a) b)"""
+ORACLE_SQL["local_project"] = f"WITH {_EARTH}, {_projection_sql('earth', 'there')} SELECT c_custkey, round(px, 3) + 0.0 AS x, round(py, 3) + 0.0 AS y, height FROM there"
+
+#: What a vertex carries beside its place: texture coordinates, a normal, a colour.
+_PAYLOAD = ["CAST(vid % 16 AS DOUBLE) / 16", "CAST(vid % 7 AS DOUBLE) / 8", "CAST(vid % 3 AS DOUBLE) - 1", "CAST(vid % 5 AS DOUBLE) - 2", "3e0", "CAST(vid % 256 AS DOUBLE) / 256", "CAST(vid % 11 AS DOUBLE) / 16", "1e0"]
+_NORMAL = 5  # the payload follows the three local coordinates
+_CARRIED = [f"p{k}" for k in range(3 + len(_PAYLOAD))]
+#: Assets with an even number have content whose up axis is y; their local coordinates are turned so that the place is the same.
+_LOCAL = "SELECT asset_id, prim, vid, x - 500 AS lx, CASE WHEN asset_id % 2 = 0 THEN z ELSE y - 500 END AS ly, CASE WHEN asset_id % 2 = 0 THEN 500 - y ELSE z END AS lz, {} FROM vertex"
+
+
+def _place_sql() -> str:
+    m = _TILE
+    turned = "SELECT v.*, lx + w.x AS cx, CASE WHEN v.asset_id % 2 = 0 THEN -lz ELSE ly END AS cy, CASE WHEN v.asset_id % 2 = 0 THEN ly ELSE lz END AS cz FROM local_ v JOIN w ON w.mesh = 5 * (v.asset_id + 1)"
+    return f"local_ AS ({_LOCAL.format(', '.join(f'{e} AS p{k + 3}' for k, e in enumerate(_PAYLOAD)))}), earth AS (SELECT *, {', '.join(f'{m[r]!r} * cx + {m[4 + r]!r} * cy + {m[8 + r]!r} * cz + {m[12 + r]!r} AS e{a}' for r, a in enumerate('xyz'))} FROM ({turned}) t), " + _projection_sql("earth", "there")
+
+
+def _tile_clip_sql() -> str:
+    corner = "{'x': px, 'y': py, 'z': ph, 'p0': lx, 'p1': ly, 'p2': lz, " + ", ".join(f"'{p}': {p}" for p in _CARRIED[3:]) + "}"
+    source = f"""{_place_sql()}, three AS (SELECT asset_id, prim, CAST(floor(vid / 3) AS BIGINT) AS tri_id, list({corner} ORDER BY vid) AS p FROM there GROUP BY asset_id, prim, CAST(floor(vid / 3) AS BIGINT)),
+        pairs AS (SELECT t.asset_id, t.tri_id, q.piece_id, q.minx - 500 AS x0, q.miny - 500 AS y0, q.maxx - 500 AS x1, q.maxy - 500 AS y1, t.p FROM three t JOIN piece q ON t.asset_id % 25 = q.scope_id)"""
+    steps = _oracle_steps(source, fields=(*"xyz", *_CARRIED))
+    recursive = _WALK.replace("WITH RECURSIVE w AS (", "w AS (").rstrip()
+    steps = "WITH RECURSIVE " + recursive + ", " + steps[len("WITH ") :]
+    length = lambda v: f"sqrt({' + '.join(f'{v}.p{_NORMAL + k} * {v}.p{_NORMAL + k}' for k in range(3))})"
+    value = lambda v, k: f"CAST({v}.p{k} / {length(v)} AS FLOAT)" if _NORMAL <= k < _NORMAL + 3 else f"CAST({v}.p{k} AS FLOAT)"
+    sums = ", ".join(f"round(CAST({' + '.join(f'CAST({value(v, k)} AS DOUBLE)' for v in 'abc')} AS DOUBLE), 2) + 0.0 AS s{k}" for k in range(len(_CARRIED)))
+    return steps + f"SELECT asset_id, tri_id, piece_id, CAST(frag_id AS INTEGER) AS frag_id, round(area, 2) AS area, {sums} FROM frags WHERE area > 1e-8"
+
+
+def placed_vertices(spark, sf_dir):
+    """Vertices with the world matrix of the node that places their mesh: tile, up axis, node; and what they carry."""
+    local = run_sql(spark, sf_dir, _LOCAL.format(f"array({', '.join(_PAYLOAD)}) AS payload")).withColumnsRenamed({"lx": "x", "ly": "y", "lz": "z"})
+    nodes = derived(spark, sf_dir, "node").where("mesh IS NOT NULL").select("node_id", "mesh")
+    world = _world(spark, sf_dir).select("node_id", "world").join(nodes, "node_id").select((F.col("mesh") / 5 - 1).cast("long").alias("asset_id"), "world")
+    axis = matrices.up_axis(F.when(F.col("asset_id") % 2 == 0, "Y").otherwise("Z"))
+    tile = F.array(*[F.lit(v) for v in _TILE])
+    world = stored(world.withColumn("_axis", axis).withColumn("_tile", matrices.multiply(tile, F.col("_axis"))).select("asset_id", matrices.multiply(F.col("_tile"), F.col("world")).alias("world")))
+    return local.join(world, "asset_id")
+
+
+@query(_tile_clip_sql())
+def tile_clip(spark, sf_dir):
+    """From node tree to fragments: placed, projected once a vertex, clipped in the scope's plane, written in local float32 with all that corners carry."""
+    vertices = meshes.projected(placed_vertices(spark, sf_dir), "world", f"{_CENTRE[0]!r}D", f"{_CENTRE[1]!r}D")
+    tri = meshes.triangles(vertices, derived(spark, sf_dir, "triangle_index"), ["asset_id", "prim"]).withColumn("scope_id", F.col("asset_id") % 25)
+    moved = derived(spark, sf_dir, "piece").withColumns({c: F.col(c) - 500 for c in spatial.BOX})
+    pairs = spatial.box_overlap_join(tri, spatial.grown(moved.withColumn("corners", geometry.rectangle())), "scope_id")
+    out = geometry.fragments(pairs, geometry.CARRYING).withColumn("written", meshes.local_corners(F.col("frag"), _NORMAL))
+    total = lambda k: F.round(F.aggregate("written", F.lit(0.0), lambda s, c: s + c[k].cast("double")), 2) + 0.0
+    return out.select("asset_id", "tri_id", "piece_id", "frag_id", F.round("area", 2).alias("area"), *[total(k).alias(f"s{k}") for k in range(len(_CARRIED))])
 
 
 # --- Textures -----------------------------------------------------------------------------------------------------
