@@ -106,3 +106,59 @@ def test_cycles_and_rejects(spark):
     uses = spark.createDataFrame([(1, 10497, 200.0), (2, 33071, 200.0), (3, 10497, 2.0)], "use_id long, wrap_s int, u1 double").selectExpr("*", "wrap_s AS wrap_t", "0D AS u0", "0D AS u2", "0D AS v0", "0D AS v1", "1D AS v2")
     assert [r.use_id for r in raster.uv_rejects(uses).collect()] == [1]
     assert {r.use_id for r in raster.uv_wrap_shifts(uses).collect()} == {2, 3}
+
+
+def test_a_chain_of_any_depth_takes_few_rounds(spark):
+    """100,000 nodes in a row, a tree beside them, a cycle with a tail and a parent that isn't there."""
+    from tilewright.functions.storage import stored
+    from tilewright.operators import graph
+
+    rounds = []
+
+    def counted(df):
+        rounds.append(1)
+        return stored(df)
+
+    chain = spark.range(100_000).select(F.col("id").alias("node_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
+    odd = spark.createDataFrame([(-1, None), (-2, -1), (-3, -1), (-4, -3), (-10, -11), (-11, -10), (-12, -11), (-20, -21)], "node_id long, parent_id long")
+    w = graph.composed_to_root(chain.unionByName(odd), F.lit(1), lambda a, b: a + b, counted)
+    assert len(rounds) <= 19
+    assert w.where("node_id >= 0").agg(F.count("*"), F.sum(F.abs(F.col("level") - F.col("node_id"))), F.sum(F.abs(F.col("world") - F.col("node_id") - 1))).first()[:] == (100_000, 0, 0)
+    assert sorted((r.node_id, r.level) for r in w.where("node_id < 0").collect()) == [(-4, 2), (-3, 1), (-2, 1), (-1, 0)]
+
+
+def test_payload_is_clipped_along(spark):
+    """A corner's payload is interpolated by the same share as its place; content with y up gives the same fragments as with z up."""
+    from tilewright.operators import meshes
+
+    tri = "array(named_struct('x', -1D, 'y', 0D, 'z', 0D, 'p', array(0D, -1D)), named_struct('x', 2D, 'y', 0D, 'z', 0D, 'p', array(3D, 2D)), named_struct('x', 0D, 'y', 2D, 'z', 0D, 'p', array(2D, 0D)))"
+    piece = "array(named_struct('x', 0D, 'y', -1D), named_struct('x', 1D, 'y', -1D), named_struct('x', 0D, 'y', 2D))"
+    df = spark.range(1).select(F.expr(tri).alias("poly"), F.expr(piece).alias("corners"))
+    corners = df.select(F.explode(geometry.clip("poly", "corners", geometry.CARRYING)).alias("v")).select("v.*").collect()
+    assert len(corners) >= 3 and all(v.p[1] == pytest.approx(v.x) for v in corners)
+    assert {(round(v.x, 6), round(v.y, 6)): round(v.p[0], 6) for v in corners}[(0.0, 0.0)] == 1.0
+
+    tile = meshes.east_north_up(120.0, 30.0)
+    box = spark.createDataFrame([(-4.82, -5.54, 4.82, 5.54)], "minx double, miny double, maxx double, maxy double").select(geometry.rectangle().alias("corners"))
+    out = []
+    for axis in "ZY":
+        rows = [(k, x, y, z) if axis == "Z" else (k, x, z, -y) for k, (x, y, z) in enumerate(((-10.0, -4.0, 0.0), (10.0, -4.0, 0.0), (0.0, 10.0, 0.0)))]
+        v = spark.createDataFrame([(1, *r, [0.5 * r[0], 1.0]) for r in rows], "asset long, vid int, x double, y double, z double, payload array<double>")
+        world = matrices.multiply(F.array(*[F.lit(e) for e in tile]), matrices.up_axis(F.lit(axis)))
+        v = meshes.projected(v.withColumn("world", world), "world", "120D", "30D")
+        t = meshes.triangles(v, spark.createDataFrame([(1, 0, 0, 1, 2), (1, 1, 0, 1, 9)], "asset long, tri_id int, i0 int, i1 int, i2 int"), ["asset"])
+        parts = geometry.fragments(t.crossJoin(box), geometry.CARRYING).withColumn("w", meshes.local_corners(F.col("frag"))).collect()
+        turned = [(c[0], c[1], c[2]) if axis == "Z" else (c[0], -c[2], c[1]) for r in parts for c in r.w]
+        assert {r.tri_id for r in parts} == {0} and sum(r.area for r in parts) == pytest.approx(88.2264, abs=1e-3)
+        assert all(abs(x) <= 5 and abs(y) <= 5.7 and abs(z) < 1e-3 for x, y, z in turned)
+        out.append(sorted((round(x, 3), round(y, 3)) for x, y, _ in turned))
+    assert out[0] == out[1]
+
+
+def test_a_normal_without_length_is_named(spark):
+    from tilewright.operators import meshes
+
+    corner = lambda n: f"named_struct('x', 0D, 'y', 0D, 'z', 0D, 'p', array(1D, 2D, 3D, {n}))"
+    df = spark.range(1).select(F.expr(f"array({corner('0D, 0D, 2D')}, {corner('3D, 0D, 4D')})").alias("good"), F.expr(f"array({corner('0D, 0D, 2D')}, {corner('0D, 0D, 0D')})").alias("bad"))
+    row = df.select(meshes.local_corners(F.col("good"), 3).alias("g"), meshes.local_corners(F.col("bad"), 3).alias("b")).first()
+    assert row.b is None and row.g[1][3:] == pytest.approx([0.6, 0.0, 0.8]) and row.g[0][:3] == [1, 2, 3]

@@ -26,6 +26,27 @@ def node_world(nodes: DataFrame, combine, root, most_levels: int = 200, stored=N
     raise ValueError(f"more than {most_levels} levels")
 
 
+def composed_to_root(nodes: DataFrame, value, combine, stored) -> DataFrame:
+    """node_id, level and ``world``: the values from the root down to each node combined, in log2 of the depth rounds.
+
+    ``value`` is each node's own (a column expression), ``combine(upper, lower)`` must be associative. A node starts with
+    its parent as goal; every round it takes on what its goal has gathered and that one's goal, so paths double. Nodes
+    that no root leads to (cycles, parents that aren't there) are left out; depth is not limited. ``stored`` (writes and
+    reads a DataFrame) keeps each round.
+    """
+    state = stored(nodes.select("node_id", F.col("parent_id").alias("goal"), value.alias("world"), F.lit(0).alias("level")))
+    left = None
+    while True:
+        open_, done = state.where("goal IS NOT NULL"), state.where("goal IS NULL")
+        before, left = left, open_.count()
+        # Every depth up to the greatest occurs, so a round that reaches no root leaves only what none leads to.
+        if not left or left == before:
+            return done.select("node_id", "level", "world")
+        up = state.select(F.col("node_id").alias("goal"), F.col("goal").alias("_goal"), F.col("world").alias("_world"), F.col("level").alias("_level"))
+        further = open_.join(up, "goal").select("node_id", F.col("_goal").alias("goal"), combine(F.col("_world"), F.col("world")).alias("world"), (F.col("level") + F.col("_level") + 1).alias("level"))
+        state = stored(done.unionByName(further))
+
+
 def node_prune(nodes: DataFrame, keep: DataFrame, most_levels: int = 200, stored=None) -> DataFrame:
     """Nodes with a kept descendant or kept themselves (``keep``: node_id). Levels beyond ``most_levels`` are an error."""
     level = keep.select("node_id").distinct()

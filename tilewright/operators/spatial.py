@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GROW = 0.01
@@ -54,9 +56,11 @@ def _levelled(df: DataFrame, cell: float) -> DataFrame:
     return df.where(fine & (F.col("minx") <= F.col("maxx")) & (F.col("miny") <= F.col("maxy"))).withColumn("level", F.greatest(F.lit(0), F.ceil(F.log(span / (SIDE * cell)) / F.log(F.lit(float(STEP))))).cast("int"))
 
 
-def _cells(df: DataFrame, cell: float, levels: list[int]) -> DataFrame:
-    """A row a cell on the box's own grid and on each coarser one that occurs."""
-    df = df.withColumn("grid", F.explode(F.filter(F.array(*[F.lit(k) for k in levels]), lambda k: k >= F.col("level"))))
+def _cells(df: DataFrame, cell: float, levels: Column) -> DataFrame:
+    """A row a cell on the box's own grid and on each coarser one whose bit is set in ``levels``."""
+    most = math.ceil(math.log(2 * FARTHEST / (SIDE * cell), STEP)) + 1
+    set_ = lambda k: (k >= F.col("level")) & (F.call_function("shiftright", F.col("_levels"), k) % 2 == 1)
+    df = df.withColumn("_levels", levels).withColumn("grid", F.explode(F.filter(F.array(*[F.lit(k) for k in range(most + 1)]), set_))).drop("_levels")
     size = F.lit(cell) * F.pow(F.lit(float(STEP)), F.col("grid"))
     df = df.withColumn("gx", F.explode(F.sequence(F.floor(F.col("minx") / size), F.floor(F.col("maxx") / size))))
     return df.withColumn("gy", F.explode(F.sequence(F.floor(F.col("miny") / size), F.floor(F.col("maxy") / size))))
@@ -71,8 +75,9 @@ def box_overlap_join(left: DataFrame, right: DataFrame, key: str, cell: float =
     and empty boxes and those beyond ``FARTHEST`` never match.
     """
     l, r = _levelled(left, cell), _levelled(right, cell)
-    # A few dozen levels at most span all finite boxes.
-    levels = sorted({x["level"] for x in l.select("level").unionByName(r.select("level")).distinct().collect()}) or [0]
+    # Which of the few dozen levels occur: one number, found within the query itself by a look at the boxes alone.
+    both = l.select("level").unionByName(r.select("level"))
+    levels = F.coalesce(both.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level")))).scalar(), F.lit(1).cast("long"))
     r = _cells(r, cell, levels).withColumnsRenamed({**{c: f"p_{c}" for c in BOX}, "level": "p_level"})
     joined = _cells(l, cell, levels).join(r, [key, "grid", "gx", "gy"])
     touch = (F.col("minx") <= F.col("p_maxx")) & (F.col("p_minx") <= F.col("maxx")) & (F.col("miny") <= F.col("p_maxy")) & (F.col("p_miny") <= F.col("maxy"))

@@ -221,12 +221,27 @@ _WALK = "WITH RECURSIVE w AS (SELECT node_id, CAST(step AS BIGINT) AS x, 0 AS le
 
 def _world(spark, sf_dir):
     step = matrices.translation(F.col("step").cast("double"), F.lit(0.0), F.lit(0.0))
-    return graph.node_world(derived(spark, sf_dir, "node"), lambda up: matrices.multiply(up, step), step, stored=stored)
+    return graph.composed_to_root(derived(spark, sf_dir, "node"), step, matrices.multiply, stored)
 
 
-@query(_WALK + "SELECT node_id, level, CAST(x AS DOUBLE) AS world_x FROM w")
+#: Column-major elements of a node's own matrix: every other node turns by a right angle, and all move in three directions.
+_OWN = ["CASE WHEN node_id % 2 = 0 THEN 0e0 ELSE 1e0 END", "CASE WHEN node_id % 2 = 0 THEN 1e0 ELSE 0e0 END", "0e0", "0e0", "CASE WHEN node_id % 2 = 0 THEN -1e0 ELSE 0e0 END", "CASE WHEN node_id % 2 = 0 THEN 0e0 ELSE 1e0 END", "0e0", "0e0",
+        "0e0", "0e0", "1e0", "0e0", "CAST(step AS DOUBLE)", "CAST(node_id % 3 AS DOUBLE)", "CAST(node_id % 5 AS DOUBLE) / 4", "1e0"]
+
+
+def _product(a: str, b: str, k: int) -> str:
+    c, r = divmod(k, 4)
+    return "(" + " + ".join(f"{a}[{r + 4 * j + 1}] * {b}[{4 * c + j + 1}]" for j in range(4)) + ")"
+
+
+@query(f"""WITH RECURSIVE own AS (SELECT node_id, parent_id, [{', '.join(_OWN)}] AS m FROM node), w AS (SELECT node_id, m, 0 AS level FROM own WHERE parent_id IS NULL
+    UNION ALL SELECT n.node_id, [{', '.join(_product('w.m', 'n.m', k) for k in range(16))}], w.level + 1 FROM own n JOIN w ON n.parent_id = w.node_id)
+SELECT node_id, level, {', '.join(f'm[{k + 1}] + 0.0 AS c{k}' for k in range(16))} FROM w""")
 def node_world(spark, sf_dir):
-    return _world(spark, sf_dir).select("node_id", "level", F.col("world")[12].alias("world_x"))
+    """All sixteen elements of every node's world matrix."""
+    own = F.array(*[F.expr(e) for e in _OWN])
+    w = graph.composed_to_root(derived(spark, sf_dir, "node"), own, matrices.multiply, stored)
+    return w.select("node_id", "level", *[(F.col("world")[k] + 0.0).alias(f"c{k}") for k in range(16)])
 
 
 @query(_WALK + "SELECT mesh FROM w WHERE mesh IS NOT NULL AND level BETWEEN 1 AND 4")
@@ -265,11 +280,6 @@ def _slices(spark, sf_dir):
 _E = "SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings"
 
 
-def _product(a: str, b: str, k: int) -> str:
-    c, r = divmod(k, 4)
-    return "(" + " + ".join(f"{a}[{r + 4 * j + 1}] * {b}[{4 * c + j + 1}]" for j in range(4)) + ")"
-
-
 @query(f"SELECT vec_id, {', '.join(f'round({_product('e[1:16]', 'e[17:32]', k)}, 6) AS c{k}' for k in range(16))} FROM ({_E}) t")
 def mat4_multiply(spark, sf_dir):
     m = _slices(spark, sf_dir).withColumn("p", matrices.multiply(F.col("m0"), F.col("m1")))
@@ -418,7 +428,8 @@ def tile_clip(spark, sf_dir):
     vertices = meshes.projected(placed_vertices(spark, sf_dir), "world", f"{_CENTRE[0]!r}D", f"{_CENTRE[1]!r}D")
     tri = meshes.triangles(vertices, derived(spark, sf_dir, "triangle_index"), ["asset_id", "prim"]).withColumn("scope_id", F.col("asset_id") % 25)
     moved = derived(spark, sf_dir, "piece").withColumns({c: F.col(c) - 500 for c in spatial.BOX})
-    pairs = spatial.box_overlap_join(tri, spatial.grown(moved.withColumn("corners", geometry.rectangle())), "scope_id")
+    # Stored, since the join looks at the boxes twice.
+    pairs = spatial.box_overlap_join(stored(tri), spatial.grown(moved.withColumn("corners", geometry.rectangle())), "scope_id")
     out = geometry.fragments(pairs, geometry.CARRYING).withColumn("written", meshes.local_corners(F.col("frag"), _NORMAL))
     total = lambda k: F.round(F.aggregate("written", F.lit(0.0), lambda s, c: s + c[k].cast("double")), 2) + 0.0
     return out.select("asset_id", "tri_id", "piece_id", "frag_id", F.round("area", 2).alias("area"), *[total(k).alias(f"s{k}") for k in range(len(_CARRIED))])
