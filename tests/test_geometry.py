@@ -162,3 +162,35 @@ def test_a_normal_without_length_is_named(spark):
     df = spark.range(1).select(F.expr(f"array({corner('0D, 0D, 2D')}, {corner('3D, 0D, 4D')})").alias("good"), F.expr(f"array({corner('0D, 0D, 2D')}, {corner('0D, 0D, 0D')})").alias("bad"))
     row = df.select(meshes.local_corners(F.col("good"), 3).alias("g"), meshes.local_corners(F.col("bad"), 3).alias("b")).first()
     assert row.b is None and row.g[1][3:] == pytest.approx([0.6, 0.0, 0.8]) and row.g[0][:3] == [1, 2, 3]
+
+
+def ring(spark, n):
+    """A closed ring of n points around (0, 0) whose distance from there wavers."""
+    a = 2 * F.lit(math.pi) * F.pmod(F.col("id"), F.lit(n)) / n
+    r = 1000 + 5 * F.sin(40 * a)
+    return spark.range(n + 1).select(F.lit(1).alias("scope_id"), F.lit(0).alias("polygon_id"), F.lit(0).alias("ring_id"), F.col("id").alias("seq"), (r * F.cos(a)).alias("x"), (r * F.sin(a)).alias("y"))
+
+
+def test_a_large_ring(spark):
+    """Trapezoids of a ring of 50,000 points have its area, and no two of its segments cross."""
+    import numpy as np
+
+    from tilewright.operators import polygons
+
+    n = 50_000
+    cut = polygons.scope_decompose(ring(spark, n))
+    rows, area = cut.agg(F.count("*"), F.sum((F.col("right_low") - F.col("left_low") + F.col("right_high") - F.col("left_high")) / 2 * (F.col("y1") - F.col("y0")))).first()
+    a = 2 * np.pi * np.arange(n) / n
+    x, y = (1000 + 5 * np.sin(40 * a)) * np.cos(a), (1000 + 5 * np.sin(40 * a)) * np.sin(a)
+    assert rows < 3 * n and area == pytest.approx(abs(np.sum(x * np.roll(y, -1) - y * np.roll(x, -1))) / 2, rel=1e-9)
+    assert polygons.ring_crossings(ring(spark, n)).count() == 0
+
+
+def test_a_bow_tie_crosses(spark):
+    from tilewright.operators import polygons
+
+    tie = [(0, 0), (4, 4), (4, 0), (0, 4), (0, 0)]
+    square, hole = [(0, 0), (9, 0), (9, 9), (0, 9), (0, 0)], [(0, 0), (3, 1), (1, 3), (0, 0)]  # touches in a corner
+    rows = [(s, 0, r, k, float(x), float(y)) for s, r, points in ((1, 0, tie), (2, 0, square), (2, 1, hole), (3, 0, square), (3, 1, [(8, 8), (12, 8), (8, 5), (8, 8)])) for k, (x, y) in enumerate(points)]
+    points = spark.createDataFrame(rows, "scope_id int, polygon_id int, ring_id int, seq int, x double, y double")
+    assert sorted((r.scope_id, r.ring_id, r.seq, r.ring_id2, r.seq2) for r in polygons.ring_crossings(points).collect()) == [(1, 0, 0, 0, 2), (3, 0, 1, 1, 0), (3, 0, 1, 1, 1)]

@@ -193,6 +193,17 @@ def scope_decompose(spark, sf_dir):
     return d.select("scope_id", "slab", "pair", "y0", "y1", *[F.round(c, 6).alias(c) for c in ("left_low", "right_low", "left_high", "right_high")])
 
 
+_TWISTED = "SELECT scope_id, polygon_id, ring_id, CASE WHEN scope_id % 6 = 2 AND ring_id = 0 AND seq IN (1, 2) THEN 3 - seq ELSE seq END AS seq, x, y FROM scope_point"
+
+
+@query(f"""WITH t AS ({_TWISTED}), s AS (SELECT * FROM (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM t WINDOW w AS (PARTITION BY scope_id, polygon_id, ring_id ORDER BY seq)) l WHERE nx IS NOT NULL)
+SELECT a.scope_id, a.polygon_id, a.ring_id, a.seq, b.ring_id AS ring_id2, b.seq AS seq2, 'RINGS_CROSS' AS code FROM s a JOIN s b ON a.scope_id = b.scope_id AND a.polygon_id = b.polygon_id AND (a.ring_id < b.ring_id OR (a.ring_id = b.ring_id AND a.seq < b.seq))
+WHERE sign((a.nx - a.x) * (b.y - a.y) - (a.ny - a.y) * (b.x - a.x)) * sign((a.nx - a.x) * (b.ny - a.y) - (a.ny - a.y) * (b.nx - a.x)) < 0 AND sign((b.nx - b.x) * (a.y - b.y) - (b.ny - b.y) * (a.x - b.x)) * sign((b.nx - b.x) * (a.ny - b.y) - (b.ny - b.y) * (a.nx - b.x)) < 0""")
+def ring_crossings(spark, sf_dir):
+    """Pairs of segments that cross, in scopes of which every sixth has a twisted outer ring."""
+    return polygons.ring_crossings(run_sql(spark, sf_dir, _TWISTED))
+
+
 _SCOPE_SIDES = [
     lambda v: f"(CASE WHEN rl = ll THEN 1.0::double ELSE {v}.y - y0 END)",
     lambda v: f"(((rh - rl) * ({v}.y - y0) - (y1 - y0) * ({v}.x - rl)) / sqrt(power(rh - rl, 2) + power(y1 - y0, 2)))",
