@@ -51,6 +51,11 @@ def pixel_inside_or_near(px, py, tri):
 
 def uv_rasterize(uses: DataFrame, width: int = 16, height: int = 16) -> DataFrame:
     """(image, use_id, x, y) of every pixel that a use can touch."""
+    return touched(uses, width, height).distinct()
+
+
+def touched(uses: DataFrame, width: int, height: int) -> DataFrame:
+    """Like ``uv_rasterize``, a pixel once for every shift under which a use touches it; nothing is shuffled."""
     s = uv_wrap_shifts(uses)
     tri = [((F.col(f"u{i}") - F.col("shift_u")) * width, (F.col(f"v{i}") - F.col("shift_v")) * height) for i in range(3)]
     for k, (name, size) in enumerate((("x", width), ("y", height))):
@@ -58,4 +63,59 @@ def uv_rasterize(uses: DataFrame, width: int = 16, height: int = 16) -> DataFram
         hi = F.least(F.lit(size - 1).cast("long"), F.ceil(F.greatest(*[t[k] for t in tri])) + 1)
         s = s.withColumn(f"_{name}0", lo).withColumn(f"_{name}1", hi)
     s = s.where("_x0 <= _x1 AND _y0 <= _y1").withColumn("y", F.explode(F.sequence("_y0", "_y1"))).withColumn("x", F.explode(F.sequence("_x0", "_x1")))
-    return s.where(pixel_inside_or_near(F.col("x") + 0.5, F.col("y") + 0.5, tri)).select("image", "use_id", "x", "y").distinct()
+    return s.where(pixel_inside_or_near(F.col("x") + 0.5, F.col("y") + 0.5, tri)).select("image", "use_id", "x", "y")
+
+
+# --- Masks as bitmaps ---------------------------------------------------------------------------------------------
+
+#: Pixels that one row of a mask holds.
+BUCKET = 32768
+
+
+def mask_bitmaps(uses: DataFrame, width: int = 16, height: int = 16) -> DataFrame:
+    """(image, bucket, bits): the pixels that any use of an image touches, numbered y * width + x, ``BUCKET`` a row.
+
+    Tasks set bits as they find pixels, so what is shuffled is a bitmap an image, bucket and task, whatever the number
+    of uses and of pixels. An image that no use touches has no row.
+    """
+    at = F.col("y") * width + F.col("x") + 1  # Spark's buckets start at 1
+    bits = touched(uses, width, height).groupBy("image", F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    return bits.withColumn("bucket", F.col("bucket") - 1)
+
+
+def mask_or(masks: DataFrame) -> DataFrame:
+    """One mask of several with the same images: their union."""
+    return masks.groupBy("image", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def mask_sizes(masks: DataFrame) -> DataFrame:
+    """(image, covered): the pixels of each mask."""
+    return masks.groupBy("image").agg(F.sum(F.bitmap_count("bits")).alias("covered"))
+
+
+def bit(bits, place):
+    """Whether a bit of a mask's row is set; false for null."""
+    byte = F.conv(F.hex(F.substring(bits, (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.call_function("shiftright", byte, (place % 8).cast("int")) % 2 == 1, F.lit(False))
+
+
+def under_mask(pixels: DataFrame, masks: DataFrame, width: int = 16, name: str = "keep") -> DataFrame:
+    """Adds to pixels (image, x, y, ...) whether the mask of their image covers them; an equi join by image and bucket."""
+    n = F.col("y") * width + F.col("x")
+    dealt = pixels.withColumns({"_n": n, "bucket": F.floor(n / BUCKET)})
+    out = dealt.join(masks, ["image", "bucket"], "left")
+    return out.withColumn(name, bit(F.col("bits"), F.col("_n") % BUCKET)).drop("_n", "bucket", "bits")
+
+
+def apply_mask(pixels: DataFrame, masks: DataFrame, channels: list[str], width: int = 16) -> DataFrame:
+    """The pixels with 0 in all channels where no use touches them."""
+    out = under_mask(pixels, masks, width)
+    return out.withColumns({c: F.when(F.col("keep"), F.col(c)).otherwise(0) for c in channels}).drop("keep")
+
+
+def mask_leaks(pixels: DataFrame, masks: DataFrame, channels: list[str], width: int = 16) -> DataFrame:
+    """Pixels that show something though the mask doesn't cover them: an output with any must not be written."""
+    shown = F.lit(False)
+    for c in channels:
+        shown = shown | (F.col(c) != 0)
+    return under_mask(pixels.where(shown), masks, width).where(~F.col("keep")).drop("keep")

@@ -474,11 +474,19 @@ def _cover(spark, sf_dir):
     return raster.uv_rasterize(derived(spark, sf_dir, "uv_use"))
 
 
-def _pixels(spark):
-    return spark.range(10 * 16 * 16).select(F.floor(F.col("id") / 256).alias("image"), (F.col("id") % 16).alias("x"), F.floor(F.col("id") % 256 / 16).alias("y"), (F.col("id") % 251 + 1).alias("r"))
+def _own_images(spark, sf_dir):
+    """Every supplier's use draws on an image of its own; a fourth of the images is used."""
+    return derived(spark, sf_dir, "uv_use").withColumn("image", F.col("use_id"))
 
 
-_PIXELS = "(SELECT CAST(floor(id / 256) AS BIGINT) AS image, id % 16 AS x, CAST(floor(id % 256 / 16) AS BIGINT) AS y, id % 251 + 1 AS r FROM range(2560) t(id))"
+def _pixels(spark, sf_dir):
+    """16 x 16 pixels an image, one image a supplier, none black."""
+    n = F.explode(F.sequence(F.lit(0), F.lit(255)))
+    p = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("image"), n.alias("n"))
+    return p.select("image", (F.col("n") % 16).cast("long").alias("x"), F.floor(F.col("n") / 16).alias("y"), ((F.col("image") * 256 + F.col("n")) % 251 + 1).alias("r"))
+
+
+_PIXELS = "(SELECT image, x, y, CAST((image * 256 + y * 16 + x) % 251 + 1 AS BIGINT) AS r FROM (SELECT s_suppkey AS image, CAST(unnest(range(256)) % 16 AS BIGINT) AS x, CAST(floor(unnest(range(256)) / 16) AS BIGINT) AS y FROM supplier) i)"
 
 
 @query("WITH " + _UV + " SELECT use_id, CAST(shift_u AS BIGINT) AS shift_u, CAST(shift_v AS BIGINT) AS shift_v FROM shifted")
@@ -504,24 +512,31 @@ def mask_union(spark, sf_dir):
 
 @query(_COVER + "SELECT image, count(DISTINCT y * 16 + x) AS covered, round(count(DISTINCT y * 16 + x) / 256.0::double, 6) AS ratio FROM cover GROUP BY image")
 def mask_coverage(spark, sf_dir):
-    c = _cover(spark, sf_dir).select("image", "x", "y").distinct().groupBy("image").agg(F.count("*").alias("covered"))
-    return c.withColumn("ratio", F.round(F.col("covered") / 256, 6))
+    """Two masks, of even and of odd uses, become one; bits are counted."""
+    uses = derived(spark, sf_dir, "uv_use")
+    both = raster.mask_bitmaps(uses.where("use_id % 2 = 0")).unionByName(raster.mask_bitmaps(uses.where("use_id % 2 = 1")))
+    return raster.mask_sizes(raster.mask_or(both)).withColumn("ratio", F.round(F.col("covered") / 256, 6))
+
+
+def _own_mask(spark, sf_dir):
+    return raster.mask_bitmaps(_own_images(spark, sf_dir).where("use_id % 4 = 1"))
 
 
-def _masked(spark, sf_dir):
-    mask = _cover(spark, sf_dir).where("use_id % 4 = 1").select("image", "x", "y").distinct().withColumn("keep", F.lit(True))
-    return _pixels(spark).join(mask, ["image", "x", "y"], "left").select("image", "x", "y", F.when(F.col("keep"), F.col("r")).otherwise(0).alias("r"))
+_OWN_COVER = "(SELECT DISTINCT use_id AS image, x, y FROM cover WHERE use_id % 4 = 1)"
 
 
-@query(_COVER + f"SELECT p.image, p.x, p.y, CASE WHEN c.image IS NULL THEN 0 ELSE p.r END AS r FROM {_PIXELS} p LEFT JOIN (SELECT DISTINCT image, x, y FROM cover WHERE use_id % 4 = 1) c ON p.image = c.image AND p.x = c.x AND p.y = c.y")
+@query(_COVER + f"SELECT p.image, p.x, p.y, CASE WHEN c.image IS NULL THEN 0 ELSE p.r END AS r FROM {_PIXELS} p LEFT JOIN {_OWN_COVER} c ON p.image = c.image AND p.x = c.x AND p.y = c.y")
 def mask_apply(spark, sf_dir):
-    return _masked(spark, sf_dir)
+    return raster.apply_mask(_pixels(spark, sf_dir), _own_mask(spark, sf_dir), ["r"])
 
 
-@query("SELECT CAST(0 AS BIGINT) AS leaks FROM (SELECT 1) t")
+@query(_COVER + f"SELECT p.image, p.x, p.y FROM {_PIXELS} p LEFT JOIN {_OWN_COVER} c ON p.image = c.image AND p.x = c.x AND p.y = c.y WHERE c.image IS NULL AND p.image % 7 = 3 AND (p.x + p.y) % 5 = 0")
 def mask_verify(spark, sf_dir):
-    mask = _cover(spark, sf_dir).where("use_id % 4 = 1").select("image", "x", "y")
-    return _masked(spark, sf_dir).where("r > 0").join(mask, ["image", "x", "y"], "left_anti").agg(F.count("*").alias("leaks"))
+    """Pixels that leak: in every seventh image, a fifth of the pixels was left as it came."""
+    given, mask = _pixels(spark, sf_dir), _own_mask(spark, sf_dir)
+    forgotten = (F.col("image") % 7 == 3) & ((F.col("x") + F.col("y")) % 5 == 0)
+    written = raster.apply_mask(given, mask, ["r"]).where(~forgotten).unionByName(given.where(forgotten))
+    return raster.mask_leaks(written, mask, ["r"]).select("image", "x", "y")
 
 
 @query("SELECT count(*) FILTER (WHERE wrap_r IS NOT NULL) AS affected, list_sort(list(DISTINCT wrap_r) FILTER (WHERE wrap_r IS NOT NULL)) AS wrap_values FROM sampler")
