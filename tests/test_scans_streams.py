@@ -50,3 +50,31 @@ def test_mesh_faults(spark):
     rows = [(0, '{"count":2,"offset":0}', v), (1, '{"count":3,"offset":0}', v), (2, "{", v), (3, None, None), (4, '{"count":1,"offset":0}', struct.pack("<3f", 1, float("nan"), 1))]
     out = tiles.mesh(spark.createDataFrame(rows, "id long, layout string, content binary"), "id").collect()
     assert sorted((r["id"], r["x"] or 0.0, r["fault"] or "") for r in out) == [(0, 1.0, ""), (0, 4.0, ""), (1, 0.0, "RANGE"), (2, 0.0, "LAYOUT"), (3, 0.0, "LAYOUT"), (4, 0.0, "NOT_FINITE")]
+
+
+def test_accessors_of_every_kind_and_their_faults(spark):
+    import json
+
+    from tilewright.sources import accessors
+
+    def one(n=3, stride=None, length=None, kind=5126, at=0, **more):
+        return {"count": n, "componentType": kind, "length": 36 if length is None else length, "at": at, "stride": stride, **more}
+
+    raw = struct.pack("<9f", *range(9)) + bytes([2, 1, 0, 0])
+    short = {"count": 3, "componentType": 5121, "offset": 36, "length": 3}
+    cases = {
+        0: ({"attributes": {"POSITION": one()}, "indices": short}, None), 1: ({"attributes": {"POSITION": one()}}, None), 2: ({"attributes": {"POSITION": one(stride=8)}}, "STRIDE"), 3: ({"attributes": {"POSITION": one(stride=14)}}, "STRIDE"),
+        4: ({"attributes": {"POSITION": one(n=2, stride=256)}}, "STRIDE"), 5: ({"attributes": {"POSITION": one(n=0)}}, "COUNT"), 6: ({"attributes": {"POSITION": one(n=4)}}, "RANGE"), 7: ({"attributes": {"POSITION": one(length=400, n=4)}}, "RANGE"),
+        8: ({"attributes": {"POSITION": one(kind=5123)}}, "TYPE"), 9: ({"attributes": {"NORMAL": one()}}, "NO_POSITION"), 10: ({"attributes": {"POSITION": one(sparse={"a": 1})}}, "UNSUPPORTED"), 11: ({"attributes": {"POSITION": one(), "TANGENT": one()}}, "UNSUPPORTED"),
+        12: ({"attributes": {"POSITION": one(), "NORMAL": one(n=2)}}, "COUNTS_DIFFER"), 13: ({}, "LAYOUT"), 14: ({"attributes": {"POSITION": {"count": "x"}}}, "TYPE"), 15: ({"attributes": {"POSITION": one(normalized=True)}}, "UNSUPPORTED"),
+    }
+    rows = [(k, json.dumps(layout), raw) for k, (layout, _) in cases.items()] + [(20, "{", raw), (21, None, raw), (22, json.dumps(cases[0][0]), None), (23, json.dumps(cases[0][0]), struct.pack("<9f", *[float("inf")] * 9) + b"\0\0\0\0")]
+    faults = {k: f for k, (_, f) in cases.items()} | {20: "LAYOUT", 21: "LAYOUT", 22: "LAYOUT", 23: "NOT_FINITE"}
+    df = spark.createDataFrame(rows, "id long, layout string, content binary")
+    got = accessors.vertices(df, "id").collect()
+    assert {r.id: r.fault for r in got} == faults
+    assert sorted((r.id, r.vid, tuple(r.position)) for r in got if not r.fault) == [(k, v, (3.0 * v, 3.0 * v + 1, 3.0 * v + 2)) for k in (0, 1) for v in range(3)]
+    tri = accessors.index(df, "id").collect()
+    assert {r.id: r.fault for r in tri} == faults and sorted((r.id, r.i0, r.i1, r.i2) for r in tri if not r.fault) == [(0, 2, 1, 0), (1, 0, 1, 2)]
+    large = spark.createDataFrame([(1, json.dumps({"attributes": {"POSITION": one(n=200_001, length=12 * 200_001)}}), bytes(12 * 200_001))], "id long, layout string, content binary")
+    assert accessors.vertices(large, "id").agg(F.count("*"), F.max("vid")).first()[:] == (200_001, 200_000) and accessors.index(large, "id").count() == 66_667
