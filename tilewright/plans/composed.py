@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions.storage import stored
-from tilewright.operators import geometry, graph, matrices, meshes, polygons, projection, raster, spatial
+from tilewright.operators import diagnostics, geometry, graph, matrices, meshes, polygons, projection, quantiles, raster, resources, spatial
 from tilewright.sources.derived import derived, run_sql
 
 QUERIES: dict = {}
@@ -547,10 +547,23 @@ def sampler_diagnostics(spark, sf_dir):
 # --- Events and JSON ----------------------------------------------------------------------------------------------
 
 
+_SHARES = {"p95": 0.95, "p99": 0.99}
+
+
 @query("SELECT event, quantile_cont(duration_ms, 0.95) AS p95, quantile_cont(duration_ms, 0.99) AS p99 FROM task_event GROUP BY event")
 def stage_latency(spark, sf_dir):
-    p = F.percentile("duration_ms", F.array(F.lit(0.95), F.lit(0.99)))
-    return derived(spark, sf_dir, "task_event").groupBy("event").agg(p.alias("p")).select("event", F.col("p")[0].alias("p95"), F.col("p")[1].alias("p99"))
+    return quantiles.exact_quantiles(derived(spark, sf_dir, "task_event"), "event", "duration_ms", _SHARES, stored)
+
+
+@query("""SELECT event, count(*) AS events, true AS p95_near, true AS p99_near FROM task_event GROUP BY event""")
+def stage_latency_sketch(spark, sf_dir):
+    """Whether the ranks of the sketch's quantiles are as near to the true ones as stated: within a thousandth of the events."""
+    e = derived(spark, sf_dir, "task_event")
+    q = quantiles.sketched_quantiles(e, "event", "duration_ms", _SHARES, 1000)
+    # One row a kind of event, counted against every event once.
+    d, n = F.col("duration_ms"), F.count("*")
+    tests = [((F.count_if(d < F.col(name)) <= (share + 0.001) * n + 1) & (F.count_if(d <= F.col(name)) >= (share - 0.001) * n - 1)).alias(f"{name}_near") for name, share in _SHARES.items()]
+    return e.join(q, "event").groupBy("event").agg(n.alias("events"), *tests)
 
 
 RESERVED = ("timestamp", "level", "event", "message", "workerId", "assetId")
@@ -646,3 +659,37 @@ def diagnostics_branch(spark, sf_dir):
     s = derived(spark, sf_dir, "sampler")
     bad = s.where("wrap_r = -1").groupBy(F.col("wrap_t").alias("t")).agg(F.count("*").alias("rejected"))
     return s.groupBy("wrap_t").agg(F.count("*").alias("seen")).join(bad, F.col("wrap_t").eqNullSafe(F.col("t")), "left").select("wrap_t", "seen", F.coalesce("rejected", F.lit(0)).alias("rejected"))
+
+
+_REACH = "material % 20 <> 13 AND material % 20 % 10 <> 7"
+
+
+@query(_COVER + f"""SELECT p.asset_id, CAST(coalesce(sum(i.before), 0) AS BIGINT) AS texture_bytes_before, CAST(coalesce(sum(CASE WHEN r.survives = 1 THEN i.after END), 0) AS BIGINT) AS texture_bytes_after FROM (SELECT DISTINCT asset_id FROM material) p
+    LEFT JOIN (SELECT asset_id, material % 20 % 10 AS image, max(survives) AS survives FROM material WHERE {_REACH} GROUP BY asset_id, material % 20 % 10) r ON r.asset_id = p.asset_id
+    LEFT JOIN (SELECT a.image, a.before, coalesce(4 * c.n, 0) AS after FROM (SELECT image, 1024 + count(*) AS before FROM uv_use GROUP BY image) a LEFT JOIN (SELECT image, count(DISTINCT y * 16 + x) AS n FROM cover GROUP BY image) c ON a.image = c.image) i ON i.image = r.image GROUP BY p.asset_id""")
+def texture_statistics(spark, sf_dir):
+    """Texture bytes before and after: images reached by any and by surviving primitives, the latter with what their masks leave."""
+    uses, m = derived(spark, sf_dir, "uv_use"), derived(spark, sf_dir, "material")
+    before = uses.groupBy("image").agg((1024 + F.count("*")).alias("bytes_before"))
+    after = raster.mask_sizes(raster.mask_bitmaps(uses)).select("image", (4 * F.col("covered")).alias("bytes_after"))
+    images = before.join(after, "image", "left").withColumn("bytes_after", F.coalesce("bytes_after", F.lit(0)))
+    chain = m.where(_REACH).select("material", (F.col("material") % 20 % 10).alias("image"))
+    return resources.texture_bytes(m.select("asset_id", "material", "survives"), chain, images)
+
+
+_TILE_OF = "CAST(floor(sampler / 3) AS BIGINT)"
+_KEPT = f"kept AS (SELECT s.* FROM (SELECT *, {_TILE_OF} AS tile FROM sampler) s WHERE tile NOT IN (SELECT {_TILE_OF} FROM sampler WHERE coalesce(wrap_r, 10497) NOT IN (33071, 33648, 10497) OR coalesce(wrap_s, 10497) = 33648))"
+
+
+@query(f"""WITH {_KEPT} SELECT 'scan' AS observer, metric, CAST(value AS BIGINT) AS value FROM (SELECT 'seen' AS metric, count(*) AS value FROM sampler UNION ALL SELECT 'third_axis', count(wrap_r) FROM sampler UNION ALL SELECT 'unknown_mode', count(*) FILTER (WHERE wrap_r NOT IN (33071, 33648, 10497)) FROM sampler) a
+    UNION ALL SELECT 'processed', metric, CAST(value AS BIGINT) FROM (SELECT 'samplers' AS metric, count(*) AS value FROM kept UNION ALL SELECT 'repeat_s', count(*) FILTER (WHERE coalesce(wrap_s, 10497) = 10497) FROM kept) b""")
+def diagnostics_observed(spark, sf_dir):
+    """What observers saw of samplers on the scan, and of those in tiles that no rule rejected, from the job that stores the latter."""
+    seen = diagnostics.Diagnostics()
+    s = derived(spark, sf_dir, "sampler").withColumn("tile", F.floor(F.col("sampler") / 3))
+    s = seen.watch(s, "scan", **diagnostics.sampler_metrics())
+    broken = ~F.coalesce("wrap_r", F.lit(10497)).isin(33071, 33648, 10497) | (F.coalesce("wrap_s", F.lit(10497)) == 33648)
+    tiles_ = s.groupBy("tile").agg(F.max(broken).alias("broken"), F.collect_list(F.struct("sampler", "wrap_s")).alias("samplers"))  # three a tile
+    kept = tiles_.where(~F.col("broken")).select(F.explode("samplers").alias("s")).select("s.*")
+    stored(seen.watch(kept, "processed", samplers=F.count(F.lit(1)), repeat_s=F.count_if(F.coalesce("wrap_s", F.lit(10497)) == 10497)))
+    return seen.as_rows(spark)
