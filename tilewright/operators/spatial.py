@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +46,12 @@ FARTHEST = 1e18
 
 
 def _levelled(df: DataFrame, cell: float) -> DataFrame:
-    """Finite boxes with the level of the finest grid on which they cover few cells."""
+    """Finite boxes with the level of the finest grid on which they cover few cells.
+
+    The box is generated, so that what computes it is not copied into every condition on it, which made methods that
+    are too long for the JVM's compiler.
+    """
+    df = df.withColumn("_box", F.explode(F.array(F.struct(*[F.col(c).cast("double").alias(c) for c in BOX])))).withColumns({c: F.col(f"_box.{c}") for c in BOX}).drop("_box")
     fine = F.lit(True)
     for c in BOX:
         fine = fine & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) <= FARTHEST)
@@ -58,9 +61,8 @@ def _levelled(df: DataFrame, cell: float) -> DataFrame:
 
 def _cells(df: DataFrame, cell: float, levels: Column) -> DataFrame:
     """A row a cell on the box's own grid and on each coarser one whose bit is set in ``levels``."""
-    most = math.ceil(math.log(2 * FARTHEST / (SIDE * cell), STEP)) + 1
-    set_ = lambda k: (k >= F.col("level")) & (F.call_function("shiftright", F.col("_levels"), k) % 2 == 1)
-    df = df.withColumn("_levels", levels).withColumn("grid", F.explode(F.filter(F.array(*[F.lit(k) for k in range(most + 1)]), set_))).drop("_levels")
+    df = df.withColumn("_levels", levels).withColumn("grid", F.explode(F.sequence("level", F.floor(F.log2("_levels")).cast("int"))))
+    df = df.where(F.call_function("shiftright", F.col("_levels"), F.col("grid")) % 2 == 1).drop("_levels")
     size = F.lit(cell) * F.pow(F.lit(float(STEP)), F.col("grid"))
     df = df.withColumn("gx", F.explode(F.sequence(F.floor(F.col("minx") / size), F.floor(F.col("maxx") / size))))
     return df.withColumn("gy", F.explode(F.sequence(F.floor(F.col("miny") / size), F.floor(F.col("maxy") / size))))
