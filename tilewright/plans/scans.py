@@ -99,7 +99,7 @@ def _primitives(spark, sf_dir) -> DataFrame:
 def mesh_vertices(spark, sf_dir):
     """All 64 values of a vector, as attributes of its vertices."""
     v = accessors.vertices(_primitives(spark, sf_dir), "vec_id")
-    each = [F.round(F.col(c)[i].cast("double"), 5).alias(f"{c[0]}{i}") for c, w in (("position", 3), ("normal", 3), ("uv", 2)) for i in range(w)]
+    each = [(F.round(F.col(c)[i].cast("double"), 5) + 0.0).alias(f"{c[0]}{i}") for c, w in (("position", 3), ("normal", 3), ("uv", 2)) for i in range(w)]
     return v.select("vec_id", "vid", *each, "fault")
 
 
@@ -143,7 +143,7 @@ ORACLE_SQL = {
         UNION ALL SELECT o_orderkey, 1, 'BIN', CAST(inner_offset + 20 + js + 8 AS BIGINT), CAST(body AS BIGINT) FROM sized WHERE NOT short""",
     "mesh_scan": """SELECT vec_id, CAST(i AS BIGINT) AS vid, round(CAST(embedding[3 * i + 1] AS DOUBLE), 5) AS x, round(CAST(embedding[3 * i + 2] AS DOUBLE), 5) AS y, round(CAST(embedding[3 * i + 3] AS DOUBLE), 5) AS z, CAST(NULL AS VARCHAR) AS fault
         FROM (SELECT vec_id, embedding, unnest(range(20)) AS i FROM embeddings WHERE vec_id % 7 <> 0) e UNION ALL SELECT vec_id, NULL, NULL, NULL, NULL, 'RANGE' FROM embeddings WHERE vec_id % 7 = 0""",
-    "mesh_vertices": f"""SELECT vec_id, CAST(i AS BIGINT) AS vid, {', '.join(f'round(CAST(embedding[8 * i + {k + 1}] AS DOUBLE), 5) AS {c}' for k, c in enumerate(('p0', 'p1', 'p2', 'n0', 'n1', 'n2', 'u0', 'u1')))}, CAST(NULL AS VARCHAR) AS fault
+    "mesh_vertices": f"""SELECT vec_id, CAST(i AS BIGINT) AS vid, {', '.join(f'round(CAST(embedding[8 * i + {k + 1}] AS DOUBLE), 5) + 0.0 AS {c}' for k, c in enumerate(('p0', 'p1', 'p2', 'n0', 'n1', 'n2', 'u0', 'u1')))}, CAST(NULL AS VARCHAR) AS fault
         FROM (SELECT *, unnest(range(CASE WHEN vec_id % 4 = 3 THEN 6 ELSE 8 END)) AS i FROM embeddings WHERE vec_id % 19 <> 4) e UNION ALL SELECT vec_id, {', '.join(['NULL'] * 9)}, 'COUNTS_DIFFER' FROM embeddings WHERE vec_id % 19 = 4""",
     "mesh_indices": """WITH f AS (SELECT vec_id, CASE WHEN vec_id % 19 = 4 THEN 'COUNTS_DIFFER' WHEN vec_id % 4 < 3 AND vec_id % 17 = 2 THEN 'INDEX_COUNT' WHEN vec_id % 4 < 3 AND vec_id % 13 = 5 THEN 'INDEX_RANGE' END AS fault FROM embeddings)
         SELECT vec_id, CAST(t AS BIGINT) AS tri_id, CASE WHEN vec_id % 4 = 3 THEN 3 * t ELSE 7 - 3 * t END AS i0, CASE WHEN vec_id % 4 = 3 THEN 3 * t + 1 ELSE 6 - 3 * t END AS i1, CASE WHEN vec_id % 4 = 3 THEN 3 * t + 2 ELSE 5 - 3 * t END AS i2, fault FROM (SELECT *, unnest(range(2)) AS t FROM f WHERE fault IS NULL) g
