@@ -550,9 +550,10 @@ def sampler_diagnostics(spark, sf_dir):
 _SHARES = {"p95": 0.95, "p99": 0.99}
 
 
-@query("SELECT event, quantile_cont(duration_ms, 0.95) AS p95, quantile_cont(duration_ms, 0.99) AS p99 FROM task_event GROUP BY event")
+@query("SELECT event, round(quantile_cont(duration_ms, 0.95), 6) AS p95, round(quantile_cont(duration_ms, 0.99), 6) AS p99 FROM task_event GROUP BY event")
 def stage_latency(spark, sf_dir):
-    return quantiles.exact_quantiles(derived(spark, sf_dir, "task_event"), "event", "duration_ms", _SHARES, stored)
+    q = quantiles.exact_quantiles(derived(spark, sf_dir, "task_event"), "event", "duration_ms", _SHARES, stored)
+    return q.select("event", *[F.round(n, 6).alias(n) for n in _SHARES])
 
 
 @query("""SELECT event, count(*) AS events, true AS p95_near, true AS p99_near FROM task_event GROUP BY event""")
