@@ -385,7 +385,7 @@ def decode_pieces(chunks: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(path)
         for pdf in batches:
-            text = [v.decode(list(ids)).decode("utf-8", "replace")[c == 0 :] for ids, c in zip(pdf["ids"], pdf["chunk"])]
+            text = [v.decode(list(ids)).decode("utf-8", "replace")[int(c == 0) :] for ids, c in zip(pdf["ids"], pdf["chunk"])]
             yield pdf[["row", "doc_id", "chunk", "chunks"]].assign(text=text)
 
     return map_exact(chunks.select("row", "doc_id", "chunk", "chunks", "ids"), run, f"{_KEYS}, text string")
