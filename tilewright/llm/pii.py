@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .places import gap, matches, replaced
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Least number of texts with entity and term, and thresholds.
@@ -27,15 +28,6 @@ _PHONE = r"\\+[0-9][\\x20().0-9-]+[0-9]"
 _TERM = r"\\p{L}[\\p{L}\\p{N}_]*+"
 
 
-def _matches(text: str, pattern: str) -> str:
-    """SQL for the leftmost non-overlapping matches with their places, from the matches and the gaps between them."""
-    return f"""element_at(transform(array(regexp_extract_all({text}, '{pattern}', 0)), found -> aggregate(
-        zip_with(found, slice(split({text}, '{pattern}', -1), 1, size(found)), (m, g) -> named_struct('m', m, 'g', length(g))),
-        named_struct('p', 0, 'o', cast(array() AS {_SPAN})),
-        (a, x) -> named_struct('p', a.p + x.g + length(x.m), 'o', concat(a.o, cast(array(named_struct('s', a.p + x.g, 'e', a.p + x.g + length(x.m), 'v', x.m)) AS {_SPAN}))),
-        a -> a.o)), 1)"""
-
-
 def _digits(v: str) -> str:
     return f"regexp_replace({v}, '[^0-9]', '')"
 
@@ -58,10 +50,9 @@ def base_spans() -> Column:
     parts = []
     for k, kind in enumerate(KINDS[:4]):
         source, pattern = _SOURCE[kind]
-        found = f"CASE WHEN {_MAYBE[kind]} THEN filter({_matches(source, pattern)}, x -> {_VALID[kind]}) ELSE cast(array() AS {_SPAN}) END"
-        parts.append(f"transform({found}, x -> named_struct('k', {k}, 's', x.s, 'e', x.e, 'v', x.v))")
-    sql = f"array_sort(concat({', '.join(parts)}), (l, r) -> CASE WHEN l.s <> r.s THEN l.s - r.s ELSE l.k - r.k END)"
-    return F.expr(sql)
+        found = f"CASE WHEN {_MAYBE[kind]} THEN filter({matches(source, pattern)}, x -> {_VALID[kind]}) ELSE cast(array() AS {_SPAN}) END"
+        parts.append(f"transform({found}, x -> named_struct('s', x.s, 'k', {k}, 'e', x.e, 'v', x.v))")
+    return F.expr(f"transform(array_sort(concat({', '.join(parts)})), x -> named_struct('k', x.k, 's', x.s, 'e', x.e, 'v', x.v))")
 
 
 def _with_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -70,9 +61,7 @@ def _with_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 #: SQL: the text with blanks for what base spans cover, places unchanged; the entity of a base span b; distinct words of free text as hashes.
-_FREE = """aggregate(base, named_struct('p', 0, 'o', ''), (a, x) -> CASE WHEN x.e <= a.p THEN a
-    ELSE named_struct('p', x.e, 'o', concat(a.o, substring(t, a.p + 1, greatest(0, x.s - a.p)), repeat(' ', x.e - greatest(a.p, x.s)))) END,
-    a -> concat(a.o, substring(t, a.p + 1, length(t))))"""
+_FREE = replaced("t", "base", f"concat({gap()}, repeat(' ', x.e - greatest(p, x.s)))")
 _ENTITY = f"xxhash64(b.k, CASE WHEN b.k = 0 THEN lower(b.v) WHEN b.k = 1 THEN b.v ELSE {_digits('b.v')} END)"
 _FOUND = f"regexp_extract_all(CASE WHEN size(base) > 0 THEN {_FREE} ELSE t END, '{_TERM}', 0)"
 _WORDS = f"array_distinct(transform({_FOUND}, w -> xxhash64(lower(w))))"
@@ -80,11 +69,8 @@ _WORDS = f"array_distinct(transform({_FOUND}, w -> xxhash64(lower(w))))"
 
 def _places(terms: str) -> str:
     """SQL for array<struct<s, e, th>>: the words of column free whose hashes are keys of the map ``terms``."""
-    return f"""aggregate(arrays_zip(regexp_extract_all(free, '{_TERM}', 0), slice(split(free, '{_TERM}', -1), 1, size(regexp_extract_all(free, '{_TERM}', 0)))),
-        named_struct('p', 0, 'o', cast(array() AS array<struct<s:int,e:int,th:bigint>>)),
-        (a, x) -> named_struct('p', a.p + length(x.`1`) + length(x.`0`), 'o', CASE WHEN map_contains_key({terms}, xxhash64(lower(x.`0`)))
-            THEN concat(a.o, cast(array(named_struct('s', a.p + length(x.`1`), 'e', a.p + length(x.`1`) + length(x.`0`), 'th', xxhash64(lower(x.`0`)))) AS array<struct<s:int,e:int,th:bigint>>)) ELSE a.o END),
-        a -> a.o)"""
+    words = f"transform({matches('free', _TERM)}, x -> named_struct('s', x.s, 'e', x.e, 'th', xxhash64(lower(x.v))))"
+    return f"filter({words}, x -> map_contains_key({terms}, x.th))"
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -125,11 +111,11 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Only texts with such terms move; their places depend on the text alone.
     texts = found.join(F.broadcast(hit.select("h")), "h", "left_semi") if hit.count() <= BROADCAST_ROWS else found
     placed = texts.select("h", F.expr(_FREE).alias("free")).join(hit, "h").select("h", "told", F.expr(_places("told")).alias("at"))
-    action = F.transform("at", lambda x: F.struct(F.lit(4).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.when(F.col("told")[x["th"]] >= remove, "remove").otherwise("generalise").alias("action")))
+    action = F.transform("at", lambda x: F.struct(x["s"].alias("s"), F.lit(4).alias("k"), x["e"].alias("e"), F.when(F.col("told")[x["th"]] >= remove, "remove").otherwise("generalise").alias("action")))
     added = placed.select(F.col("h").alias("_h"), action.alias("added")).dropDuplicates(["_h"])
     out = found.join(added, F.col("h") == F.col("_h"), "left")
-    every = F.concat(F.transform("base", lambda b: F.struct(b["k"].alias("k"), b["s"].alias("s"), b["e"].alias("e"), F.lit("mask").alias("action"))), F.coalesce("added", F.expr("cast(array() AS array<struct<k:int,s:int,e:int,action:string>>)")))
-    return out.select("doc_id", "h", F.array_sort(every, lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).when(a["k"] != b["k"], a["k"] - b["k"]).otherwise(a["e"] - b["e"])).alias("spans"))
+    every = F.concat(F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e"), F.lit("mask").alias("action"))), F.coalesce("added", F.expr("cast(array() AS array<struct<s:int,k:int,e:int,action:string>>)")))
+    return out.select("doc_id", "h", F.transform(F.array_sort(every), lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["action"].alias("action"))).alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -156,8 +142,6 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     out = named.join(found, (F.col("key") == F.col("h")) & F.col(f"row.`{id_col}`").eqNullSafe(F.col("doc_id")), "left")
     masks = ", ".join(f"'<{k.upper()}>'" for k in KINDS)
     given = f"row.`{text_col}`"
-    text = f"""CASE WHEN spans IS NULL THEN {given} ELSE aggregate(spans, named_struct('p', 0, 'o', ''),
-        (a, x) -> CASE WHEN x.s < a.p THEN named_struct('p', greatest(a.p, x.e), 'o', a.o)
-            ELSE named_struct('p', x.e, 'o', concat(a.o, substring({given}, a.p + 1, x.s - a.p), CASE WHEN x.action = 'remove' THEN '' ELSE element_at(array({masks}), x.k + 1) END)) END,
-        a -> concat(a.o, substring({given}, a.p + 1, length({given})))) END"""
+    fill = f"CASE WHEN x.s < p THEN '' ELSE concat({gap()}, CASE WHEN x.action = 'remove' THEN '' ELSE element_at(array({masks}), x.k + 1) END) END"
+    text = f"CASE WHEN spans IS NULL THEN {given} ELSE {replaced(given, 'spans', fill)} END"
     return out.select(*[(F.expr(text) if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

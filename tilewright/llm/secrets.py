@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, release
-from .pii import _matches
+from .places import blocks, cut, let, matches
 
 #: Documented bound of the training sample (findings in expectation), and the forest's size.
 SAMPLE, TREES, DEPTH = 20000, 20, 6
@@ -43,15 +43,16 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t")).where(F.col("t").rlike(f"{TOKEN}|{NAME}"))
     name = NAME.replace("\\", "\\\\").replace("'", "\\'")
     # The name is consumed, the value only looked at: it begins where the name's match ends.
-    assigned = f"zip_with({_matches('t', name)}, regexp_extract_all(t, '{name}', 1), (m, v) -> named_struct('s', m.e, 'v', v, 'b', m.v))"
-    tokens = f"transform({_matches('t', TOKEN)}, x -> named_struct('s', x.s, 'v', x.v, 'b', cast(NULL AS string)))"
-    found = f"element_at(transform(array({assigned}), a -> concat(a, filter({tokens}, x -> NOT exists(a, y -> y.s = x.s AND y.v = x.v)))), 1)"
-    rows = rows.select("doc_id", "t", F.explode(F.expr(f"CASE WHEN t rlike '{name}' THEN {found} ELSE {tokens} END")).alias("x"))
-    rows = rows.withColumn("e", F.col("x.s") + F.length("x.v"))
-    near = F.expr(f"substring(t, greatest(1, x.s - {CONTEXT} + 1), least({CONTEXT}, x.s))")
-    before = F.coalesce("x.b", F.regexp_extract(near, BEFORE, 0))
-    after = F.regexp_extract(F.expr(f"substring(t, e + 1, {CONTEXT})"), AFTER, 0)
-    return rows.select("doc_id", F.col("x.s").alias("start"), F.col("e").alias("end"), F.col("x.v").alias("token"), before.alias("before"), after.alias("after"))
+    assigned = f"zip_with({matches('t', name)}, regexp_extract_all(t, '{name}', 1), (m, v) -> named_struct('s', m.e, 'n', length(v), 'k', 0, 'v', v, 'b', m.v))"
+    tokens = f"transform({matches('t', TOKEN)}, x -> named_struct('s', x.s, 'n', length(x.v), 'k', 1, 'v', x.v, 'b', cast(NULL AS string)))"
+    # A token that is an assigned value comes right after it in order of place and length.
+    both = let("found", f"array_sort(concat({assigned}, {tokens}))", "filter(found, (x, i) -> x.k = 0 OR coalesce(get(found, i - 1).s <> x.s OR get(found, i - 1).n <> x.n, true))")
+    found = f"CASE WHEN t rlike '{name}' THEN {both} ELSE {tokens} END"
+    from_, e = f"greatest(0, x.s - {CONTEXT})", "(x.s + x.n)"
+    around = f"named_struct('x', x, 'near', {cut('bs', from_, f'least({CONTEXT}, x.s)')}, 'next', {cut('bs', e, str(CONTEXT))})"
+    rows = rows.select("doc_id", F.explode(F.expr(let("bs", blocks("t"), f"transform({found}, x -> {around})"))).alias("c"))
+    before = F.coalesce("c.x.b", F.regexp_extract("c.near", BEFORE, 0))
+    return rows.select("doc_id", F.col("c.x.s").alias("start"), F.expr("c.x.s + c.x.n").alias("end"), F.col("c.x.v").alias("token"), before.alias("before"), F.regexp_extract("c.next", AFTER, 0).alias("after"))
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", least: int = LEAST_ROWS) -> DataFrame:
