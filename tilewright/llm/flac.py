@@ -2,8 +2,9 @@
 
 Frames of many rows are coded and decoded in lock step with array operations: Rice codes are written as bit
 positions, and read by a table of the next one-bit, one sample of every frame at a time. Fixed predictors of
-order 0 to 2 are written; fixed (0 to 4), linear, constant and verbatim subframes are read. Every frame's two
-checksums are verified.
+order 0 to 2 are written, and linear ones where they are asked for and leave less; fixed (0 to 4), linear, constant
+and verbatim subframes are read, with any number of Rice partitions. Every frame's two checksums and the digest of all
+samples are verified.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import map_exact
 
 BLOCK, RATE, UNIT = 4096, 8000, 64
+#: Bits of a written linear predictor's coefficients.
+PRECISION = 12
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))  # fixed values: the format's polynomial predictors
 
 
@@ -77,8 +80,35 @@ def _frame_head(number: int, samples: int) -> bytes:
     return head + bytes([crc8(head)])
 
 
-def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
-    """One FLAC stream (mono, 8 bits, with a seek table) for each non-empty payload of unsigned samples."""
+def _linear(flat: np.ndarray, place: np.ndarray, start: np.ndarray, size: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients and shift of each frame's linear predictor and what it leaves of every sample from place ``order`` on.
+
+    Autocorrelations are exact integers, so a frame's predictor doesn't depend on its neighbours.
+    """
+    x = flat.astype(np.int64)
+    behind = np.zeros((order + 1, x.size), dtype=np.int64)
+    for lag in range(order + 1):
+        behind[lag, lag:] = x[: x.size - lag]
+        behind[lag, place < lag] = 0
+    r = np.stack([np.add.reduceat(x * b, start) for b in behind]).astype(float)
+    taps, error = np.zeros((order, start.size)), np.maximum(r[0], 1.0)
+    for i in range(order):
+        reflected = (r[i + 1] - sum(taps[j] * r[i - j] for j in range(i))) / error
+        taps[:i] -= reflected * taps[:i][::-1].copy()
+        taps[i] = reflected
+        error = np.maximum(error * (1 - reflected * reflected), 1.0)
+    shift = np.clip(PRECISION - 1 - np.frexp(np.abs(taps).max(axis=0))[1], 0, 15).astype(np.int64)
+    most = 1 << (PRECISION - 1)
+    whole = np.clip(np.rint(taps * 2.0**shift), -most, most - 1).astype(np.int64)
+    predicted = sum(np.repeat(whole[j], size) * behind[j + 1] for j in range(order)) >> np.repeat(shift, size)
+    return whole, shift, np.where(place < order, 0, x - predicted)
+
+
+def encode(payloads: list[bytes], block: int = BLOCK, linear: int = 0) -> list[bytes]:
+    """One FLAC stream (mono, 8 bits, with a seek table) for each non-empty payload of unsigned samples.
+
+    With ``linear`` above 0, frames take a linear predictor of that order (up to 32) where it leaves less than the fixed ones.
+    """
     flat = np.frombuffer(b"".join(payloads), dtype=np.uint8).astype(np.int16) - 128
     spans = []  # (payload, frame, start, samples)
     at = 0
@@ -97,8 +127,16 @@ def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
     order = np.where(size > 2, cost.argmin(axis=0), 0)
     which = np.repeat(order.astype(np.int32), size)
     residual = np.where(which == 0, flat, np.where(which == 1, d1, d2)).astype(np.int32)
-    u = np.where(residual >= 0, 2 * residual, -2 * residual - 1)
     place = np.arange(flat.size, dtype=np.int32) - np.repeat(start.astype(np.int32), size)
+    extra = np.zeros(start.size, dtype=np.int64)  # bits of a linear predictor
+    if linear:
+        taps, shift, left = _linear(flat, place, start, size, linear)
+        better = (size > 8 * linear) & (np.add.reduceat(np.abs(left), start) < cost.min(axis=0))
+        extra[better] = 9 + PRECISION * linear
+        order = np.where(better, linear, order)
+        which = np.repeat(order.astype(np.int32), size)
+        residual = np.where(np.repeat(better, size), left, residual).astype(np.int32)
+    u = np.where(residual >= 0, 2 * residual, -2 * residual - 1)
     coded = place >= which
     mean = np.add.reduceat(np.where(coded, u, 0), start) / np.maximum(1, size - order)
     k = np.clip(np.ceil(np.log2(np.maximum(1e-9, mean * 0.7))), 0, 14).astype(np.int64)
@@ -109,14 +147,14 @@ def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
     within = ends - length - np.repeat((ends - length)[start], size)  # bits from the first sample of the frame
     heads = [_frame_head(f, n) for _, f, _, n in spans]
     head_bits = np.array([8 * len(h) for h in heads])
-    # Subframe: type byte, warm-up samples, 10 bits of residual head after them.
+    # Subframe: type byte, warm-up samples, a linear predictor, 10 bits of residual head.
     body = np.add.reduceat(length, start)
-    bytes_ = (head_bits + 8 + 10 + body + 7) // 8 + 2
+    bytes_ = (head_bits + 8 + extra + 10 + body + 7) // 8 + 2
     frame_at = np.cumsum(bytes_) - bytes_
     bits = np.zeros(int(bytes_.sum()) * 8, dtype=np.uint8)
     first = frame_at * 8 + head_bits + 8
     pos = np.repeat(first, size) + within
-    pos[coded] += 10
+    pos += np.where(coded, 10 + np.repeat(extra, size), 0)
     c, p, v, r = coded, pos[coded], u[coded], ks[coded]
     stop = p + (v >> r)
     bits[stop] = 1
@@ -127,12 +165,24 @@ def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
     for b in range(8):
         bits[pos[warm] + b] = (flat[warm] >> (7 - b)) & 1
     gap = first + 8 * order
+
+    def put(at: np.ndarray, v: np.ndarray, width: int) -> None:
+        for b in range(width):
+            bits[at + b] = (v >> (width - 1 - b)) & 1
+
+    if linear:
+        at = gap[better]
+        put(at, np.full(at.size, PRECISION - 1), 4)
+        put(at + 4, shift[better], 5)
+        for j in range(linear):
+            put(at + 9 + PRECISION * j, taps[j, better], PRECISION)
+    gap = gap + extra
     for b in range(4):
         bits[gap + 6 + b] = (k >> (3 - b)) & 1
     buffer = np.packbits(bits)
-    for h, o, f in zip(heads, order, frame_at):
+    for h, o, f, e in zip(heads, order, frame_at, extra):
         buffer[f : f + len(h)] = np.frombuffer(h, dtype=np.uint8)
-        buffer[f + len(h)] = (8 | int(o)) << 1
+        buffer[f + len(h)] = (31 + int(o) if e else 8 | int(o)) << 1
     check = crc16(buffer, frame_at, bytes_ - 2)
     buffer[frame_at + bytes_ - 2], buffer[frame_at + bytes_ - 1] = check >> 8, check & 0xFF
     out, f = [], 0
@@ -149,21 +199,21 @@ def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
     return out
 
 
-def _seek_points(stream: bytes) -> tuple[int, int, list[tuple[int, int, int]]]:
-    """First byte of the frames, total samples, and (sample, byte offset, samples) of every frame."""
+def _seek_points(stream: bytes) -> tuple[int, int, bytes, list[tuple[int, int, int]]]:
+    """First byte of the frames, total samples, their digest, and (sample, byte offset, samples) of every frame."""
     if stream[:4] != b"fLaC":
         raise ValueError("no FLAC stream")
-    at, total, points = 4, 0, []
+    at, total, digest, points = 4, 0, b"", []
     while True:
         kind, size = stream[at], int.from_bytes(stream[at + 1 : at + 4], "big")
         data = stream[at + 4 : at + 4 + size]
         if kind & 0x7F == 0:
-            total = int.from_bytes(data[10:18], "big") & (1 << 36) - 1
+            total, digest = int.from_bytes(data[10:18], "big") & (1 << 36) - 1, data[18:34]
         elif kind & 0x7F == 3:
             points = [(int.from_bytes(data[i : i + 8], "big"), int.from_bytes(data[i + 8 : i + 16], "big"), int.from_bytes(data[i + 16 : i + 18], "big")) for i in range(0, size, 18)]
         at += 4 + size
         if kind & 0x80:
-            return at, total, points
+            return at, total, digest, points
 
 
 def decode_frames(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
@@ -206,11 +256,15 @@ def decode_frames(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -
         return out
     linear = kind[rice] >= 32
     order = np.where(linear, (kind[rice] & 31) + 1, kind[rice] & 7)
-    rice = rice[np.argsort(-samples[rice], kind="stable")]
-    linear = kind[rice] >= 32
-    order = np.where(linear, (kind[rice] & 31) + 1, kind[rice] & 7)
+    # Where the residual begins: after the warm-up samples and a linear predictor.
+    p = first[rice] + 8 * order
+    p = np.where(linear, p + 9 + (field(p, 4) + 1) * order, p)
+    plain = (field(p, 6) == 0) & (field(p + 6, 4) < 15)
+    # Frames of one partition come first, longest first; they are read in lock step.
+    turn = np.lexsort((-samples[rice], ~plain))
+    rice, linear, order, plain = rice[turn], linear[turn], order[turn], int(plain.sum())
     size, p = samples[rice], first[rice].copy()
-    longest = int(size[0])
+    longest = int(size.max())
     value = np.zeros((longest, rice.size), dtype=np.int32)
     for w in range(int(order.max(initial=0))):
         use = np.flatnonzero(order > w)
@@ -226,19 +280,39 @@ def decode_frames(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -
             p[j] += 9 + width * int(order[j])
         else:
             taps[j, : order[j]] = FIXED[int(order[j])]
-    if (field(p, 6) != 0).any():
-        raise ValueError("only one Rice partition of four-bit parameters is written here")
-    k = field(p + 6, 4)
-    p = p + 10
     ones = np.unpackbits(padded)
     nxt = np.where(ones == 1, np.arange(ones.size, dtype=np.int32), np.int32(ones.size - 1))
     nxt = np.minimum.accumulate(nxt[::-1])[::-1]
-    active = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")
+
+    def partitions(at: int, warm: int, n: int) -> np.ndarray:
+        """Residuals of one subframe in several partitions, with parameters of four or five bits, or escaped."""
+        one = lambda a, w: int(field(np.array([a]), w)[0])
+        if one(at, 2) > 1:
+            raise ValueError("unknown form of residual")
+        wide, count, out = 4 + one(at, 2), 1 << one(at + 2, 4), []
+        at += 6
+        for j in range(count):
+            m, k, at = n // count - (0 if j else warm), one(at, wide), at + wide
+            if k == (1 << wide) - 1:
+                raw, at = one(at, 5), at + 5
+                out += signed(field(at + raw * np.arange(m), raw), raw).tolist() if raw else [0] * m
+                at += raw * m
+                continue
+            for _ in range(m):
+                stop = int(nxt[at])
+                v = (stop - at) << k | one(stop + 1, k)
+                out.append((v >> 1) ^ -(v & 1))
+                at = stop + 1 + k
+        return np.array(out)
+
+    for j in range(plain, rice.size):
+        value[order[j] : size[j], j] = partitions(int(p[j]), int(order[j]), int(size[j]))
+    k, p = field(p[:plain] + 6, 4), p[:plain] + 10
+    active = np.searchsorted(-size[:plain], -np.arange(1, (size[0] if plain else 0) + 1), side="right")
     k32, p = k.astype(np.uint32), p.astype(np.int64)
     mask = ((np.int64(1) << k) - 1).astype(np.uint32)
-    least = int(order.max(initial=0))
-    for s in range(longest):
-        a = int(active[s])
+    least = int(order[:plain].max(initial=0))
+    for s, a in enumerate(active):
         if s < least:
             use = np.flatnonzero(order[:a] <= s)
             stop = nxt[p[use]].astype(np.int64)
@@ -281,17 +355,20 @@ def decode_blocks(streams: list[bytes]) -> list[list[tuple[int, int, bytes]]]:
     heads = [_seek_points(s) for s in streams]
     buffer = np.frombuffer(b"".join(streams), dtype=np.uint8)
     starts, lengths, base = [], [], 0
-    for s, (first, _, points) in zip(streams, heads):
+    for s, (first, _, _, points) in zip(streams, heads):
         at = [base + first + p[1] for p in points]
         starts += at
         lengths += list(np.diff([*at, base + len(s)]))
         base += len(s)
     frames = decode_frames(buffer, np.array(starts, dtype=np.int64), np.array(lengths, dtype=np.int64)) if starts else []
     out, f = [], 0
-    for first, total, points in heads:
+    for first, total, digest, points in heads:
         own = [(p[0], first + p[1], (x + 128).astype(np.uint8).tobytes()) for p, x in zip(points, frames[f : f + len(points)])]
         if sum(len(b[2]) for b in own) != total:
             raise ValueError("samples are missing")
+        # All zeros: the writer gave none.
+        if any(digest) and hashlib.md5(b"".join(x.astype(np.int8).tobytes() for x in frames[f : f + len(points)])).digest() != digest:
+            raise ValueError("samples differ from their digest")
         out.append(own)
         f += len(points)
     return out
