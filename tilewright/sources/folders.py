@@ -122,32 +122,40 @@ def task_documents(spark: SparkSession, folder: str, item: str = "assetId", most
     the accepted rows and never enter a reject's detail.
     """
     lines = spark.read.text(folder).where(F.trim("value") != "").where(F.length("value") <= most)
-    rows = lines.select(F.try_parse_json("value").alias("v"))
-
-    def part(path: str) -> Column:
-        return F.try_variant_get("v", path, "variant")
+    # Generated columns are computed once; the optimizer would copy plain ones, the parsed document among them, into every later use.
+    once = lambda c: F.explode(F.array(c))
+    rows = lines.select(once(F.try_parse_json("value")).alias("v"))
 
     def kind(path: str) -> Column:
-        return F.coalesce(F.nullif(F.schema_of_variant(part(path)), F.lit("VOID")), F.lit("NONE"))
+        of = F.schema_of_variant(F.try_variant_get("v", path, "variant"))
+        return F.when(of != "VOID", of).otherwise("NONE")
 
     wanted = {**{f"$.{f}": t for f, t in TASK_FIELDS.items()}, "$.worldTransform": "ARRAY", "$.clipOptions": "OBJECT", **{f"$.clipOptions.{o}": "BOOLEAN" for o in TASK_OPTIONS}}
-    kinds = F.array(*[F.struct(F.lit(p.removeprefix("$.")).alias("field"), kind(p).alias("kind"), F.lit(t).alias("wanted")) for p, t in wanted.items()])
-    rows = rows.withColumn("kinds", F.when(F.schema_of_variant("v").startswith("OBJECT"), kinds))
-    first = lambda test: F.get(F.transform(F.filter("kinds", test), lambda k: k["field"]), F.lit(0))
-    fits = lambda k: F.when(k["wanted"] == "ARRAY", k["kind"].rlike(_NUMBERS)).when(k["wanted"] == "OBJECT", k["kind"].startswith("OBJECT")).otherwise(k["kind"] == k["wanted"])
+    names = [p.removeprefix("$.") for p in wanted]
+    kinds = F.struct(*[kind(p).alias(f"k{n}") for n, p in enumerate(wanted)])
+    rows = rows.withColumn("kinds", once(F.when(F.schema_of_variant("v").startswith("OBJECT"), kinds)))
+
+    def first(test) -> Column:
+        """The first field whose kind fails, by a test of the kind and of the one wanted."""
+        return F.coalesce(*[F.when(test(F.col(f"kinds.k{n}"), t), F.lit(name)) for n, (name, t) in enumerate(zip(names, wanted.values()))])
+
+    def unfit(kind: Column, t: str) -> Column:
+        return ~kind.rlike(_NUMBERS) if t == "ARRAY" else ~kind.startswith("OBJECT") if t == "OBJECT" else kind != t
+
     text = lambda f: F.try_variant_get("v", f"$.{f}", "string")
-    blank = F.get(F.array_compact(F.array(*[F.when(F.trim(F.translate(text(f), "\t\r\n\v\f", "     ")) == "", F.lit(f)) for f in NOT_BLANK])), F.lit(0))
+    blank = F.coalesce(*[F.when(F.trim(F.translate(text(f), "\t\r\n\v\f", "     ")) == "", F.lit(f)) for f in NOT_BLANK])
     unknown = F.when(~text("gltfUpAxis").isin(*AXES), "gltfUpAxis").when(~text("contentFormat").isin(*FORMATS), "contentFormat")
     matrix = F.try_variant_get("v", "$.worldTransform", "array<double>")
     checks = [
-        ("UNREADABLE", F.when(F.col("kinds").isNull(), "document")), ("MISSING_FIELD", first(lambda k: k["kind"] == "NONE")), ("WRONG_TYPE", first(lambda k: ~fits(k))),
+        ("UNREADABLE", F.when(F.col("kinds").isNull(), "document")), ("MISSING_FIELD", first(lambda k, _: k == "NONE")), ("WRONG_TYPE", first(unfit)),
         ("BLANK", blank), ("UNKNOWN_VALUE", unknown), ("MATRIX_SHAPE", F.when(F.size(matrix) != MATRIX, "worldTransform")),
     ]
-    rows = rows.withColumn("broken", F.get(F.array_compact(F.array(*[F.when(field.isNotNull(), F.struct(F.lit(code).alias("code"), field.alias("field"))) for code, field in checks])), F.lit(0)))
+    # Rules after the broken one aren't looked at; neither codes nor fields hold a blank.
+    rows = rows.withColumn("broken", once(F.coalesce(*[F.concat(F.lit(f"{code} "), field) for code, field in checks]))).drop("kinds")
     typed = [(F.try_variant_get("v", f"$.{f}", "bigint") if t == "BIGINT" else text(f)).alias(f) for f, t in TASK_FIELDS.items()]
     options = F.struct(*[F.try_variant_get("v", f"$.clipOptions.{o}", "boolean").alias(o) for o in TASK_OPTIONS]).alias("clipOptions")
     accepted = rows.where("broken IS NULL").select(text(item).alias("item"), *typed, matrix.alias("worldTransform"), options)
-    return accepted, rejects(rows.where("broken IS NOT NULL"), "task", F.try_variant_get("v", f"$.{item}", "string"), F.col("broken.code"), F.col("broken.field"))
+    return accepted, rejects(rows.where("broken IS NOT NULL"), "task", F.try_variant_get("v", f"$.{item}", "string"), F.substring_index("broken", " ", 1), F.substring_index("broken", " ", -1))
 
 
 # --- Event lines --------------------------------------------------------------------------------------------------
