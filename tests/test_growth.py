@@ -2,6 +2,10 @@
 
 import json
 
+import numpy as np
+import pyarrow as pa
+
+from tilewright.operators import raster
 from tilewright.sources import folders
 
 
@@ -10,3 +14,25 @@ def test_a_task_document_is_parsed_once(spark, tmp_path):
     for side in folders.task_documents(spark, str(tmp_path)):
         plan = side._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("parseJson") == 1
+
+
+USE = "use_id long, image long, u0 double, v0 double, u1 double, v1 double, u2 double, v2 double, wrap_s int, wrap_t int"
+
+
+def test_uses_of_one_file_are_dealt_to_tasks(spark):
+    rows = [(k, 0, 0.1, 0.1, 0.9, 0.1, 0.1, 0.9, raster.CLAMP, raster.CLAMP) for k in range(64)]
+    seen = raster.touched(spark.createDataFrame(rows, USE).coalesce(1), 16, 16)
+    tasks = {r.p for r in seen.selectExpr("spark_partition_id() AS p").distinct().collect()}
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_box_is_looked_at_in_parts():
+    side = 1024  # four times AT_ONCE pixels
+    tri = [(10.0, 20.0), (1000.0, 30.0), (300.0, 1010.0)]
+    columns = [[7], [8], [0], [side - 1], [0], [side - 1], *[[v] for corner in tri for v in corner]]
+    b = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f"c{k}" for k in range(12)])
+    parts = list(raster._pixels(iter([b])))
+    y, x = np.divmod(np.arange(side * side), side)
+    hit = raster.pixel_inside_or_near(x + 0.5, y + 0.5, tri)
+    assert len(parts) == 4 and sum(p.num_rows for p in parts) == hit.sum()
+    assert [v for p in parts for v in (p["y"].to_numpy() * side + p["x"].to_numpy()).tolist()] == np.flatnonzero(hit).tolist()

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 CLAMP, REPEAT, MIRROR = 33071, 10497, 33648
 MOST_SPAN = 128
+#: Pixels that a task looks at at once.
+AT_ONCE = 262144
 
 
 def uv_wrap_shifts(uses: DataFrame) -> DataFrame:
@@ -35,35 +42,64 @@ def uv_rejects(uses: DataFrame) -> DataFrame:
 
 
 def pixel_inside_or_near(px, py, tri):
-    """Centre inside the triangle (zero signs count as inside) or within one pixel of an edge."""
-    signs, near = [], None
+    """Centre inside the triangle (zero signs count as inside) or within one pixel of an edge; NumPy arrays of one length.
+
+    A corner that isn't a number (null) takes its two edges out.
+    """
+    pos, neg, near = True, True, False
     for (ax, ay), (bx, by) in zip(tri, (*tri[1:], tri[0])):
-        signs.append((bx - ax) * (py - ay) - (by - ay) * (px - ax))
         dx, dy = bx - ax, by - ay
+        side = dx * (py - ay) - dy * (px - ax)
+        pos, neg = pos & (side >= 0), neg & (side <= 0)
         n = dx * dx + dy * dy
-        t = F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / F.when(n > 0, n)))).otherwise(0.0)
+        t = np.where(n > 0, np.clip(((px - ax) * dx + (py - ay) * dy) / np.where(n > 0, n, 1.0), 0.0, 1.0), 0.0)
         ex, ey = px - (ax + dx * t), py - (ay + dy * t)
-        close = ex * ex + ey * ey <= 1
-        near = close if near is None else near | close
-    pos, neg = [s >= 0 for s in signs], [s <= 0 for s in signs]
-    return (pos[0] & pos[1] & pos[2]) | (neg[0] & neg[1] & neg[2]) | near
+        near = near | (ex * ex + ey * ey <= 1)
+    return pos | neg | near
 
 
 def uv_rasterize(uses: DataFrame, width: int = 16, height: int = 16) -> DataFrame:
-    """(image, use_id, x, y) of every pixel that a use can touch."""
+    """(image, use_id, x, y) of every pixel that a use can touch; pixels stay in the task of their use."""
     return touched(uses, width, height).distinct()
 
 
 def touched(uses: DataFrame, width: int, height: int) -> DataFrame:
-    """Like ``uv_rasterize``, a pixel once for every shift under which a use touches it; nothing is shuffled."""
-    s = uv_wrap_shifts(uses)
-    tri = [((F.col(f"u{i}") - F.col("shift_u")) * width, (F.col(f"v{i}") - F.col("shift_v")) * height) for i in range(3)]
+    """Like ``uv_rasterize``, a pixel once for every shift under which a use touches it.
+
+    The uses are dealt to tasks by their id, since thousands of them fit one file that a single task would read. Their
+    number is given, or adaptive execution would join them again. Pixels are not shuffled here.
+    """
+    s = uv_wrap_shifts(uses.repartition(int(uses.sparkSession.conf.get("spark.sql.shuffle.partitions")), "use_id"))
+    # The corners are generated, so that what computes them is not copied into every condition on a pixel.
+    corners = [((F.col(f"u{i}") - F.col("shift_u")) * width, (F.col(f"v{i}") - F.col("shift_v")) * height) for i in range(3)]
+    s = s.withColumn("_t", F.explode(F.array(F.struct(*[c.alias(f"{axis}{i}") for i, pair in enumerate(corners) for axis, c in zip("xy", pair)]))))
+    tri = [(F.col(f"_t.x{i}"), F.col(f"_t.y{i}")) for i in range(3)]
     for k, (name, size) in enumerate((("x", width), ("y", height))):
         lo = F.greatest(F.lit(0).cast("long"), F.floor(F.least(*[t[k] for t in tri])) - 1)
         hi = F.least(F.lit(size - 1).cast("long"), F.ceil(F.greatest(*[t[k] for t in tri])) + 1)
         s = s.withColumn(f"_{name}0", lo).withColumn(f"_{name}1", hi)
-    s = s.where("_x0 <= _x1 AND _y0 <= _y1").withColumn("y", F.explode(F.sequence("_y0", "_y1"))).withColumn("x", F.explode(F.sequence("_x0", "_x1")))
-    return s.where(pixel_inside_or_near(F.col("x") + 0.5, F.col("y") + 0.5, tri)).select("image", "use_id", "x", "y")
+    s = s.where("_x0 <= _x1 AND _y0 <= _y1").select("image", "use_id", "_x0", "_x1", "_y0", "_y1", "_t.*")
+    schema = StructType([s.schema["image"], s.schema["use_id"]]).add("x", LongType()).add("y", LongType())
+    return s.mapInArrow(_pixels, schema)
+
+
+def _pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pixels in the boxes of shifted uses that these touch, ``AT_ONCE`` of all boxes together at a time."""
+    for b in batches:
+        x0, x1, y0, y1 = (b.column(k).to_numpy(zero_copy_only=False) for k in range(2, 6))
+        corners = [b.column(k).to_numpy(zero_copy_only=False).astype(float) for k in range(6, 12)]
+        wide = x1 - x0 + 1
+        ends = np.cumsum(wide * (y1 - y0 + 1))
+        starts = np.concatenate(([0], ends[:-1]))
+        for start in range(0, int(ends[-1]) if len(ends) else 0, AT_ONCE):
+            n = np.arange(start, min(start + AT_ONCE, int(ends[-1])))
+            row = np.searchsorted(ends, n, side="right")
+            dy, dx = np.divmod(n - starts[row], wide[row])
+            x, y = x0[row] + dx, y0[row] + dy
+            c = [v[row] for v in corners]
+            hit = pixel_inside_or_near(x + 0.5, y + 0.5, list(zip(c[::2], c[1::2])))
+            ids = pa.array(row[hit])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(ids), b.column(1).take(ids), pa.array(x[hit]), pa.array(y[hit])], names=["image", "use_id", "x", "y"])
 
 
 # --- Masks as bitmaps ---------------------------------------------------------------------------------------------
