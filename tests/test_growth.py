@@ -2,10 +2,12 @@
 
 import json
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 
 from tilewright.operators import raster
+from tilewright.plans import composed, registry
 from tilewright.sources import folders
 
 
@@ -36,3 +38,15 @@ def test_a_box_is_looked_at_in_parts():
     hit = raster.pixel_inside_or_near(x + 0.5, y + 0.5, tri)
     assert len(parts) == 4 and sum(p.num_rows for p in parts) == hit.sum()
     assert [v for p in parts for v in (p["y"].to_numpy() * side + p["x"].to_numpy()).tolist()] == np.flatnonzero(hit).tolist()
+
+
+def test_only_the_srid_of_a_task_is_mistyped(spark, tmp_path):
+    # Keys that hold the digits of the SRID themselves, the last ones with the surplus key (% 41) too.
+    keys = [k for step, most in ((43, 1_000_000), (43 * 41, 9_000_000)) for k in range(0, most, step) if "4490" in str(k)]
+    orders = spark.createDataFrame([(k, 1) for k in sorted(set(keys))], "o_orderkey long, o_custkey long")
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("rule_required_fields", "task_manifest_scan", "rule_json_allowlist"):
+        rows = composed.QUERIES[name](spark, str(tmp_path))
+        want = duckdb.connect()
+        want.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+        assert sorted(map(repr, (tuple(r) for r in rows.collect()))) == sorted(map(repr, want.execute(registry.ORACLE_SQL[name]).fetchall())), name

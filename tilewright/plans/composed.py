@@ -602,7 +602,7 @@ def _manifest(spark, sf_dir):
     t = derived(spark, sf_dir, "task")
     k = F.col("task_id")
     body = F.to_json(F.struct(F.when(k % 31 != 0, k).alias("taskId"), F.col("asset").alias("assetId"), F.when(k % 37 != 0, F.col("srid")).alias("scopeSrid"), F.col("up_axis").alias("gltfUpAxis"), F.when(k % 41 == 0, "debug").alias("surplus")))
-    return t.select("task_id", F.when(k % 43 == 0, F.regexp_replace(body, "4490", '"4490"')).when(k % 47 == 0, F.lit("{broken")).otherwise(body).alias("json"))
+    return t.select("task_id", F.when(k % 43 == 0, F.regexp_replace(body, '"scopeSrid":4490', '"scopeSrid":"4490"')).when(k % 47 == 0, F.lit("{broken")).otherwise(body).alias("json"))
 
 
 _MANIFEST = """CASE WHEN task_id % 47 = 0 AND task_id % 43 <> 0 THEN 'UNREADABLE' WHEN task_id % 31 = 0 OR asset IS NULL OR task_id % 37 = 0 THEN 'MISSING_FIELD' WHEN task_id % 43 = 0 AND srid = 4490 THEN 'WRONG_TYPE' ELSE 'OK' END"""
