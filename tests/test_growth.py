@@ -4,11 +4,13 @@ import json
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from tilewright.operators import raster
-from tilewright.plans import composed, registry
+from tilewright.plans import composed, intake, registry
 from tilewright.sources import folders
+from tilewright.streaming import leases
 
 
 def test_a_task_document_is_parsed_once(spark, tmp_path):
@@ -50,3 +52,39 @@ def test_only_the_srid_of_a_task_is_mistyped(spark, tmp_path):
         want = duckdb.connect()
         want.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
         assert sorted(map(repr, (tuple(r) for r in rows.collect()))) == sorted(map(repr, want.execute(registry.ORACLE_SQL[name]).fetchall())), name
+
+
+def test_an_asset_has_one_timer_however_many_leases():
+    timers, rows = [], []
+
+    class State:
+        get = lambda self: iter(rows)
+        exists = lambda self: bool(rows)
+        clear = lambda self: rows.clear()
+
+        def put(self, new):
+            rows[:] = new
+
+    class Handle:
+        getListState = lambda self, *_: State()
+        registerTimer = lambda self, at: timers.append(at)
+        deleteTimer = lambda self, at: timers.remove(at)
+
+    class Watermark:
+        getCurrentWatermarkInMs = lambda self: 400
+        getExpiryTimeInMs = lambda self: timers[0]
+
+    lease = leases.LeaseTimer(10_000)
+    lease.init(Handle())
+    ts = pd.to_datetime(pd.Series([0, 100_000, 200_000, 900_000, 905_000]), unit="us")
+    assert list(lease.handleInputRows((1,), iter([pd.DataFrame({"ts": ts})]), Watermark())) == [] and timers == [10]
+    (out,) = lease.handleExpiredTimer((1,), Watermark(), Watermark())
+    assert out["heartbeats"].tolist() == [1, 1, 1] and (out["expired"].astype("datetime64[us]").astype("int64") - 10_000).tolist() == [0, 100_000, 200_000]
+    assert rows == [(900_000, 905_000, 2)] and timers[1:] == [915]
+
+
+def test_accounts_store_what_they_count_twice(spark):
+    data = "/root/testdata/sf0.001"
+    plan = intake.QUERIES["intake_accounting"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parseJson" not in plan and "posexplode" not in plan and "catalogue" not in plan and "binaryFile" not in plan
+    assert intake._objects(spark, data).selectExpr("spark_partition_id() AS p").distinct().count() > 1
