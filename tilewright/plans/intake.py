@@ -61,7 +61,9 @@ def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
             names = [f"s{k}{'.txt' if k % 29 == 0 else '.b3dm'}" for k in keys]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([_tile(k) for k in keys], pa.binary())], names=["name", "content"])
 
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").mapInArrow(run, "name string, content binary")
+    # Dealt to tasks: the table is one file, which a single task would read, writing all objects one after another.
+    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return keys.mapInArrow(run, "name string, content binary")
 
 
 def _tile_folder(spark: SparkSession, sf_dir: str) -> str:
@@ -243,16 +245,18 @@ def quarantine_sink(spark, sf_dir):
 SELECT stage, count(*) AS given, count(*) FILTER (WHERE taken) AS taken, count(*) FILTER (WHERE NOT taken) AS left_out, CAST(0 AS BIGINT) AS open_ FROM given GROUP BY stage""")
 def intake_accounting(spark, sf_dir):
     """Every input of three stages is accepted or refused once: the sizes, and the items for which that fails."""
-    tasks = folders.task_documents(spark, _task_folder(spark, sf_dir), "taskId")
+    # Both the sizes and the items are counted, so what names the items is stored once.
+    tasks = [stored(side.select("item")) for side in folders.task_documents(spark, _task_folder(spark, sf_dir), "taskId")]
     k = F.col("task_id")
     task_items = derived(spark, sf_dir, "task").select(F.when(k % 47 != 0, F.concat(F.lit("task-"), k.cast("string"))).alias("item"))
     files, small = _listed(spark, sf_dir)
     good, bad = folders.tile_catalogue(files)
     names = _expected(spark, sf_dir)
-    reports = clip_reports(spark, sf_dir)
+    good, left = stored(good.select(folders.file_name("path").alias("item"))), stored(small.unionByName(bad).select("item"))
+    reports = stored(clip_reports(spark, sf_dir))
     checked = sinks.checked(reports)
     books = {
-        "task": (task_items, tasks[0], tasks[1]), "tile": (names, good.select(folders.file_name("path").alias("item")), small.unionByName(bad)),
+        "task": (task_items, tasks[0], tasks[1]), "tile": (names, good, left),
         "report": (reports.select(F.col("asset_id").alias("item")), checked[0].select(F.col("asset_id").alias("item")), checked[1]),
     }
     out = None
