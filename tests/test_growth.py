@@ -7,7 +7,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from tilewright.operators import raster
+from pyspark.sql import functions as F
+
+from tilewright.operators import geometry, meshes, projection, raster
 from tilewright.plans import composed, intake, registry
 from tilewright.sources import folders
 from tilewright.streaming import leases
@@ -88,3 +90,36 @@ def test_accounts_store_what_they_count_twice(spark):
     plan = intake.QUERIES["intake_accounting"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "parseJson" not in plan and "posexplode" not in plan and "catalogue" not in plan and "binaryFile" not in plan
     assert intake._objects(spark, data).selectExpr("spark_partition_id() AS p").distinct().count() > 1
+
+
+def test_points_are_projected_in_batches_and_once(spark):
+    v = spark.range(6).selectExpr("1L AS asset", "id AS vid", "CAST(id * id AS DOUBLE) AS x", "CAST(id % 3 AS DOUBLE) AS y", "0D AS z", "array(1D) AS payload")
+    v = meshes.projected(v.withColumn("world", F.array(*[F.lit(e) for e in meshes.east_north_up(120.0, 30.0)])), "world", "120D", "30D")
+    t = meshes.triangles(v, spark.createDataFrame([(1, 0, 0, 1, 2), (1, 1, 3, 4, 5), (1, 2, 3, 4, 9)], "asset long, tri_id int, i0 int, i1 int, i2 int"), ["asset"])
+    plan = t._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan and "collect_list" not in plan
+    assert {r.tri_id: [c.p for c in r.poly] for r in t.collect()} == {0: [[0, 0, 0, 1], [1, 1, 0, 1], [4, 2, 0, 1]], 1: [[9, 0, 0, 1], [16, 1, 0, 1], [25, 2, 0, 1]]}
+    nulls = spark.sql("SELECT double(null) AS lon, 30D AS lat").select(projection.local_project("lon", "lat", "120D", "30D").alias("p")).first().p
+    assert nulls.x is None and nulls.y is None
+
+
+def test_batches_are_clipped_as_rows_are(spark):
+    rng, rows = np.random.default_rng(5), []
+    for k in range(300):
+        poly = [(*(float(v) for v in rng.uniform(-8, 8, 3)), [float(v) for v in rng.uniform(0, 9, 2 + k % 50 // 49)]) for _ in range(3 + k % 3)]
+        turns = np.sort(rng.uniform(0, 2 * np.pi, 3 + k % 4))
+        rows.append((k, poly, [(float(5 * np.cos(a)), float(5 * np.sin(a))) for a in turns]))
+    whole = rows[0][1]
+    rows += [(1000, None, rows[0][2]), (1001, [], rows[0][2]), (1002, [*whole[:2], (None, 1.0, 1.0, [1.0, 2.0])], rows[0][2]), (1003, [*whole[:2], (1.0, float("nan"), 1.0, [1.0, 2.0])], rows[0][2]), (1004, [*whole[:2], (1.0, 1.0, 1.0, None)], rows[0][2])]
+    df = spark.createDataFrame(rows, f"id int, poly array<{geometry.CARRYING}>, corners array<struct<x: double, y: double>>").coalesce(1)
+    for point in (geometry.CARRYING, geometry.POINT):
+        flat = df if point == geometry.CARRYING else df.withColumn("poly", F.transform("poly", lambda v: F.struct(v["x"], v["y"], v["z"])))
+        both = flat.select("id", geometry.clip("poly", "corners", point).alias("fast"), geometry.clip_by_lambdas("poly", "corners", point).alias("slow")).collect()
+        assert len(both) == len(rows) and all(repr(r.fast) == repr(r.slow) for r in both)
+        assert len({len(r.fast) for r in both if r.fast}) > 3
+
+
+def test_a_clip_is_not_done_again_for_its_size(spark):
+    pairs = spark.createDataFrame([([(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0)], [(-1.0, -1.0), (2.0, -1.0), (2.0, 2.0)])], f"poly array<{geometry.POINT}>, corners array<struct<x: double, y: double>>")
+    plan = geometry.fragments(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("coalesce(") == 1

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import geometry, matrices, projection
@@ -42,11 +45,38 @@ def triangles(vertices: DataFrame, index: DataFrame, key: list[str], tri: str =
     """
     corners = index.select(*key, tri, F.posexplode(F.array("i0", "i1", "i2")).alias("corner", vid))
     point = F.struct(F.col("px").alias("x"), F.col("py").alias("y"), F.col("ph").alias("z"), F.concat(F.array("x", "y", "z"), F.col(payload)).alias("p"))
-    joined = corners.join(vertices.where("px IS NOT NULL AND py IS NOT NULL AND ph IS NOT NULL").select(*key, vid, point.alias("point")), [*key, vid])
-    whole = joined.groupBy(*key, tri).agg(F.sort_array(F.collect_list(F.struct("corner", "point"))).alias("c")).where(F.size("c") == 3)  # three rows a group
-    out = whole.select(*key, tri, F.transform("c", lambda v: v["point"]).alias("poly"))
-    at = lambda axis, pick: pick(F.transform("poly", lambda v: v[axis]))
-    return out.withColumns({"minx": at("x", F.array_min), "miny": at("y", F.array_min), "maxx": at("x", F.array_max), "maxy": at("y", F.array_max)})
+    joined = corners.join(vertices.select(*key, vid, point.alias("point")), [*key, vid])
+    # Three rows a triangle, side by side: lists gathered by an aggregate are sorted on both sides of the shuffle.
+    w = Window.partitionBy(*key, tri).orderBy("corner")
+    c = F.struct("corner", "point")
+    beside = joined.select(*key, tri, "corner", "point", F.lag("corner").over(w).alias("_before"), F.lead(c).over(w).alias("_b"), F.lead(c, 2).over(w).alias("_c"), F.lead("corner", 3).over(w).alias("_after"))
+    whole = beside.where("_before IS NULL AND _after IS NULL AND corner = 0 AND _b.corner = 1 AND _c.corner = 2")
+    # Looked at only here: a filter on vertices would be pushed below their projection, which would then run twice.
+    whole = whole.where(" AND ".join(f"{v}.{axis} IS NOT NULL" for v in ("point", "_b.point", "_c.point") for axis in "xyz"))
+    box = {f"{name}{axis}": pick(*[f"{v}.{axis}" for v in ("point", "_b.point", "_c.point")]) for axis in "xy" for name, pick in (("min", F.least), ("max", F.greatest))}
+    return whole.select(*key, tri, F.array("point", "_b.point", "_c.point").alias("poly"), *[box[c].alias(c) for c in ("minx", "miny", "maxx", "maxy")])
+
+
+def _written(fragments: pa.Array, normal: int | None) -> pa.Array:
+    """``local_corners`` of a batch of rows, in NumPy."""
+    per_row = pc.fill_null(pc.list_value_length(fragments), 0).to_numpy(zero_copy_only=False).astype("int64")
+    carried = fragments.flatten().flatten()[3]
+    lengths, numbers = pc.list_value_length(carried), carried.flatten()
+    lost, lengths = carried.is_null().to_numpy(zero_copy_only=False), pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False).astype("int64")
+    ends = lengths.cumsum()
+    values, missing = numbers.to_numpy(zero_copy_only=False).astype("float64"), numbers.is_null().to_numpy(zero_copy_only=False)
+    if normal is not None:
+        lost = lost | (lengths < normal + 3)
+        at = (ends - lengths)[~lost, None] + np.arange(normal, normal + 3)
+        n = values[at]
+        length = np.sqrt(n[:, 0] * n[:, 0] + n[:, 1] * n[:, 1] + n[:, 2] * n[:, 2])
+        lost[~lost] = missing[at].any(axis=1) | (length <= matrices.LEAST)
+        values[at] = n / length[:, None]
+    rows = np.repeat(np.arange(len(per_row)), per_row)
+    unknown = fragments.is_null().to_numpy(zero_copy_only=False) | (np.bincount(rows[lost], minlength=len(per_row)) > 0)
+    flat = pa.array(values.astype("float32"), pa.float32(), mask=missing)
+    corners = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), flat)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], per_row.cumsum()]), pa.int32()), corners, mask=pa.array(unknown))
 
 
 def local_corners(fragment: Column, normal: int | None = None) -> Column:
@@ -55,13 +85,8 @@ def local_corners(fragment: Column, normal: int | None = None) -> Column:
     ``normal`` is where in ``p`` a normal stands; it gets length 1 again. Null where it has none left.
     """
 
-    def corner(v: Column) -> Column:
-        p = v["p"]
-        if normal is not None:
-            n = matrices.normalised(p[normal], p[normal + 1], p[normal + 2])
-            unit = F.array(n["x"], n["y"], n["z"])
-            p = F.when(n.isNotNull(), F.concat(F.slice(p, 1, normal), unit, F.slice(p, F.lit(normal + 4), F.size(p) - normal - 3)))
-        return p.cast("array<float>")
+    def written(fragments: pa.Array) -> pa.Array:
+        with np.errstate(all="ignore"):
+            return _written(fragments, normal)
 
-    out = F.transform(fragment, corner)
-    return F.when(~F.exists(out, lambda c: c.isNull()), out)
+    return F.arrow_udf(written, "array<array<float>>")(fragment.cast(f"array<{geometry.CARRYING}>"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,25 +24,47 @@ def ecef_to_geodetic(x: Column, y: Column, z: Column) -> dict[str, Column]:
     return {"lon": F.degrees(F.atan2(y, x)), "lat": F.degrees(lat), "height": height}
 
 
-#: Inverse geodesic with a fixed number of steps, and azimuthal-equidistant metres east and north of the centre.
-_PROJECT = f"""
-transform(array(named_struct('u1', atan((1 - {_F!r}D) * tan(radians({{lat0}}))), 'u2', atan((1 - {_F!r}D) * tan(radians({{lat}}))), 'l', radians({{lon}} - {{lon0}}))), g ->
-transform(array(aggregate(sequence(1, {{steps}}), g.l, (m, i) -> element_at(transform(array(named_struct(
-    'ss', sqrt(power(cos(g.u2) * sin(m), 2) + power(cos(g.u1) * sin(g.u2) - sin(g.u1) * cos(g.u2) * cos(m), 2)),
-    'cs', sin(g.u1) * sin(g.u2) + cos(g.u1) * cos(g.u2) * cos(m))), s -> CASE WHEN s.ss = 0 THEN m ELSE element_at(transform(array(named_struct(
-        'sa', cos(g.u1) * cos(g.u2) * sin(m) / s.ss, 'sg', atan2(s.ss, s.cs))), v -> element_at(transform(array(named_struct(
-        'c2', 1 - v.sa * v.sa, 'cm', CASE WHEN 1 - v.sa * v.sa = 0 THEN 0D ELSE s.cs - 2 * sin(g.u1) * sin(g.u2) / (1 - v.sa * v.sa) END)), w -> element_at(transform(array({_F!r}D / 16 * w.c2 * (4 + {_F!r}D * (4 - 3 * w.c2))), c ->
-        g.l + (1 - c) * {_F!r}D * v.sa * (v.sg + c * s.ss * (w.cm + c * s.cs * (-1 + 2 * w.cm * w.cm)))), 1)), 1)), 1) END), 1))), m ->
-element_at(transform(array(named_struct(
-    'ss', sqrt(power(cos(g.u2) * sin(m), 2) + power(cos(g.u1) * sin(g.u2) - sin(g.u1) * cos(g.u2) * cos(m), 2)),
-    'cs', sin(g.u1) * sin(g.u2) + cos(g.u1) * cos(g.u2) * cos(m),
-    'az', atan2(cos(g.u2) * sin(m), cos(g.u1) * sin(g.u2) - sin(g.u1) * cos(g.u2) * cos(m)))), s -> CASE WHEN s.ss = 0 THEN named_struct('x', 0D, 'y', 0D) ELSE element_at(transform(array(named_struct(
-    'sa', cos(g.u1) * cos(g.u2) * sin(m) / s.ss, 'sg', atan2(s.ss, s.cs))), v -> element_at(transform(array(named_struct(
-    'c2', 1 - v.sa * v.sa, 'cm', CASE WHEN 1 - v.sa * v.sa = 0 THEN 0D ELSE s.cs - 2 * sin(g.u1) * sin(g.u2) / (1 - v.sa * v.sa) END, 'q', (1 - v.sa * v.sa) * {EP2!r}D)), w -> element_at(transform(array(named_struct(
-    'a', 1 + w.q / 16384 * (4096 + w.q * (-768 + w.q * (320 - 175 * w.q))), 'b', w.q / 1024 * (256 + w.q * (-128 + w.q * (74 - 47 * w.q))))), k -> element_at(transform(array({B!r}D * k.a * (v.sg - k.b * s.ss * (w.cm + k.b / 4 * (s.cs * (-1 + 2 * w.cm * w.cm) - k.b / 6 * w.cm * (-3 + 4 * s.ss * s.ss) * (-3 + 4 * w.cm * w.cm))))), d ->
-        named_struct('x', d * sin(s.az), 'y', d * cos(s.az))), 1)), 1)), 1)), 1) END), 1))[0])[0]"""
+def _geodesic(lon: np.ndarray, lat: np.ndarray, lon0: np.ndarray, lat0: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse geodesic with a fixed number of steps, and azimuthal-equidistant metres east and north of the centre."""
+    u1, u2 = np.arctan((1 - _F) * np.tan(np.radians(lat0))), np.arctan((1 - _F) * np.tan(np.radians(lat)))
+    s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
+    difference = np.radians(lon - lon0)
+
+    def at(m):
+        sm, cm = np.sin(m), np.cos(m)
+        east, north = c2 * sm, c1 * s2 - s1 * c2 * cm
+        ss, cs = np.sqrt(east * east + north * north), s1 * s2 + c1 * c2 * cm
+        same = ss == 0
+        sa = c1 * c2 * sm / np.where(same, 1.0, ss)
+        w = 1 - sa * sa
+        middle = np.where(w == 0, 0.0, cs - 2 * s1 * s2 / np.where(w == 0, 1.0, w))
+        return east, north, ss, cs, same, sa, np.arctan2(ss, cs), w, middle
+
+    m = difference
+    for _ in range(steps):
+        _east, _north, ss, cs, same, sa, sg, w, middle = at(m)
+        c = _F / 16 * w * (4 + _F * (4 - 3 * w))
+        m = np.where(same, m, difference + (1 - c) * _F * sa * (sg + c * ss * (middle + c * cs * (-1 + 2 * middle * middle))))
+    east, north, ss, cs, same, sa, sg, w, middle = at(m)
+    q = w * EP2
+    a, b = 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q))), q / 1024 * (256 + q * (-128 + q * (74 - 47 * q)))
+    d = B * a * (sg - b * ss * (middle + b / 4 * (cs * (-1 + 2 * middle * middle) - b / 6 * middle * (-3 + 4 * ss * ss) * (-3 + 4 * middle * middle))))
+    azimuth = np.arctan2(east, north)
+    return np.where(same, 0.0, d * np.sin(azimuth)), np.where(same, 0.0, d * np.cos(azimuth))
 
 
 def local_project(lon: str, lat: str, lon0: str, lat0: str, steps: int = 6) -> Column:
-    """struct<x, y>: metres east and north of (lon0, lat0); all arguments are SQL expressions in degrees."""
-    return F.expr(_PROJECT.format(lon=lon, lat=lat, lon0=lon0, lat0=lat0, steps=steps))
+    """struct<x, y>: metres east and north of (lon0, lat0); all arguments are SQL expressions in degrees.
+
+    In NumPy, a batch of rows at a time: as a Spark expression it takes nested lambdas, which are interpreted. Both are
+    null where an argument is.
+    """
+
+    def project(lon: pa.Array, lat: pa.Array, lon0: pa.Array, lat0: pa.Array) -> pa.Array:
+        given = (lon, lat, lon0, lat0)
+        missing = np.logical_or.reduce([a.is_null().to_numpy(zero_copy_only=False) for a in given])
+        with np.errstate(all="ignore"):
+            found = _geodesic(*[a.to_numpy(zero_copy_only=False).astype("float64", copy=False) for a in given], steps)
+        return pa.StructArray.from_arrays([pa.array(v, pa.float64(), mask=missing) for v in found], ["x", "y"])
+
+    return F.arrow_udf(project, "struct<x: double, y: double>")(*[F.expr(e).cast("double") for e in (lon, lat, lon0, lat0)])

@@ -86,14 +86,14 @@ def piece_bounds_grown(spark, sf_dir):
 
 @query(_CLIP + "SELECT tri_id, piece_id, CAST(len(p) AS INTEGER) AS corners, round(list_sum(list_transform(p, lambda v: v.x)), 4) AS sum_x, round(list_sum(list_transform(p, lambda v: v.y)), 4) AS sum_y, round(list_sum(list_transform(p, lambda v: v.z)), 4) AS sum_z FROM s3 WHERE len(p) >= 3")
 def clip_polygon(spark, sf_dir):
-    cut = _pairs(spark, sf_dir).withColumn("cut", geometry.clip("poly", "corners")).where(F.size("cut") >= 3)
+    cut = geometry.within(_pairs(spark, sf_dir))
     total = lambda a: F.round(F.expr(f"aggregate(cut, 0D, (s, v) -> s + v.{a})"), 4)
     return cut.select("tri_id", "piece_id", F.size("cut").alias("corners"), total("x").alias("sum_x"), total("y").alias("sum_y"), total("z").alias("sum_z"))
 
 
 @query(_CLIP + "SELECT tri_id, piece_id, count(*) AS fragments FROM frags GROUP BY tri_id, piece_id")
 def fan_split(spark, sf_dir):
-    cut = _pairs(spark, sf_dir).withColumn("cut", geometry.clip("poly", "corners")).where(F.size("cut") >= 3)
+    cut = geometry.within(_pairs(spark, sf_dir))
     return cut.select("tri_id", "piece_id", F.explode(geometry.fan("cut")).alias("frag")).groupBy("tri_id", "piece_id").agg(F.count("*").alias("fragments"))
 
 
