@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators import geometry, meshes, projection, raster
 from tilewright.plans import composed, intake, registry
-from tilewright.sources import folders
+from tilewright.sources import derived, folders
 from tilewright.streaming import leases
 
 
@@ -123,3 +123,15 @@ def test_a_clip_is_not_done_again_for_its_size(spark):
     pairs = spark.createDataFrame([([(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0)], [(-1.0, -1.0), (2.0, -1.0), (2.0, 2.0)])], f"poly array<{geometry.POINT}>, corners array<struct<x: double, y: double>>")
     plan = geometry.fragments(pairs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and plan.count("coalesce(") == 1
+
+
+def test_orders_are_dealt_in_parts_of_bounded_size(spark, monkeypatch):
+    data = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    monkeypatch.setattr(derived, "PART_ROWS", 500)
+    rows = registry.QUERIES["rule_section_bounds"](spark, data)
+    assert rows.selectExpr("spark_partition_id() AS p").distinct().count() > lines // 500 // 2 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = duckdb.connect()
+    for name in ("lineitem", "orders"):
+        want.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{data}/{name}.parquet')")
+    assert sorted(map(tuple, rows.collect())) == sorted(want.execute(registry.ORACLE_SQL["rule_section_bounds"]).fetchall())

@@ -55,6 +55,9 @@ SHARED = {
     "ring_segments": """SELECT scope_id, polygon_id, ring_id, seq, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS next_x, coalesce(lead(y) OVER w, first_value(y) OVER w) AS next_y FROM (SELECT p.*, max(seq) OVER (PARTITION BY scope_id, polygon_id, ring_id) AS last FROM scope_point p) q WHERE seq < last WINDOW w AS (PARTITION BY scope_id, polygon_id, ring_id ORDER BY seq)""",
 }
 
+#: Supplied tables that a query deals to tasks by a key beforehand (`sources.derived.run_sql`): it sorts them more than once.
+DEALT = {"rule_section_bounds": {"lineitem": "l_orderkey", "orders": "o_orderkey"}}
+
 #: Where function names differ: (Spark, DuckDB).
 DIALECT = {"DIGEST(text)": ("sha2(text, 256)", "sha256(text)"), "'CAPTURE'": ("'$1'", r"'\1'")}
 

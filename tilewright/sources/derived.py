@@ -79,15 +79,28 @@ def with_tables(sql: str) -> str:
     return f"WITH {parts} {body}"
 
 
-def register(spark: SparkSession, sf_dir: str, sql: str) -> None:
-    for name in BASE_TABLES:
-        if re.search(rf"\b{name}\b", sql):
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+#: So many rows of the largest table dealt by a key (`run_sql`) go to a task on average.
+PART_ROWS = 500_000
 
 
-def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def register(spark: SparkSession, sf_dir: str, sql: str, dealt: dict[str, str] | None = None) -> None:
+    tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in BASE_TABLES if re.search(rf"\b{name}\b", sql)}
+    if dealt:
+        rows = max(tables[name].count() for name in dealt)
+        parts = max(spark.sparkContext.defaultParallelism, -(-rows // PART_ROWS))
+        tables |= {name: tables[name].repartition(parts, key) for name, key in dealt.items()}
+    for name, table in tables.items():
+        table.createOrReplaceTempView(name)
+
+
+def run_sql(spark: SparkSession, sf_dir: str, sql: str, dealt: dict[str, str] | None = None) -> DataFrame:
+    """The text over the supplied and derived tables.
+
+    ``dealt`` names supplied tables and the key by which each is dealt to tasks, in as many parts as its rows ask for:
+    joins, windows and groups by that key then sort within these, so a task's memory does not grow with the tables.
+    """
     text = with_tables(sql)
-    register(spark, sf_dir, text)
+    register(spark, sf_dir, text, dealt)
     return spark.sql(text)
 
 
