@@ -60,3 +60,28 @@ def test_folding_and_weights_take_linear_time():
     automaton = lexicon.automaton()
     assert toxicity.weight("bad luck " * 10**6, automaton) == 0 and toxicity.weight("bad luck " * 10 + "bad day", automaton) == 1
     assert time.perf_counter() - start < 20
+
+
+@pytest.mark.parametrize("n, size, most", [(2000, 4_000, 60), (1, 8_000_000, 160)])
+def test_shingles_take_bounded_memory(n, size, most):
+    import tracemalloc
+
+    import pandas as pd
+
+    texts = pd.Series([("".join(f"w{i * j % 977} " for j in range(size // 5)))[:size] for i in range(1, n + 1)])
+    tracemalloc.start()
+    try:
+        sets = jaccard.sets_of(texts, 5)
+        peak = tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+    assert len(sets) == n and peak < most
+
+
+def test_words_across_windows_hash_alike(monkeypatch):
+    texts = ["one two three " + "x" * 500 + " four five six", None, "", "ä b  c d e f\tg " * 20, "one"]
+    whole = jaccard.shingle_sets(texts, 3)
+    monkeypatch.setattr(jaccard, "WINDOW", 4)
+    monkeypatch.setattr(jaccard._Powers, "up", jaccard._Powers.up[:1])
+    monkeypatch.setattr(jaccard._Powers, "down", jaccard._Powers.down[:1])
+    assert [s.tolist() for s in jaccard.shingle_sets(texts, 3)] == [s.tolist() for s in whole]

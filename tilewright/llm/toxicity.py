@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize, release, sliced
 
 #: Documented bound: labelled rows (in expectation) that the lexicon and the curve are learned from.
 SAMPLE = 20000
@@ -269,7 +269,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", th
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        for b in batches:
+        for b in sliced(batches):
             scores = np.array([score_of(features(fold(t), automaton) if isinstance(t, str) else (0.0, 0.0), lexicon.curve) for t in b.column(text_at).to_pylist()], dtype=float)
             # The given columns pass as they are.
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=schema.names)
