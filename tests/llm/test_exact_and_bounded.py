@@ -1,7 +1,9 @@
 """Ids above 2^53 beside nulls, texts that once took quadratic or exponential time, and tables of very few rows."""
 
+import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,52 @@ def test_words_across_windows_hash_alike(monkeypatch):
     monkeypatch.setattr(jaccard._Powers, "up", jaccard._Powers.up[:1])
     monkeypatch.setattr(jaccard._Powers, "down", jaccard._Powers.down[:1])
     assert [s.tolist() for s in jaccard.shingle_sets(texts, 3)] == [s.tolist() for s in whole]
+
+
+def test_shared_first_tokens():
+    """Linked sets share at least so many first tokens, and only linked ones need to."""
+    rng = np.random.default_rng(4)
+    for n in [*range(1, 40), 200, 480]:
+        for percent in (80, 90):
+            for _ in range(20):
+                a = np.unique(rng.integers(0, 10**9, n))
+                b = np.unique(np.concatenate((a[rng.random(a.size) < rng.choice([0.9, 0.95, 1])], rng.integers(0, 10**9, rng.integers(0, n // 8 + 2)))))
+                if not b.size or 100 * np.intersect1d(a, b).size < percent * np.union1d(a, b).size:
+                    continue
+                first = [s[: s.size - jaccard._least(s.size, percent) + min(8, jaccard._least(s.size, percent))] for s in (a, b)]
+                both = np.intersect1d(*first)
+                assert both.size >= jaccard._shared_least(a.size, b.size, percent, 8) >= min(8, jaccard._least(a.size, percent))
+                assert jaccard._in_reach(a.size, np.searchsorted(a, both), b.size, np.searchsorted(b, both), percent).all()
+
+
+@pytest.mark.parametrize("grouped", [3, 1 << 19])
+def test_packed_lists(spark, grouped):
+    rng = random.Random(5)
+    rows = [(i, 10, [rng.randrange(-(2**63), 2**63) if rng.random() < 0.5 else rng.randrange(4) for _ in range(6)], 5) for i in (-(2**62), 3, BIG, BIG + 1, 2**63 - 1)]
+    rows = [(i, n, list(dict.fromkeys(first)), min(k, len(set(first)))) for i, n, first, k in rows] + [(9, 1, [], 0)]
+    want = {}
+    for i, n, first, k in rows:
+        for at, token in enumerate(first[:k]):
+            want.setdefault(token, set()).add((n, i, at))
+    got = {}
+    for r in jaccard.rare_lists(spark.createDataFrame(rows, "doc_id long, n int, first array<long>, rare int"), 2, grouped).collect():
+        assert r.size == len(want[r.token]) and 0 < len(r.l) <= 2
+        got.setdefault(r.token, []).extend(tuple(x) for x in r.l)
+    assert {t: sorted(l) for t, l in got.items()} == {t: sorted(l) for t, l in want.items() if len(l) > 1}
+
+
+def test_shuffle_of_jaccard(spark, tmp_path):
+    """Bytes shuffled for texts without a partner: their first tokens travel once."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(10**7)}" for _ in range(1000))) for i in range(300)]
+    postings = sum(n - jaccard._least(n, 90) + 8 for n in [998] * 300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = written()
+    assert jaccard.jaccard_components(docs, 3, 90).where("doc_id = component_id").count() == 300
+    assert written() - before < 16 * postings
