@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tilewright.plans import intake
 from tilewright.sources import folders, sinks
@@ -48,6 +49,15 @@ def test_task_documents(spark, tmp_path):
     assert sorted(f"{r.code} {r.detail}" for r in bad.collect()) == sorted(c for _, c in TASKS if c not in (None, "none"))
 
 
+def test_task_documents_of_any_length(spark, tmp_path):
+    long = {n: "A" * n for n in (21_000_000, 65 << 20)}  # above what a plain parse reads in one value, and above 64 MiB
+    odd = [json.dumps({"assetId": "odd", "surplus": long[21_000_000]}).replace('"odd"', x) for x in ("'odd'", "NaN", '"odd", "assetId": "odd"')]
+    (tmp_path / "t.json").write_text("\n".join([task(assetId="a", scopeWkbBase64=long[21_000_000]), task(assetId="b", scopeWkbBase64=long[65 << 20]), task(assetId=None, surplus=long[65 << 20]), *odd]))
+    good, bad = folders.task_documents(spark, str(tmp_path))
+    assert sorted((r.item, r.n) for r in good.select("item", F.length("scopeWkbBase64").alias("n")).collect()) == [("a", 21_000_000), ("b", 65 << 20)]
+    assert sorted(f"{r.code} {r.detail}" for r in bad.collect()) == ["MISSING_FIELD assetId", *["UNREADABLE document"] * 3]
+
+
 def test_event_lines(spark, tmp_path):
     lines = ['{"timestamp":"2026-01-01T00:00:00.123Z","level":"INFO","event":"claimed","assetId":"a","open":1,"deep":{"x":[1]}}', '{"timestamp":"2026', '{"timestamp":"x","level":"I","event":"e"}', '{"level":"I","event":"e"}', "", "7"]
     (tmp_path / "e.log").write_text("\n".join(lines))

@@ -111,20 +111,25 @@ TASK_OPTIONS = ("maskTextures", "compactFeatureMetadata", "capSurface")
 NOT_BLANK = ("assetId", "leaseToken", "sourceDownloadUrl", "outputUploadUrl", "scopeWkbBase64")
 AXES, FORMATS, MATRIX = ("Y", "Z"), ("b3dm",), 16
 _NUMBERS = r"^ARRAY<(BIGINT|DECIMAL\(.*\)|DOUBLE|FLOAT)>$"
+#: Characters of one value that ``try_parse_json`` reads; it takes a longer one for unreadable.
+_PLAIN = 20_000_000
+_ANY_LENGTH = {"maxStringLen": str(2**31 - 1), "allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
 
 
-def task_documents(spark: SparkSession, folder: str, item: str = "assetId", most: int = MOST_OBJECT) -> tuple[DataFrame, DataFrame]:
+def task_documents(spark: SparkSession, folder: str, item: str = "assetId") -> tuple[DataFrame, DataFrame]:
     """Typed task rows from JSON lines, and rejects with the first broken rule and the field that breaks it.
 
     The rules in order: UNREADABLE (no JSON object, or a repeated key), MISSING_FIELD (absent or null), WRONG_TYPE (no
     silent conversion: "4490" is no number), BLANK, UNKNOWN_VALUE, MATRIX_SHAPE. Surplus fields are ignored. Lines of
     white space are no documents. ``item`` names the field that rejects are known by. Secrets (token, addresses) stay in
-    the accepted rows and never enter a reject's detail.
+    the accepted rows and never enter a reject's detail. Documents of any length are judged; those that Spark can't hold
+    as a variant (128 MiB) are UNREADABLE.
     """
-    lines = spark.read.text(folder).where(F.trim("value") != "").where(F.length("value") <= most)
+    lines = spark.read.text(folder).where(F.trim("value") != "")
+    document = F.when(F.octet_length("value") <= _PLAIN, F.try_parse_json("value")).otherwise(F.from_json("value", "variant", _ANY_LENGTH))
     # Generated columns are computed once; the optimizer would copy plain ones, the parsed document among them, into every later use.
     once = lambda c: F.explode(F.array(c))
-    rows = lines.select(once(F.try_parse_json("value")).alias("v"))
+    rows = lines.select(once(document).alias("v"))
 
     def kind(path: str) -> Column:
         of = F.schema_of_variant(F.try_variant_get("v", path, "variant"))
