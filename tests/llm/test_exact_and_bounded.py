@@ -105,6 +105,20 @@ def test_shared_first_tokens():
                 assert jaccard._in_reach(a.size, np.searchsorted(a, both), b.size, np.searchsorted(b, both), percent).all()
 
 
+def test_a_pair_that_meets_in_many_lists_is_compared_once(spark, monkeypatch):
+    words = [f"w{k}" for k in range(200)]
+    texts = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-1]))], "doc_id long, text string")
+    sets = {r.doc_id: [int(x) % 1000 for x in jaccard.shingle_sets([r.text], 3)[0]] for r in texts.collect()}
+    firsts = spark.createDataFrame([(i, len(s), s[:28]) for i, s in sets.items()], "doc_id long, n int, first array<int>")
+    shared = spark.createDataFrame([(k, i, i, sets[i].index(x)) for k, x in enumerate(t for t in sets[1][:20] if t in sets[2]) for i in sets if x in sets[i][:28]], "list long, doc_id long, label long, pos int")
+    stored, keep = [], jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df: stored.append(keep(df)) or stored[-1])
+    found = jaccard.compared_blocks(shared.where("doc_id = 1"), shared, firsts, texts, 3, 90, 8, 512)
+    assert {(r.a, r.b) for r in found.collect()} == {(1, 2)} and shared.where("doc_id = 2").count() > 10
+    sent = stored[-1]  # rows that send their texts
+    assert "is_some" in sent.columns and sent.groupBy("doc_id").count().agg(F.max("count")).first()[0] == 1
+
+
 @pytest.mark.parametrize("grouped", [3, 1 << 19])
 def test_packed_lists(spark, grouped):
     rng = random.Random(5)
